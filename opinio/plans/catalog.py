@@ -26,6 +26,22 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_STAGES: dict = {}
+
+
+def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Build a stage once per (session, sf_dir) and materialise it.
+
+    Later queries of the same run read the checkpointed table instead of
+    re-running the chain that produced it.
+    """
+    from ..session import materialize
+    key = (id(spark), sf_dir, name)
+    if key not in _STAGES:
+        _STAGES[key] = materialize(build())
+    return _STAGES[key]
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import (q_clean, q_balance, q_evaluate, q_tokens, q_pages,  # noqa

@@ -33,6 +33,8 @@ def get_spark(master: str | None = None, app: str = "opinio",
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -60,3 +62,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{os.getpid()}"
+
+
+def materialize(df, eager: bool = True):
+    """Cut lineage: reliable checkpoint into ``spark.checkpoint.dir``.
+
+    Used at stage boundaries (cleaned set, balanced set) where later
+    operators read their input several times; the checkpoint is a written
+    table on shared storage, so lost executors do not force a recompute of
+    the whole chain.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)

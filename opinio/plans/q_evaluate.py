@@ -1,3 +1,128 @@
-"""Registered queries (filled in below)."""
+"""Scoring bands, evaluation metrics and error mining on the scored fixture."""
 
-from .catalog import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scores import band, clip01, hard_pred, sigmoid
+from ..operators import evaluate as EV
+from ..sources.fixtures import deterministic_score
+from . import sqlparts as S
+from .catalog import register, stage
+from .q_balance import BAL_CTES, balanced
+
+BATCH = 16
+
+
+def scored(spark, sf_dir):
+    """Balanced reviews with a deterministic score and a batch id (FIXTURES §4)."""
+    return stage(spark, sf_dir, "scored", lambda: balanced(spark, sf_dir).select(
+        "seq", "entity_id", "text", "label", "ord",
+        F.floor(F.col("ord") / BATCH).alias("batch_id"),
+        deterministic_score("label", "seq").alias("score")))
+
+
+SCORED_CTES = f"""{BAL_CTES},
+scored AS (SELECT seq, entity_id, text, label, ord,
+  CAST(floor(ord / {BATCH}) AS BIGINT) AS batch_id,
+  round(least(1.0, greatest(0.0, 0.25 + 0.5 * label
+    + (CAST(CAST('0x' || substring(md5(CAST(seq AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE)
+       / 4294967296.0 - 0.5) * 0.9)), 2) AS score
+  FROM bal)"""
+
+
+def _d(x):
+    return f"CAST({x} AS DOUBLE)"
+
+
+def _div(a, b):
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE {_d(a)} / {_d(b)} END)"
+
+
+METRICS_SQL = f"""WITH {SCORED_CTES},
+c AS (SELECT count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn,
+  count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp,
+  count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn,
+  count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp,
+  count(*) AS n FROM scored),
+m AS (SELECT *, {_div('tn + tp', 'n')} AS accuracy,
+  {_div('tn', 'tn + fn')} AS precision_neg, {_div('tn', 'tn + fp')} AS recall_neg,
+  {_div('2 * tn', '2 * tn + fp + fn')} AS f1_neg,
+  {_div('tp', 'tp + fp')} AS precision_pos, {_div('tp', 'tp + fn')} AS recall_pos,
+  {_div('2 * tp', '2 * tp + fp + fn')} AS f1_pos FROM c),
+m2 AS (SELECT *,
+  {' , '.join(f"{_div(f'{x}_neg * (tn + fp) + {x}_pos * (fn + tp)', 'n')} AS {x}_weighted, ({x}_neg + {x}_pos) / 2.0 AS {x}_macro" for x in ('precision', 'recall', 'f1'))}
+  FROM m),
+per AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos,
+  count(*) FILTER (WHERE label = 0) AS neg FROM scored GROUP BY score),
+acc AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per),
+auc AS (SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+  sum({_d('pos')} * ({_d('below')} + {_d('neg')} / 2.0)) / ({_d('sum(pos)')} * {_d('sum(neg)')})
+  ELSE 'nan'::DOUBLE END AS roc_auc FROM acc),
+bl AS (SELECT batch_id, label,
+  -(label * ln(least(1 - 1e-15, greatest(1e-15, score)))
+    + (1 - label) * ln(1 - least(1 - 1e-15, greatest(1e-15, score)))) AS l FROM scored),
+lo AS (SELECT round(avg(l), 12) AS log_loss FROM bl),
+lb AS (SELECT round(avg(bm), 12) AS loss FROM (SELECT avg(l) AS bm FROM bl GROUP BY batch_id))
+SELECT n, tn, fp, fn, tp, accuracy, precision_neg, recall_neg, f1_neg,
+  precision_pos, recall_pos, f1_pos, precision_weighted, recall_weighted, f1_weighted,
+  precision_macro, recall_macro, f1_macro, roc_auc, log_loss, loss, fp + fn AS n_errors
+FROM m2, auc, lo, lb"""
+
+
+@register("evaluation_metrics", METRICS_SQL)
+def evaluation_metrics(spark, sf_dir):
+    return EV.evaluate(scored(spark, sf_dir), batch_col="batch_id")
+
+
+@register("score_bands", f"""WITH {SCORED_CTES}
+SELECT seq, label, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred,
+  CASE WHEN score >= 0.6 THEN 'positive' WHEN score <= 0.45 THEN 'negative'
+       ELSE 'mixed' END AS band,
+  CASE WHEN score >= 0.6 THEN least(1.0, greatest(0.0, score)) * 100.0
+       WHEN score <= 0.45 THEN 100.0 - least(1.0, greatest(0.0, score)) * 100.0
+  END AS confidence_pct,
+  least(1.0, greatest(0.0, score)) * 100.0 AS positivity_pct
+FROM scored""")
+def score_bands(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return s.select("seq", "label", "score", hard_pred("score").alias("pred"),
+                    band("score", 0.45, 0.60).alias("b")).select(
+        "seq", "label", "score", "pred", "b.band", "b.confidence_pct",
+        "b.positivity_pct")
+
+
+@register("sigmoid_probabilities", f"""WITH {SCORED_CTES}
+SELECT seq, (score - 0.5) * 8.0 AS logit,
+  round(least(1.0, greatest(0.0, 1.0 / (1.0 + exp(-((score - 0.5) * 8.0))))), 12) AS prob
+FROM scored""")
+def sigmoid_probabilities(spark, sf_dir):
+    s = scored(spark, sf_dir).select(
+        "seq", ((F.col("score") - F.lit(0.5)) * F.lit(8.0)).alias("logit"))
+    return s.withColumn("prob", F.round(clip01(sigmoid("logit")), 12))
+
+
+ERR_SQL = f"""{SCORED_CTES},
+err AS (SELECT seq, label AS label_real,
+  CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS label_pred, score AS score_positive,
+  CASE WHEN score >= 0.5 THEN score ELSE 1.0 - score END AS error_confidence,
+  length(text) AS length_chars, text
+  FROM scored WHERE label <> CASE WHEN score >= 0.5 THEN 1 ELSE 0 END)"""
+
+
+@register("error_rows", f"WITH {ERR_SQL}\nSELECT * FROM err")
+def error_rows(spark, sf_dir):
+    return EV.error_rows(scored(spark, sf_dir))
+
+
+@register("top_errors", f"""WITH {ERR_SQL}
+SELECT * FROM err ORDER BY error_confidence DESC, seq LIMIT 100""")
+def top_errors(spark, sf_dir):
+    return EV.top_errors(scored(spark, sf_dir), k=100)
+
+
+@register("error_count", f"""WITH {ERR_SQL}
+SELECT count(*) AS n_errors FROM err""")
+def error_count(spark, sf_dir):
+    return EV.error_count(scored(spark, sf_dir))

@@ -31,13 +31,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
 
 
 def keep_first(df: DataFrame, keys: Sequence[str],
-               order: str = "seq") -> DataFrame:
+               order: str | Sequence[str] = "seq") -> DataFrame:
     """Keep the first row (smallest ``order``) of each ``keys`` group.
 
-    ``order`` must be unique per row (a file ordinal or id).
+    ``order`` (one column, or several compared left to right) must be
+    unique per row, e.g. a file ordinal or (source, ordinal).
     """
-    winners = first_per_key(df, keys, order).select(order)
-    return df.join(winners, on=order, how="left_semi")
+    if isinstance(order, str):
+        winners = first_per_key(df, keys, order).select(order)
+        return df.join(winners, on=order, how="left_semi")
+    order = list(order)
+    w = (df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_w"))
+           .select(*[F.col(f"_w.{c}").alias(c) for c in order]))
+    return df.join(w, on=order, how="left_semi")
 
 
 def keep_first_by_text(df: DataFrame, keys: Sequence[str] = ("entity_id",),

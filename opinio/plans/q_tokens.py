@@ -1,3 +1,144 @@
-"""Registered queries (filled in below)."""
+"""Corpus, vocabulary, encoding, windows and masking over ``documents``."""
 
-from .catalog import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import corpus as CO
+from ..operators import tokens as TK
+from ..sources.fixtures import reviews_raw
+from ..sources.tables import table
+from . import sqlparts as S
+from .catalog import register, stage
+
+VOCAB = 2000
+MAX_LEN = 32
+STRIDE = 6
+SEED = 42
+
+
+def docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def corpus_sources(spark, sf_dir):
+    return [reviews_raw(spark, sf_dir).select("seq", "text"),
+            docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), "text")]
+
+
+CORPUS_SQL = f"""WITH {S.REVIEWS_RAW},
+src AS (SELECT 0 AS src_ord, seq, {S.strip("coalesce(text, 'nan')")} AS text FROM reviews_raw
+        UNION ALL
+        SELECT 1, doc_id, {S.strip("coalesce(text, 'nan')")} FROM documents),
+corpus AS (SELECT src_ord, seq, text FROM (SELECT *, row_number() OVER (
+  PARTITION BY lower(text) ORDER BY src_ord, seq) AS rn FROM src
+  WHERE length(text) > 30) WHERE rn = 1)"""
+
+
+@register("corpus", f"WITH {CORPUS_SQL[5:]}\nSELECT * FROM corpus")
+def corpus(spark, sf_dir):
+    return CO.build_corpus(corpus_sources(spark, sf_dir))
+
+
+@register("corpus_sample", f"""WITH {CORPUS_SQL[5:]}
+SELECT * FROM corpus ORDER BY src_ord, seq LIMIT 100""")
+def corpus_sample(spark, sf_dir):
+    return CO.build_corpus(corpus_sources(spark, sf_dir), max_samples=100)
+
+
+def vocab(spark, sf_dir):
+    return stage(spark, sf_dir, "vocab",
+                 lambda: TK.build_vocab(docs(spark, sf_dir), size=VOCAB))
+
+
+def ids(spark, sf_dir):
+    return stage(spark, sf_dir, "ids", lambda: TK.token_ids(
+        docs(spark, sf_dir), vocab(spark, sf_dir)))
+
+
+VOCAB_CTES = f"""toks AS (SELECT unnest(regexp_extract_all(lower(text), '{TK.TOKEN_RE}')) AS token
+  FROM documents),
+cnt AS (SELECT token, count(*) AS count FROM toks GROUP BY token),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 4 AS INTEGER) AS id,
+  count FROM cnt QUALIFY id < {VOCAB + 5}),
+dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TK.TOKEN_RE}')) AS token,
+  unnest(generate_series(1, len(regexp_extract_all(lower(text), '{TK.TOKEN_RE}')))) AS pos
+  FROM documents),
+dids AS (SELECT d.doc_id, coalesce(x.ids, CAST([] AS INTEGER[])) AS ids FROM documents d
+  LEFT JOIN (SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
+             FROM dt t LEFT JOIN vocab v ON t.token = v.token GROUP BY t.doc_id) x
+  ON d.doc_id = x.doc_id)"""
+
+
+@register("vocabulary", f"WITH {VOCAB_CTES}\nSELECT token, id, count FROM vocab")
+def vocabulary(spark, sf_dir):
+    return vocab(spark, sf_dir)
+
+
+def _frame_sql(body, max_len):
+    b = f"list_concat([2], {body}, [3])"
+    return (f"list_resize({b}, {max_len}, 0)",
+            f"list_resize(list_transform({b}, lambda x: 1), {max_len}, 0)")
+
+
+ENC_IDS, ENC_MASK = _frame_sql(f"list_slice(ids, 1, {MAX_LEN - 2})", MAX_LEN)
+
+
+@register("encoded_docs", f"""WITH {VOCAB_CTES}
+SELECT doc_id, {ENC_IDS} AS input_ids, {ENC_MASK} AS attention_mask,
+  greatest(1, list_sum({ENC_MASK})) AS effective_length FROM dids""")
+def encoded_docs(spark, sf_dir):
+    e = TK.encode(docs(spark, sf_dir), vocab(spark, sf_dir), max_len=MAX_LEN)
+    return e.withColumn("effective_length", TK.effective_length())
+
+
+W = MAX_LEN - 2
+STEP = max(1, W - STRIDE)
+WIN_IDS, WIN_MASK = _frame_sql("chunk_ids", MAX_LEN)
+WIN_CTES = f"""{VOCAB_CTES},
+st AS (SELECT doc_id, ids, CASE WHEN len(ids) <= {W} THEN [0] ELSE generate_series(0,
+  CAST(ceil((len(ids) - {W}) / {STEP}) AS BIGINT) * {STEP}, {STEP}) END AS starts FROM dids),
+ch AS (SELECT doc_id, ids, unnest(starts) AS s,
+  unnest(generate_series(0, len(starts) - 1)) AS chunk FROM st),
+win AS (SELECT doc_id, CAST(chunk AS INTEGER) AS chunk,
+  list_slice(ids, s + 1, s + {W}) AS chunk_ids FROM ch)"""
+
+
+@register("sliding_windows", f"""WITH {WIN_CTES}
+SELECT doc_id, chunk, chunk_ids, {WIN_IDS} AS input_ids, {WIN_MASK} AS attention_mask
+FROM win""")
+def sliding_windows(spark, sf_dir):
+    return TK.sliding_windows(ids(spark, sf_dir), MAX_LEN, STRIDE)
+
+
+@register("window_scores", f"""WITH {WIN_CTES}
+SELECT doc_id, least(1.0, greatest(0.0, avg((coalesce(list_sum(chunk_ids), 0) % 97) / 96.0)))
+  AS score, count(*) AS n_chunks FROM win GROUP BY doc_id""")
+def window_scores(spark, sf_dir):
+    w = TK.sliding_windows(ids(spark, sf_dir), MAX_LEN, STRIDE)
+    s = w.select("doc_id", (F.aggregate("chunk_ids", F.lit(0).cast("long"),
+                                        lambda a, x: a + x) % 97 / F.lit(96.0))
+                 .alias("score"))
+    return TK.document_scores(s)
+
+
+def _u_sql(tag):
+    h = (f"md5(concat_ws('|', '{SEED}', '0', CAST(doc_id AS VARCHAR), "
+         f"CAST(i - 1 AS VARCHAR), '{tag}'))")
+    return f"(CAST(CAST('0x' || substring({h}, 1, 13) AS BIGINT) AS DOUBLE) / {float(2**52)})"
+
+
+_CHOSEN = f"(x NOT IN (0, 2, 3) AND {_u_sql('m')} < 0.15)"
+_REPL = (f"CASE WHEN {_u_sql('k')} < 0.8 THEN 4 WHEN {_u_sql('k')} < 0.9 THEN "
+         f"CAST(5 + floor({_u_sql('r')} * {VOCAB}) AS INTEGER) ELSE x END")
+
+
+@register("mlm_masking", f"""WITH {VOCAB_CTES},
+enc AS (SELECT doc_id, {ENC_IDS} AS input_ids FROM dids)
+SELECT doc_id,
+  list_transform(input_ids, lambda x, i: CASE WHEN {_CHOSEN} THEN {_REPL} ELSE x END) AS masked_ids,
+  list_transform(input_ids, lambda x, i: CASE WHEN {_CHOSEN} THEN x ELSE -100 END) AS labels
+FROM enc""")
+def mlm_masking(spark, sf_dir):
+    e = TK.encode(docs(spark, sf_dir), vocab(spark, sf_dir), max_len=MAX_LEN)
+    return TK.mlm_mask(e, VOCAB, 0.15, SEED, 0)

@@ -42,8 +42,8 @@ def keep_first(df: DataFrame, keys: Sequence[str],
         return df.join(winners, on=order, how="left_semi")
     order = list(order)
     w = (df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_w"))
-           .select(*[F.col(f"_w.{c}").alias(c) for c in order]))
-    return df.join(w, on=order, how="left_semi")
+           .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in order]))
+    return df.join(w, on=[*keys, *order], how="left_semi")
 
 
 def keep_first_by_text(df: DataFrame, keys: Sequence[str] = ("entity_id",),

@@ -56,3 +56,89 @@ def deterministic_score(label_col: str = "label", seq_col: str = "seq"):
     raw = (F.lit(0.25) + F.lit(0.5) * F.col(label_col).cast("double")
            + (h - F.lit(0.5)) * F.lit(0.9))
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 2)
+
+
+SITE = "https://h.example"
+# fixed values: tag captions of the review-page fixture, by doc_id % 4
+TAG_CAPTIONS = ("Recommended", "Not Recommended", "Mixed Feelings",
+                "recommended  Spoiler")
+PAGES_PER_ENTITY = 5
+
+
+def _doc_layout(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    i = F.col("doc_id")
+    return d.select(
+        "doc_id",
+        (F.lit(1) + i % 20).alias("e"),
+        (F.lit(1) + F.floor(i / 20).cast("long") % 5).alias("p"),
+        F.element_at(F.array(*[F.lit(t) for t in TAG_CAPTIONS]),
+                     (i % 4 + 1).cast("int")).alias("tag"),
+        F.when(i % 11 == 0, F.concat(F.lit("*Spoiler Warning*"), F.col("text")))
+         .otherwise(F.col("text")).alias("body"))
+
+
+def _join_ordered(order_col: str, piece: str):
+    return F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
+                                             F.col(piece).alias("v")))),
+        lambda x: x["v"]), "")
+
+
+def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl dump with review boxes (page_id, url, html), FIXTURES §3.
+
+    Entity ``1 + doc_id % 20``, page ``1 + floor(doc_id/20) % 5``; page 3 of
+    entities divisible by 7 is missing, page 2 of entities divisible by 9
+    has no boxes, entity 13's page 1 reads "Access Denied". Entities
+    divisible by 3 also have a main page with a canonical slug link, and
+    their review pages live under the slug URL.
+    """
+    d = _doc_layout(spark, sf_dir)
+    box = F.concat(
+        F.lit('<div class="review-element js"><div class="tags"><span class="tag">'),
+        F.col("tag"), F.lit('</span></div><div class="text">'), F.col("body"),
+        F.lit("</div></div>"))
+    g = (d.withColumn("box", box).groupBy("e", "p")
+          .agg(_join_ordered("doc_id", "box").alias("boxes")))
+    e, p = F.col("e"), F.col("p")
+    html = (F.when((e % 9 == 0) & (p == 2),
+                   F.lit("<html><body><p>No reviews yet.</p></body></html>"))
+             .when((e == 13) & (p == 1), F.lit("<html><body>Access Denied</body></html>"))
+             .otherwise(F.concat(F.lit("<html><body>"), F.col("boxes"),
+                                 F.lit("</body></html>"))))
+    slug = F.when(e % 3 == 0, F.concat(F.lit("/slug-"), e.cast("string"))).otherwise(F.lit(""))
+    rp = g.filter(~((e % 7 == 0) & (p == 3))).select(
+        (e * 100 + p).cast("long").alias("page_id"),
+        F.concat(F.lit(SITE + "/anime/"), e.cast("string"), slug,
+                 F.lit("/reviews?p="), p.cast("string")).alias("url"),
+        html.alias("html"))
+    q = F.when(e % 2 == 0, F.lit("'")).otherwise(F.lit('"'))
+    main = d.select("e").distinct().filter(e % 3 == 0).select(
+        (F.lit(100000) + e).cast("long").alias("page_id"),
+        F.concat(F.lit(SITE + "/anime/"), e.cast("string")).alias("url"),
+        F.concat(F.lit('<html><head><LINK REL="Canonical" href='), q, F.lit(SITE + "/anime/"),
+                 e.cast("string"), F.lit("/slug-"), e.cast("string"), q,
+                 F.lit("></head><body>main</body></html>")).alias("html"))
+    return rp.unionByName(main)
+
+
+def crawl_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_layout(spark, sf_dir).select(
+        F.col("e").cast("string").alias("entity_id")).distinct()
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking listing pages (list_page, html): 50 documents per page, each
+    a link to entity ``1 + (doc_id*7) % 97``, inside a ranking heading
+    unless doc_id % 3 == 0; every 4th page has no ranking headings."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    n = F.floor(i / 50).cast("long")
+    a = F.concat(F.lit(f'<a href="{SITE}/anime/'), (F.lit(1) + (i * 7) % 97).cast("string"),
+                 F.lit('/t">x</a>'))
+    inr = (i % 3 != 0) & (n % 4 != 3)
+    el = F.when(inr, F.concat(F.lit('<h3 class="anime_ranking_h3">'), a, F.lit("</h3>"))) \
+        .otherwise(F.concat(F.lit("<p>"), a, F.lit("</p>")))
+    return (d.select(n.alias("list_page"), "doc_id", el.alias("el"))
+             .groupBy("list_page").agg(_join_ordered("doc_id", "el").alias("html")))

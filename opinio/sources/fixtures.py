@@ -142,3 +142,28 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("<p>"), a, F.lit("</p>")))
     return (d.select(n.alias("list_page"), "doc_id", el.alias("el"))
              .groupBy("list_page").agg(_join_ordered("doc_id", "el").alias("html")))
+
+
+def llm_replies_from(df: DataFrame, id_col: str = "seq") -> DataFrame:
+    """Stored LLM replies (id, raw), eight reply shapes by ``id % 8``:
+    JSON positive; JSON negative with textual confidence; JSON inside prose;
+    single-quoted pseudo-JSON; plain negative sentence; prose naming both
+    sides; an empty object; JSON with null confidence and an unknown verdict.
+    The confidence and reason vary with the row's text length."""
+    i = F.col(id_col)
+    n = (F.length("text") % 101).cast("string")
+    k = (F.length("text") % 7).cast("string")
+    raw = (F.when(i % 8 == 0, F.concat(F.lit('{"sentimiento": "positiva", "confianza": '), n,
+                                       F.lit(', "razon": "  Tono favorable ('), k, F.lit(').  "}')))
+            .when(i % 8 == 1, F.concat(F.lit('{"sentimiento": "Negativa", "confianza": "'), n,
+                                       F.lit('", "razon": "Critica el ritmo"}')))
+            .when(i % 8 == 2, F.concat(F.lit('Claro, aqui va:\n{"sentimiento": "POSITIVA",\n'
+                                             ' "confianza": '), n,
+                                       F.lit(', "razon": "ok"}\nEspero que ayude.')))
+            .when(i % 8 == 3, F.concat(F.lit("{'sentimiento': 'positiva', 'confianza': "), n,
+                                       F.lit("}")))
+            .when(i % 8 == 4, F.lit("La reseña es negativa."))
+            .when(i % 8 == 5, F.lit("No es del todo positiva ni negativa."))
+            .when(i % 8 == 6, F.lit("{}"))
+            .otherwise(F.lit('{"sentimiento": "mixta", "confianza": null, "razon": null}')))
+    return df.select(i.alias("id"), raw.alias("raw"))

@@ -52,3 +52,32 @@ FROM raw, grp"""
 @register("cleaning_report", _REPORT_SQL)
 def cleaning_report(spark, sf_dir):
     return C.cleaning_report(reviews_raw(spark, sf_dir), min_chars=25)
+
+
+def _csv_roundtrip(spark, sf_dir):
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.files import read_reviews_csv, write_reviews_csv
+    from .catalog import stage
+
+    def build():
+        p = scratch_path(spark, f"csv-{uuid.uuid4().hex[:8]}")
+        write_reviews_csv(reviews_raw(spark, sf_dir), p)
+        return read_reviews_csv(spark, p, ["entity_id", "text", "label"],
+                                ordinal="_row").drop("_row")
+    return stage(spark, sf_dir, "csv_roundtrip", build)
+
+
+_NA = ", ".join("'" + t.replace("'", "''") + "'" for t in __import__(
+    "opinio.schema", fromlist=["NA_TOKENS"]).NA_TOKENS)
+
+
+@register("csv_roundtrip", f"""WITH {S.REVIEWS_RAW}
+SELECT CAST(seq AS VARCHAR) AS seq,
+  CASE WHEN entity_id IN ({_NA}) THEN NULL ELSE entity_id END AS entity_id,
+  CASE WHEN text IN ({_NA}) THEN NULL ELSE text END AS text,
+  CASE WHEN label IN ({_NA}) THEN NULL ELSE label END AS label FROM reviews_raw""")
+def csv_roundtrip(spark, sf_dir):
+    """O01 + O04: quote-all CSV written and read back as text columns."""
+    return _csv_roundtrip(spark, sf_dir).select("seq", "entity_id", "text", "label")

@@ -45,4 +45,4 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import (q_clean, q_balance, q_evaluate, q_tokens, q_pages,  # noqa
-                   q_llm, q_runs, q_stream)
+                   q_llm, q_runs, q_stream, q_score)

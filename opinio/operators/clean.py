@@ -52,7 +52,7 @@ def clean_reviews(df: DataFrame, min_chars: int = 25, text_col: str = "text",
                   marker_col: str = "marker", order_col: str = "seq") -> DataFrame:
     """The full cleaning job (O30-O38) returning the surviving rows."""
     f = filter_reviews(df, text_col, label_col, entity_col, min_chars, True)
-    f = with_review_key(f, text_col, "_key")
+    f = with_review_key(f, text_col, "_key", normalise="collapse")
     out = keep_first(f, [entity_col, "_key"], order_col).drop("_key")
     return normalise_marker(out, marker_col)
 
@@ -94,7 +94,7 @@ def cleaning_report(df: DataFrame, min_chars: int = 25, text_col: str = "text",
 
     f = with_review_key(
         filter_reviews(df, text_col, label_col, entity_col, min_chars, True),
-        text_col, "_key")
+        text_col, "_key", normalise="collapse")
     groups = f.groupBy(entity_col, "_key").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by(label_col, order_col).alias("_first_label"),

@@ -14,13 +14,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import key_hash, norm_key
+from ..functions.text import collapse_ws, key_hash, norm_key
 
 
 def with_review_key(df: DataFrame, text_col: str = "text",
-                    key_col: str = "_key", normalise: bool = True) -> DataFrame:
-    """Add the 16-byte digest of the normalised text."""
-    k = norm_key(text_col) if normalise else F.col(text_col)
+                    key_col: str = "_key", normalise: bool | str = True) -> DataFrame:
+    """Add the 16-byte digest of the normalised text.
+
+    ``normalise="collapse"`` is for text already stripped and lower-cased
+    (only whitespace runs are collapsed); ``False`` hashes the text as is.
+    """
+    if normalise == "collapse":
+        k = collapse_ws(text_col)
+    else:
+        k = norm_key(text_col) if normalise else F.col(text_col)
     return df.withColumn(key_col, key_hash(k))
 
 
@@ -30,20 +37,41 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
     return df.groupBy(*keys).agg(F.min(order).alias(order))
 
 
+def packed_order(parts) -> Column:
+    """One LONG ordering (col1, col2, …) lexicographically.
+
+    ``parts`` is ``[(column, bits), …]`` (at most 63 bits in total); each
+    value must lie in [0, 2^bits) or the job fails loudly. A single long
+    keeps ``min`` inside the hash aggregate (a struct minimum would fall
+    back to a sort-based aggregate).
+    """
+    total = sum(b for _, b in parts)
+    if total > 63:
+        raise ValueError("packed order needs more than 63 bits")
+    expr, ok = F.lit(0).cast("long"), F.lit(True)
+    for c, b in parts:
+        v = (F.col(c) if isinstance(c, str) else c).cast("long")
+        ok = ok & (v >= 0) & (v < F.lit(1 << b).cast("long"))
+        expr = expr * F.lit(1 << b).cast("long") + v
+    return F.when(ok, expr).otherwise(
+        F.raise_error(F.lit("order value out of its packed range")))
+
+
 def keep_first(df: DataFrame, keys: Sequence[str],
-               order: str | Sequence[str] = "seq") -> DataFrame:
+               order: str | Sequence = "seq", unique_order: bool = True) -> DataFrame:
     """Keep the first row (smallest ``order``) of each ``keys`` group.
 
-    ``order`` (one column, or several compared left to right) must be
-    unique per row, e.g. a file ordinal or (source, ordinal).
+    ``order`` is one column, or ``[(column, bits), …]`` packed into one
+    long (see ``packed_order``). With ``unique_order`` (a file ordinal or
+    id, unique across the table) survivors are found by a semi join on the
+    order alone; otherwise on keys + order.
     """
-    if isinstance(order, str):
-        winners = first_per_key(df, keys, order).select(order)
-        return df.join(winners, on=order, how="left_semi")
-    order = list(order)
-    w = (df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_w"))
-           .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in order]))
-    return df.join(w, on=[*keys, *order], how="left_semi")
+    if not isinstance(order, str):
+        d = df.withColumn("_ord", packed_order(order))
+        return keep_first(d, keys, "_ord", unique_order=False).drop("_ord")
+    winners = first_per_key(df, keys, order)
+    on = [order] if unique_order else [*keys, order]
+    return df.join(winners.select(*on), on=on, how="left_semi")
 
 
 def keep_first_by_text(df: DataFrame, keys: Sequence[str] = ("entity_id",),

@@ -177,7 +177,8 @@ def extract_reviews(entities: DataFrame, pages: DataFrame, site: str,
     rec = rec.withColumn("label", F.when(F.col("marker") == "recommended", 1)
                          .otherwise(0))
     rec = with_review_key(rec, "text", "_key")
-    return keep_first(rec, ["entity_id", "_key"], ["page", "box_pos"]).drop("_key")
+    return keep_first(rec, ["entity_id", "_key"],
+                      [("page", 24), ("box_pos", 39)]).drop("_key")
 
 
 def page_counters(records: DataFrame) -> DataFrame:

@@ -10,8 +10,39 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+_SPREAD: dict = {}
+
+
+def spread(df: DataFrame, key=None) -> DataFrame:
+    """Spread an under-partitioned scan over the cluster's cores.
+
+    A file with a single row group is read by one task, and all text work
+    up to the first shuffle (strip, regexes, hashing: Catalyst pushes those
+    filters into the scan stage) would run on one core. When a scan yields
+    fewer partitions than the default parallelism, it is round-robined once
+    and checkpointed to ``spark.checkpoint.dir`` (memoised per ``key``), so
+    later scans start with full parallelism. Inputs with enough partitions
+    (every large table) are returned untouched: no shuffle, no copy.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    k = (id(spark), key) if key is not None else None
+    if k is not None and k in _SPREAD:
+        return _SPREAD[k]
+    from ..session import materialize
+    out = materialize(df.repartition(target))
+    if k is not None:
+        _SPREAD[k] = out
+    return out
+
+
+def table(spark: SparkSession, sf_dir: str, name: str,
+          widen: bool = True) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, key=path) if widen else df
 
 
 def concat_sources(frames, text_col: str = "text",

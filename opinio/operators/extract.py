@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import collapse_ws, norm_key, ustrip
-from .dedupe import keep_first, with_review_key
+from .dedupe import keep_first, packed_order, with_review_key
 from .htmlboxes import anchors, review_boxes
 
 ENTITY_URL = r"/anime/(\d+)"
@@ -215,7 +215,9 @@ def ranked_entities(listing: DataFrame, max_n: int) -> DataFrame:
         F.col("entity_id").isNotNull())
     has = F.max(F.col("in_ranking").cast("int")).over(Window.partitionBy("list_page"))
     a = a.withColumn("_has", has).filter(F.col("in_ranking") | (F.col("_has") == 0))
-    first = a.groupBy("entity_id").agg(F.min(F.struct("list_page", "pos")).alias("f"))
-    top = first.orderBy("f.list_page", "f.pos").limit(int(max_n))
-    w = Window.orderBy("f.list_page", "f.pos")   # over <= max_n rows
+    # (page, position) packed into one long keeps min() in the hash aggregate
+    a = a.withColumn("_o", packed_order([("list_page", 40), ("pos", 23)]))
+    first = a.groupBy("entity_id").agg(F.min("_o").alias("_o"))
+    top = first.orderBy("_o").limit(int(max_n))     # TakeOrderedAndProject
+    w = Window.orderBy("_o")                         # over <= max_n rows
     return top.select((F.row_number().over(w)).alias("rank"), "entity_id")

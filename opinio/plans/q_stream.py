@@ -47,3 +47,24 @@ def stream_batch_stats(spark, sf_dir):
     base = _BASES[(id(spark), sf_dir)]
     return spark.read.parquet(f"{base}/out/stats").select(
         "batch_id", "rows_in", "new_rows", "discarded")
+
+
+def _run_state(spark, sf_dir):
+    from ..streaming import incremental_dedupe_state
+
+    def build():
+        base = scratch_path(spark, f"stream-state-{uuid.uuid4().hex[:8]}")
+        src = C.filter_reviews(reviews_raw(spark, sf_dir), min_chars=25)
+        write_batches(src, f"{base}/in", K)
+        schema = spark.read.parquet(f"{base}/in").schema
+        incremental_dedupe_state(spark, f"{base}/in", schema, f"{base}/out",
+                                 f"{base}/ckpt")
+        return spark.read.parquet(f"{base}/out")
+    return stage(spark, sf_dir, "stream_state_rows", build)
+
+
+@register("stream_state_keys", f"""WITH {S.REVIEWS_RAW}, {S.filtered('reviews_raw', 25)}
+SELECT DISTINCT entity_id, {S.norm('text')} AS key_text FROM filtered""")
+def stream_state_keys(spark, sf_dir):
+    """State-store variant (``dropDuplicates``): same key set as the batch."""
+    return _run_state(spark, sf_dir).select("entity_id", norm_key("text").alias("key_text"))

@@ -20,8 +20,9 @@ def spread(df: DataFrame, key=None) -> DataFrame:
     up to the first shuffle (strip, regexes, hashing: Catalyst pushes those
     filters into the scan stage) would run on one core. When a scan yields
     fewer partitions than the default parallelism, it is round-robined once
-    and checkpointed to ``spark.checkpoint.dir`` (memoised per ``key``), so
-    later scans start with full parallelism. Inputs with enough partitions
+    into a parquet copy under ``spark.checkpoint.dir`` (memoised per
+    ``key``) and read back, so later scans start with full parallelism and
+    keep column pruning and filter pushdown. Inputs with enough partitions
     (every large table) are returned untouched: no shuffle, no copy.
     """
     spark = df.sparkSession
@@ -30,12 +31,14 @@ def spread(df: DataFrame, key=None) -> DataFrame:
         return df
     k = (id(spark), key) if key is not None else None
     if k is not None and k in _SPREAD:
-        return _SPREAD[k]
-    from ..session import materialize
-    out = materialize(df.repartition(target))
+        return spark.read.parquet(_SPREAD[k])
+    from ..session import scratch_path
+    import uuid
+    path = scratch_path(spark, f"spread-{uuid.uuid4().hex[:8]}")
+    df.repartition(target).write.mode("overwrite").parquet(path)
     if k is not None:
-        _SPREAD[k] = out
-    return out
+        _SPREAD[k] = path
+    return spark.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str,

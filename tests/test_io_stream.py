@@ -79,3 +79,20 @@ def test_stream_equals_batch_and_replays(spark):
     # a second run on the same checkpoint finds nothing new and changes nothing
     incremental_dedupe(spark, f"{base}/in", schema, f"{base}/out", f"{base}/ck")
     assert spark.read.parquet(f"{base}/out/rows").count() == rows.count()
+
+
+def test_state_store_stream_matches_batch_keys(spark):
+    from opinio.streaming import incremental_dedupe_state
+    n = 300
+    df = spark.range(n).select(
+        F.col("id").alias("seq"), (F.col("id") % 2).cast("string").alias("entity_id"),
+        F.concat(F.lit("Same "), (F.col("id") % 40).cast("string")).alias("text"))
+    base = _tmp()
+    write_batches(df, f"{base}/in", 3)
+    schema = spark.read.parquet(f"{base}/in").schema
+    incremental_dedupe_state(spark, f"{base}/in", schema, f"{base}/out", f"{base}/ck")
+    got = spark.read.parquet(f"{base}/out")
+    want = df.select("entity_id", F.lower("text")).distinct().count()
+    assert want == 40
+    assert got.count() == want
+    assert got.select("entity_id", "key_hash").distinct().count() == want

@@ -98,3 +98,31 @@ def test_require_columns(spark):
     with pytest.raises(ValueError, match=r"\['label', 'text'\]"):
         C.require_columns(spark.createDataFrame([(1,)], "entity_id int"),
                           ["entity_id", "text", "label"])
+
+
+def test_marker_and_loader_variant(spark):
+    df = spark.createDataFrame([(1, "a", "  Mixed CASE text kept  ", " RECOMMENDED ", "1.0"),
+                                (2, "a", None, "x", "1"), (3, None, "no entity needed", None, "0")],
+                               "seq long, entity_id string, text string, marker string, label string")
+    m = {r["seq"]: r["marker"] for r in C.normalise_marker(df).collect()}
+    assert m[1] == "recommended" and m[3] is None
+    got = {r["seq"]: (r["text"], r["label"]) for r in C.load_labelled(df).collect()}
+    assert got == {1: ("Mixed CASE text kept", 1), 3: ("no entity needed", 0)}
+
+
+def test_balance_guards(spark):
+    import pytest
+
+    from opinio.operators import balance as B
+    rows = [(i, "e", f"positive review number {i}", "1") for i in range(3)]
+    pos_only = spark.createDataFrame(rows, "seq long, entity_id string, text string, label string")
+    with pytest.raises(ValueError, match="no negative"):
+        B.balance(pos_only, pos_only, check=True)
+    neg = spark.createDataFrame([(i + 10, "e", f"bad review {i}", "0") for i in range(5)],
+                                "seq long, entity_id string, text string, label string")
+    with pytest.raises(ValueError, match="not enough positives"):
+        B.balance(pos_only, neg, check=True)
+    ok = B.balance(neg.unionByName(pos_only), neg.limit(2), check=True)
+    c = {r["label"]: r["n"] for r in ok.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert c == {0: 2, 1: 2}
+    B.assert_no_duplicates(ok)

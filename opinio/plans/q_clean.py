@@ -81,3 +81,13 @@ SELECT CAST(seq AS VARCHAR) AS seq,
 def csv_roundtrip(spark, sf_dir):
     """O01 + O04: quote-all CSV written and read back as text columns."""
     return _csv_roundtrip(spark, sf_dir).select("seq", "entity_id", "text", "label")
+
+
+@register("labelled_rows", f"""WITH {S.REVIEWS_RAW},
+t AS (SELECT seq, entity_id, {S.strip('text')} AS text, {S.label('label')} AS label
+      FROM reviews_raw WHERE text IS NOT NULL AND label IS NOT NULL)
+SELECT seq, entity_id, text, label FROM t WHERE text <> '' AND label IS NOT NULL""")
+def labelled_rows(spark, sf_dir):
+    """The training/evaluation loader (strip without lower-casing, no
+    length rule, no dedupe, entity not required)."""
+    return C.load_labelled(reviews_raw(spark, sf_dir)).select("seq", "entity_id", "text", "label")

@@ -69,11 +69,11 @@ def first_fetched(plan: DataFrame, pages: DataFrame) -> DataFrame:
     """Per (entity, page) the page_id of the first candidate URL that
     was fetched, null when none was. Only (url, page_id) is joined, never
     the HTML."""
-    hit = plan.join(pages.select("url", "page_id"), "url")
-    won = hit.groupBy("entity_id", "page").agg(
-        F.min_by("page_id", "cand_rank").alias("page_id"))
-    slots = plan.select("entity_id", "page").distinct()
-    return slots.join(won, ["entity_id", "page"], "left")
+    hit = plan.join(pages.select("url", "page_id"), "url", "left")
+    # min_by skips null orderings: candidates that were not fetched never win
+    rank = F.when(F.col("page_id").isNotNull(), F.col("cand_rank"))
+    return hit.groupBy("entity_id", "page").agg(
+        F.min_by("page_id", rank).alias("page_id"))
 
 
 BOX_SCHEMA = T.StructType([

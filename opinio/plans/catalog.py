@@ -30,16 +30,23 @@ _STAGES: dict = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Build a stage once per (session, sf_dir) and materialise it.
+    """Build a stage once per (session, sf_dir) and keep it as a table.
 
-    Later queries of the same run read the checkpointed table instead of
-    re-running the chain that produced it.
+    The result is written as parquet under ``spark.checkpoint.dir`` (a
+    written table in the shared folder: lineage is cut, lost executors do
+    not recompute the chain) and read back, so later queries of the run
+    scan it with column pruning and filter pushdown instead of re-running
+    the chain that produced it.
     """
-    from ..session import materialize
+    import uuid
+
+    from ..session import scratch_path
     key = (id(spark), sf_dir, name)
     if key not in _STAGES:
-        _STAGES[key] = materialize(build())
-    return _STAGES[key]
+        path = scratch_path(spark, f"stage-{name}-{uuid.uuid4().hex[:8]}")
+        build().write.mode("overwrite").parquet(path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])
 
 
 def load_all() -> None:

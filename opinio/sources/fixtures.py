@@ -15,6 +15,12 @@ from .tables import table
 
 
 def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw review table (built once per run, then read as a table)."""
+    from ..plans.catalog import stage
+    return stage(spark, sf_dir, "reviews_raw", lambda: build_reviews_raw(spark, sf_dir))
+
+
+def build_reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty review records (seq, entity_id, text, label as text).
 
     Null and blank texts, bad/null/"1.0"-style labels, whitespace-variant
@@ -86,6 +92,12 @@ def _join_ordered(order_col: str, piece: str):
 
 
 def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl dump table (built once per run, then read as a table)."""
+    from ..plans.catalog import stage
+    return stage(spark, sf_dir, "review_pages", lambda: build_review_pages(spark, sf_dir))
+
+
+def build_review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl dump with review boxes (page_id, url, html), FIXTURES §3.
 
     Entity ``1 + doc_id % 20``, page ``1 + floor(doc_id/20) % 5``; page 3 of
@@ -129,6 +141,12 @@ def crawl_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing-page table (built once per run, then read as a table)."""
+    from ..plans.catalog import stage
+    return stage(spark, sf_dir, "listing_pages", lambda: build_listing_pages(spark, sf_dir))
+
+
+def build_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking listing pages (list_page, html): 50 documents per page, each
     a link to entity ``1 + (doc_id*7) % 97``, inside a ranking heading
     unless doc_id % 3 == 0; every 4th page has no ranking headings."""

@@ -24,7 +24,9 @@ def build_corpus(frames, text_col: str = "text", order_col: str = "seq",
     u = (u.withColumn(text_col, t)
           .filter(F.length(text_col) > F.lit(int(min_len)))
           .withColumn("_key", key_hash(F.lower(text_col))))
-    out = keep_first(u, ["_key"], [("src_ord", 8), (order_col, 55)]).drop("_key")
+    # (source, ordinal) is unique across the union
+    out = keep_first(u, ["_key"], [("src_ord", 8), (order_col, 55)],
+                     unique_order=True).drop("_key")
     if max_samples and max_samples > 0:
         out = out.orderBy("src_ord", order_col).limit(int(max_samples))
     return out

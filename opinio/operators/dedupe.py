@@ -68,9 +68,12 @@ def keep_first(df: DataFrame, keys: Sequence[str],
     """
     if not isinstance(order, str):
         d = df.withColumn("_ord", packed_order(order))
-        return keep_first(d, keys, "_ord", unique_order=False).drop("_ord")
+        return keep_first(d, keys, "_ord", unique_order).drop("_ord")
+    if unique_order:
+        winners = first_per_key(df, keys, order).select(order)
+        return df.join(winners, on=order, how="left_semi")
     winners = first_per_key(df, keys, order)
-    on = [order] if unique_order else [*keys, order]
+    on = [*keys, order]
     return df.join(winners.select(*on), on=on, how="left_semi")
 
 

@@ -72,6 +72,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFr
                 F.greatest(F.lit(0), F.floor(F.col("_s") * AUC_BUCKETS).cast("int")))
     per = per.withColumn("_bk", b)
     bt = per.groupBy("_bk").agg(F.sum("_neg").alias("_bneg"))
+    # the bucket table has at most AUC_BUCKETS rows: one small ordered pass
     wb = Window.partitionBy().orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select("_bk", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)).alias("_off"))
     wi = (Window.partitionBy("_bk").orderBy("_s")

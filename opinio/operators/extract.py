@@ -177,8 +177,9 @@ def extract_reviews(entities: DataFrame, pages: DataFrame, site: str,
     rec = rec.withColumn("label", F.when(F.col("marker") == "recommended", 1)
                          .otherwise(0))
     rec = with_review_key(rec, "text", "_key")
+    # (page, position) is unique within an entity only
     return keep_first(rec, ["entity_id", "_key"],
-                      [("page", 24), ("box_pos", 39)]).drop("_key")
+                      [("page", 24), ("box_pos", 39)], unique_order=False).drop("_key")
 
 
 def page_counters(records: DataFrame) -> DataFrame:

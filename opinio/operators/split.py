@@ -17,7 +17,10 @@ from .rank import assign_bands, seeded_hash
 
 def _apportion(counts: DataFrame, total_col: str, n_col: str,
                out_col: str) -> DataFrame:
-    """Largest-remainder split of ``total_col`` over labels by ``n_col``."""
+    """Largest-remainder split of ``total_col`` over labels by ``n_col``.
+
+    ``counts`` has one row per label, so the unpartitioned windows here run
+    over a handful of rows."""
     w_all = Window.partitionBy()
     share = (F.col(total_col) * F.col(n_col)
              / F.sum(n_col).over(w_all).cast("double"))

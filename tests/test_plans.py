@@ -21,11 +21,13 @@ def _rows(spark, n=2000):
 
 
 def test_keep_first_is_partial_hash_aggregate(spark):
-    p = plan(keep_first(_rows(spark), ["k"], "seq"))
+    df = keep_first(_rows(spark), ["k"], "seq")
+    p = plan(df)
     assert "HashAggregate" in p and "partial_min" in p
     assert "Window" not in p and "SortAggregate" not in p
 
 
+
 def test_packed_order_stays_hash_based(spark):
     p = plan(keep_first(_rows(spark), ["k"], [("label", 8), ("seq", 55)]))
     assert "partial_min" in p and "SortAggregate" not in p
@@ -54,8 +56,7 @@ def test_take_n_ranks_only_cut_buckets(spark):
 
 
 def test_scan_prunes_columns(spark):
-    import __spark_entry__ as E
-    df = E.queries()["clean_reviews"](spark, "/root/testdata/sf0.001")
-    p = plan(df)
+    from opinio.sources.fixtures import build_reviews_raw
+    p = plan(build_reviews_raw(spark, "/root/testdata/sf0.001"))
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in p
     assert "n_chars" not in p

@@ -32,21 +32,31 @@ def entity_from_url(url, pattern: str = ENTITY_URL) -> Column:
     return F.nullif(F.regexp_extract(u, pattern, 1), F.lit(""))
 
 
-def canonical_base(html: Column, entity: Column, site: str) -> Column:
-    """Reviews base URL from the canonical link's slug, else the
-    slug-less URL. Case-insensitive; the slug ends at a quote, /, ? or #."""
+def canonical_slug(html: Column, entity: Column, site: str) -> Column:
+    """Slug of the canonical link for this entity, else null.
+    Case-insensitive; the slug ends at a quote, /, ? or #."""
     pat = F.concat(
         F.lit("(?i)<link[^>]+rel=[\"']canonical[\"'][^>]+href=[\"']"
               + re.escape(site) + "/anime/"),
         entity, F.lit("/([^\"'/?#]+)"))
     # the pattern embeds the row's entity id, so it is a column, not a literal
-    slug = F.nullif(F.call_function("regexp_extract", F.coalesce(html, F.lit("")),
+    return F.nullif(F.call_function("regexp_extract", F.coalesce(html, F.lit("")),
                                     pat, F.lit(1)), F.lit(""))
+
+
+def reviews_base(entity: Column, slug: Column, site: str) -> Column:
+    """Reviews base URL: with the slug when known, else slug-less."""
     plain = F.concat(F.lit(site + "/anime/"), entity, F.lit("/reviews"))
     return F.when(slug.isNull(), plain).otherwise(
         F.concat(F.lit(site + "/anime/"), entity, F.lit("/"), slug, F.lit("/reviews")))
 
 
+def canonical_base(html: Column, entity: Column, site: str) -> Column:
+    """Reviews base URL from the canonical link's slug, else the
+    slug-less URL."""
+    return reviews_base(entity, canonical_slug(html, entity, site), site)
+
+
 def candidate_plan(entities: DataFrame, pages_per_entity: int, site: str,
                    base_col: str = "base") -> DataFrame:
     """(entity_id, page, cand_rank, url) in fixed preference order:
@@ -79,6 +89,8 @@ def first_fetched(plan: DataFrame, pages: DataFrame) -> DataFrame:
 BOX_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("blocked", T.BooleanType()),
+    T.StructField("main_entity", T.StringType()),
+    T.StructField("slug", T.StringType()),
     T.StructField("box_pos", T.IntegerType()),
     T.StructField("tags", T.ArrayType(T.StringType())),
     T.StructField("head", T.StringType()),
@@ -89,25 +101,47 @@ BOX_SCHEMA = T.StructType([
 def _boxes_fn(batches):
     for pdf in batches:
         rows = []
-        for pid, blocked, html in zip(pdf["page_id"], pdf["blocked"], pdf["html"]):
+        for pid, blocked, me, slug, html in zip(pdf["page_id"], pdf["blocked"],
+                                                pdf["main_entity"], pdf["slug"], pdf["html"]):
             bx = review_boxes(html or "")
             if not bx:
-                rows.append((pid, blocked, None, None, None, None))
+                rows.append((pid, blocked, me, slug, None, None, None, None))
             for pos, tags, head, body in bx:
-                rows.append((pid, blocked, pos, tags, head, body))
+                rows.append((pid, blocked, me, slug, pos, tags, head, body))
         yield pd.DataFrame(rows, columns=[f.name for f in BOX_SCHEMA.fields])
 
 
-def explode_boxes(pages: DataFrame) -> DataFrame:
+MAIN_PAGE_URL = r"/anime/(\d+)/?$"
+
+
+def explode_boxes(pages: DataFrame, site: str | None = None) -> DataFrame:
     """One row per review box (pages without boxes: one null box).
 
-    The blocked test is a native regex evaluated before the Python step.
+    Page-level facts are computed natively in the same scan, before the
+    Python step, so the HTML column is read once: the blocked test, and
+    for an entity's main page (URL ``…/anime/<id>``) the canonical slug
+    (O12) when ``site`` is given.
     """
-    src = pages.select("page_id", F.coalesce(F.col("html"), F.lit(""))
-                       .rlike(BLOCK_RE).alias("blocked"), "html")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    me = entity_from_url("url", MAIN_PAGE_URL)
+    slug = (F.when(me.isNotNull(), canonical_slug(html, me, site)) if site
+            else F.lit(None).cast("string"))
+    src = pages.select("page_id", html.rlike(BLOCK_RE).alias("blocked"),
+                       me.alias("main_entity"), slug.alias("slug"), "html")
     return src.mapInPandas(_boxes_fn, BOX_SCHEMA)
 
 
+def entity_bases(entities: DataFrame, boxes: DataFrame, site: str) -> DataFrame:
+    """(entity_id, base): reviews base URL per entity from the main-page
+    facts carried by ``explode_boxes`` (no second pass over the HTML)."""
+    main = (boxes.filter(F.col("main_entity").isNotNull())
+                 .groupBy(F.col("main_entity").alias("entity_id"))
+                 .agg(F.max("slug").alias("slug")))
+    ent = entities.select(F.col("entity_id").cast("string").alias("entity_id"))
+    return ent.join(main, "entity_id", "left").select(
+        "entity_id", reviews_base(F.col("entity_id"), F.col("slug"), site).alias("base"))
+
+
 def marker(tags: Column, head: Column) -> Column:
     """First tag that mentions "recommended" decides (``not
     recommended`` -> negative); otherwise the first 260 characters of the
@@ -156,15 +190,10 @@ def extract_reviews(entities: DataFrame, pages: DataFrame, site: str,
     ``entities`` has ``entity_id``; ``mode='negatives'`` keeps only
     not-recommended reviews (label 0).
     """
-    ent = entities.select(F.col("entity_id").cast("string").alias("entity_id"))
-    main = pages.select(entity_from_url("url", r"/anime/(\d+)/?$").alias("entity_id"),
-                        "html").filter(F.col("entity_id").isNotNull())
-    main = main.groupBy("entity_id").agg(F.max("html").alias("html"))
-    ent = ent.join(main, "entity_id", "left").select(
-        "entity_id", canonical_base(F.col("html"), F.col("entity_id"), site).alias("base"))
+    bx = boxes if boxes is not None else explode_boxes(pages, site)
+    ent = entity_bases(entities, bx, site)
     plan = candidate_plan(ent, pages_per_entity, site)
     slots = first_fetched(plan, pages)
-    bx = boxes if boxes is not None else explode_boxes(pages)
     kept = stop_at_gap(page_status(slots, bx)).filter(F.col("status") == "ok")
     b = bx.filter(F.col("box_pos").isNotNull()).join(
         kept.select("page_id", "entity_id", "page"), "page_id")

@@ -20,7 +20,7 @@ def page_entity_ids(spark, sf_dir):
 
 def boxes(spark, sf_dir):
     return stage(spark, sf_dir, "boxes",
-                 lambda: X.explode_boxes(FX.review_pages(spark, sf_dir)))
+                 lambda: X.explode_boxes(FX.review_pages(spark, sf_dir), FX.SITE))
 
 
 def records(spark, sf_dir, mode="all"):
@@ -85,11 +85,7 @@ SELECT CAST(st.e AS VARCHAR) AS entity_id, CAST(st.p AS INTEGER) AS page, status
 FROM st JOIN stp ON st.e = stp.e""")
 def page_status(spark, sf_dir):
     pages = FX.review_pages(spark, sf_dir)
-    ent = FX.crawl_entities(spark, sf_dir)
-    main = pages.select(X.entity_from_url("url", r"/anime/(\d+)/?$").alias("entity_id"),
-                        "html").filter(F.col("entity_id").isNotNull())
-    ent = ent.join(main, "entity_id", "left").select(
-        "entity_id", X.canonical_base(F.col("html"), F.col("entity_id"), FX.SITE).alias("base"))
+    ent = X.entity_bases(FX.crawl_entities(spark, sf_dir), boxes(spark, sf_dir), FX.SITE)
     slots = X.first_fetched(X.candidate_plan(ent, FX.PAGES_PER_ENTITY, FX.SITE), pages)
     st = X.page_status(slots, boxes(spark, sf_dir))
     kept = X.stop_at_gap(st).select("entity_id", "page", F.lit(True).alias("kept"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .clean import filter_reviews
 from .dedupe import duplicate_rows, keep_first_by_text, with_review_key
-from .rank import assign_bands, seeded_hash, with_rank
+from .rank import seeded_hash, take_n, with_rank
 
 KEY = ["entity_id", "_key"]
 
@@ -25,35 +25,37 @@ def class_inputs(general: DataFrame, negatives: DataFrame):
     return pos, neg
 
 
-def check_classes(pos: DataFrame, neg: DataFrame) -> int:
-    """O46 guards, one aggregation job: fail if no negatives or too few
-    positives. Returns the target size."""
+def class_counts(pos: DataFrame, neg: DataFrame) -> tuple[int, int]:
+    """(positives, negatives) available, in one aggregation job."""
     c = (pos.select(F.lit(1).alias("p")).unionByName(neg.select(F.lit(0).alias("p")))
          .agg(F.count_if(F.col("p") == 1).alias("pos"),
               F.count_if(F.col("p") == 0).alias("neg")).first())
-    if c["neg"] == 0:
+    return int(c["pos"]), int(c["neg"])
+
+
+def check_classes(pos: DataFrame, neg: DataFrame) -> int:
+    """O46 guards: fail if no negatives or too few positives. Returns the
+    target size (the number of negatives)."""
+    n_pos, n_neg = class_counts(pos, neg)
+    if n_neg == 0:
         raise ValueError("no negative reviews to balance against")
-    if c["pos"] < c["neg"]:
-        raise ValueError(f"not enough positives: available={c['pos']} "
-                         f"required={c['neg']}")
-    return int(c["neg"])
+    if n_pos < n_neg:
+        raise ValueError(f"not enough positives: available={n_pos} "
+                         f"required={n_neg}")
+    return n_neg
 
 
 def balance(general: DataFrame, negatives: DataFrame, seed: int = 42,
             check: bool = False, with_order: bool = True) -> DataFrame:
     """Negatives + an exact seeded sample of as many positives.
 
-    The sample size is taken lazily from the negatives' count, so the whole
-    job is one plan; ``check=True`` runs the O46 guards first on the driver.
-    ``with_order`` adds ``ord``: the seeded shuffle position (O49).
+    The target size is the negatives' count (one aggregation job; with
+    ``check=True`` the O46 guards run on it). ``with_order`` adds ``ord``:
+    the seeded shuffle position (O49).
     """
     pos, neg = class_inputs(general, negatives)
-    if check:
-        check_classes(pos, neg)
-    bands = neg.agg(F.count(F.lit(1)).alias("hi")).select(
-        F.lit("take").alias("band"), F.lit(0).cast("long").alias("lo"), "hi")
-    sample = assign_bands(pos, [], seeded_hash(seed, "seq"), "seq", bands,
-                          "_band").drop("_band")
+    target = check_classes(pos, neg) if check else class_counts(pos, neg)[1]
+    sample = take_n(pos, target, seeded_hash(seed, "seq"), "seq")
     out = neg.unionByName(sample)
     if with_order:
         out = with_rank(out, [], seeded_hash(seed, "seq", "shuffle|"), "seq",

@@ -50,18 +50,29 @@ def split_sizes(df: DataFrame, test_size: float = 0.2,
                     .alias("n_train"))
 
 
+MAX_STRATA = 10_000
+
+
 def stratified_split(df: DataFrame, seed: int = 42, test_size: float = 0.2,
                      val_size: float = 0.1, id_col: str = "seq") -> DataFrame:
-    """Add ``split`` in {train, val, test} (O55 + O56)."""
-    s = split_sizes(df, test_size, val_size)
-    big = F.lit(2 ** 62).cast("long")
-    t, v = F.col("n_test"), F.col("n_test") + F.col("n_val")
-    bands = (s.select("label", F.lit("test").alias("band"),
-                      F.lit(0).cast("long").alias("lo"), t.alias("hi"))
-             .unionByName(s.select("label", F.lit("val").alias("band"),
-                                   t.alias("lo"), v.alias("hi")))
-             .unionByName(s.select("label", F.lit("train").alias("band"),
-                                   v.alias("lo"), big.alias("hi"))))
+    """Add ``split`` in {train, val, test} (O55 + O56).
+
+    The per-label sizes come from one aggregation job; that table has one
+    row per label (checked against ``MAX_STRATA``) and is passed to the
+    band assignment as a literal, so the tiny sizes computation is not
+    re-planned inside every branch that uses it.
+    """
+    sizes = split_sizes(df, test_size, val_size).collect()
+    if len(sizes) > MAX_STRATA:
+        raise ValueError(f"{len(sizes)} labels: too many strata for a split")
+    rows = []
+    for r in sizes:
+        t, v = int(r["n_test"]), int(r["n_test"]) + int(r["n_val"])
+        rows += [(r["label"], "test", 0, t), (r["label"], "val", t, v),
+                 (r["label"], "train", v, 2 ** 62)]
+    ltype = df.schema["label"].dataType.simpleString()
+    bands = df.sparkSession.createDataFrame(
+        rows, f"label {ltype}, band string, lo long, hi long")
     return assign_bands(df, ["label"], seeded_hash(seed, id_col), id_col,
                         bands, "split")
 

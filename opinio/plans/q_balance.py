@@ -109,8 +109,7 @@ def split_plan(spark, sf_dir):
 @register("sample_positives", f"WITH {BAL_CTES}\nSELECT * FROM samp")
 def sample_positives(spark, sf_dir):
     pos, neg = B.class_inputs(cleaned(spark, sf_dir), cleaned(spark, sf_dir))
-    bands = neg.agg(F.count(F.lit(1)).alias("hi")).select(
-        F.lit("take").alias("band"), F.lit(0).cast("long").alias("lo"), "hi")
-    from ..operators.rank import assign_bands, seeded_hash
-    return assign_bands(pos, [], seeded_hash(SEED, "seq"), "seq", bands,
-                        "_band").select("seq", "entity_id", "text", "label")
+    from ..operators.rank import seeded_hash, take_n
+    n = B.class_counts(pos, neg)[1]
+    return take_n(pos, n, seeded_hash(SEED, "seq"), "seq").select(
+        "seq", "entity_id", "text", "label")

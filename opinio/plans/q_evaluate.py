@@ -126,3 +126,25 @@ def top_errors(spark, sf_dir):
 SELECT count(*) AS n_errors FROM err""")
 def error_count(spark, sf_dir):
     return EV.error_count(scored(spark, sf_dir))
+
+
+@register("metrics_document")
+def metrics_document(spark, sf_dir):
+    """The nested metrics document and its JSON text (rows-only)."""
+    return EV.metrics_document(EV.evaluate(scored(spark, sf_dir), batch_col="batch_id"))
+
+
+@register("metrics_json_roundtrip")
+def metrics_json_roundtrip(spark, sf_dir):
+    """Standalone metrics document written as JSON and read back."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.files import read_metrics_json, write_metrics_json
+
+    def build():
+        p = scratch_path(spark, f"metrics-{uuid.uuid4().hex[:8]}")
+        write_metrics_json(EV.metrics_document(EV.evaluate(scored(spark, sf_dir)),
+                                               standalone=True), p)
+        return read_metrics_json(spark, p)
+    return stage(spark, sf_dir, "metrics_json", build)

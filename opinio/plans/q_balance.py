@@ -74,15 +74,16 @@ register("balanced_reviews", f"WITH {BAL_CTES}\nSELECT * FROM bal")(balanced)
 g AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = 0) AS ng,
         count(*) FILTER (WHERE label = 1) AS ps FROM bal
       GROUP BY entity_id, {S.norm('text')})
-SELECT sum(n) AS total, sum(ng) AS negatives, sum(ps) AS positives,
-  coalesce(sum(n) FILTER (WHERE n > 1), 0) AS duplicate_rows FROM g""")
+SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(ng) AS BIGINT) AS negatives,
+  CAST(sum(ps) AS BIGINT) AS positives,
+  CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_rows FROM g""")
 def balance_report(spark, sf_dir):
     return B.balance_report(balanced(spark, sf_dir))
 
 
 @register("duplicate_audit", f"""WITH {S.REVIEWS_RAW}, {S.filtered('reviews_raw', 25)},
 g AS (SELECT count(*) AS n FROM filtered GROUP BY entity_id, {S.norm('text')})
-SELECT coalesce(sum(n) FILTER (WHERE n > 1), 0) AS duplicate_rows FROM g""")
+SELECT CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_rows FROM g""")
 def duplicate_audit(spark, sf_dir):
     f = C.filter_reviews(reviews_raw(spark, sf_dir), min_chars=25)
     return duplicate_rows(with_review_key(f), ["entity_id", "_key"])

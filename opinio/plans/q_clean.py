@@ -38,8 +38,8 @@ grp AS (
     count(*) FILTER (WHERE first_label = 1) AS positives,
     count(*) FILTER (WHERE first_label = 0) AS negatives,
     count(*) FILTER (WHERE conflict) AS label_conflicts,
-    coalesce(sum(n) FILTER (WHERE n > 1), 0) AS rows_in_dup_groups,
-    coalesce(sum(n - 1), 0) AS dropped_duplicate
+    CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_in_dup_groups,
+    CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS dropped_duplicate
   FROM groups)
 SELECT rows_in, rows_out, rows_in - rows_out AS rows_removed, positives, negatives,
   CASE WHEN rows_out = 0 THEN 0.0 ELSE positives * 100.0 / rows_out END AS pct_positive,

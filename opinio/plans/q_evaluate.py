@@ -107,7 +107,7 @@ ERR_SQL = f"""{SCORED_CTES},
 err AS (SELECT seq, label AS label_real,
   CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS label_pred, score AS score_positive,
   CASE WHEN score >= 0.5 THEN score ELSE 1.0 - score END AS error_confidence,
-  length(text) AS length_chars, text
+  CAST(length(text) AS INTEGER) AS length_chars, text
   FROM scored WHERE label <> CASE WHEN score >= 0.5 THEN 1 ELSE 0 END)"""
 
 

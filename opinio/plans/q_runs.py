@@ -67,7 +67,8 @@ _GRID, _NGRID = _grid_sql()
 {_GRID},
 lossbest AS (SELECT b.run_id AS log_run, b.best_accuracy, e.loss FROM best b
   JOIN ep e ON b.run_id = e.run_id AND b.best_epoch = e.epoch)
-SELECT g.run_id || '_u' || CAST(l.log_run AS VARCHAR) AS run_id, g.hidden, g.layers, g.dropout,
+SELECT g.run_id || '_u' || CAST(l.log_run AS VARCHAR) AS run_id, g.hidden, g.layers,
+  CAST(g.dropout AS DOUBLE) AS dropout,
   l.best_accuracy AS test_accuracy, l.loss AS test_loss
 FROM lossbest l JOIN grid g ON l.log_run % {_NGRID} = g.grid_idx""")
 def sweep_leaderboard(spark, sf_dir):

@@ -86,7 +86,7 @@ ENC_IDS, ENC_MASK = _frame_sql(f"list_slice(ids, 1, {MAX_LEN - 2})", MAX_LEN)
 
 @register("encoded_docs", f"""WITH {VOCAB_CTES}
 SELECT doc_id, {ENC_IDS} AS input_ids, {ENC_MASK} AS attention_mask,
-  greatest(1, list_sum({ENC_MASK})) AS effective_length FROM dids""")
+  CAST(greatest(1, list_sum({ENC_MASK})) AS INTEGER) AS effective_length FROM dids""")
 def encoded_docs(spark, sf_dir):
     e = TK.encode(docs(spark, sf_dir), vocab(spark, sf_dir), max_len=MAX_LEN)
     return e.withColumn("effective_length", TK.effective_length())

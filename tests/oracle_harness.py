@@ -57,6 +57,17 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "array<int>": "INTEGER[]", "binary": "BLOB"}
+
+
+def type_mismatches(df, rel):
+    """Columns whose Spark type and DuckDB type differ."""
+    sdt = dict(df.dtypes)
+    return [(c, sdt.get(c), str(t)) for c, t in zip(rel.columns, rel.types)
+            if SPARK_TO_DUCK.get(sdt.get(c), sdt.get(c)) != str(t)]
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
@@ -84,10 +95,15 @@ def compare(spark, sf_dir, names=None, verbose=True):
             rel = con.sql(os_[name])
             dcols, drows = rows_of(rel.columns, rel.fetchall())
             ok = (scols == dcols, len(srows) == len(drows), srows == drows)
+            bad_types = type_mismatches(df, rel)
+            if bad_types:
+                ok = ok + (False,)
             results[name] = ok
             if verbose:
                 print(f"{name:32s} cols={ok[0]} rows={ok[1]}({len(srows)}/{len(drows)})"
                       f" values={ok[2]} ({ts:.1f}s)")
+                if bad_types:
+                    print("   types:", bad_types)
                 if not ok[0]:
                     print("   spark:", scols, "\n   duck: ", dcols)
                 elif not ok[2]:

@@ -43,30 +43,34 @@ def incremental_dedupe(spark: SparkSession, source_dir: str, schema,
     rows_dir, stats_dir = f"{out_dir}/rows", f"{out_dir}/stats"
 
     def per_batch(bdf: DataFrame, batch_id: int) -> None:
-        b = with_review_key(bdf, text_col, "key_hash")
-        first = keep_first(b, [entity_col, "key_hash"], order_col)
-        if _exists(spark, rows_dir):
-            seen = (spark.read.parquet(rows_dir)
-                    .filter(F.col("batch_id") < batch_id)
-                    .select(entity_col, "key_hash"))
-            new = first.join(seen, [entity_col, "key_hash"], "left_anti")
-        else:
-            new = first
-        new = new.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(rows_dir))
-        written = spark.read.parquet(rows_dir).filter(F.col("batch_id") == batch_id)
-        n_in = bdf.agg(F.count(F.lit(1)).alias("rows_in"))
-        n_new = written.agg(F.count(F.lit(1)).alias("new_rows"))
-        stats = n_in.unionByName(n_new, allowMissingColumns=True).agg(
-            F.max("rows_in").alias("rows_in"), F.max("new_rows").alias("new_rows"))
-        stats = stats.select("rows_in", "new_rows",
-                             (F.col("rows_in") - F.col("new_rows")).alias("discarded"),
-                             F.lit(batch_id).cast("long").alias("batch_id"))
-        (stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("batch_id").parquet(stats_dir))
-        if backup_dir and backup_every > 0 and (batch_id + 1) % backup_every == 0:
-            spark.read.parquet(rows_dir).write.mode("overwrite").parquet(backup_dir)
+        bdf = bdf.persist()   # read once, used by the dedupe and the stats
+        try:
+            b = with_review_key(bdf, text_col, "key_hash")
+            first = keep_first(b, [entity_col, "key_hash"], order_col)
+            if _exists(spark, rows_dir):
+                seen = (spark.read.parquet(rows_dir)
+                        .filter(F.col("batch_id") < batch_id)
+                        .select(entity_col, "key_hash"))
+                new = first.join(seen, [entity_col, "key_hash"], "left_anti")
+            else:
+                new = first
+            new = new.withColumn("batch_id", F.lit(batch_id).cast("long"))
+            (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch_id").parquet(rows_dir))
+            written = spark.read.parquet(rows_dir).filter(F.col("batch_id") == batch_id)
+            n_in = bdf.agg(F.count(F.lit(1)).alias("rows_in"))
+            n_new = written.agg(F.count(F.lit(1)).alias("new_rows"))
+            stats = n_in.unionByName(n_new, allowMissingColumns=True).agg(
+                F.max("rows_in").alias("rows_in"), F.max("new_rows").alias("new_rows"))
+            stats = stats.select("rows_in", "new_rows",
+                                 (F.col("rows_in") - F.col("new_rows")).alias("discarded"),
+                                 F.lit(batch_id).cast("long").alias("batch_id"))
+            (stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                  .partitionBy("batch_id").parquet(stats_dir))
+            if backup_dir and backup_every > 0 and (batch_id + 1) % backup_every == 0:
+                spark.read.parquet(rows_dir).write.mode("overwrite").parquet(backup_dir)
+        finally:
+            bdf.unpersist()
 
     stream = (spark.readStream.schema(schema)
               .option("maxFilesPerTrigger", int(files_per_batch))
@@ -93,15 +97,21 @@ def write_batches(df: DataFrame, out_dir: str, k: int, order_col: str = "seq") -
     dst = jvm.org.apache.hadoop.fs.Path(out_dir)
     fs = dst.getFileSystem(conf)
     fs.mkdirs(dst)
+    stage = f"{out_dir}_staging"
+    # one job writes every batch (a folder per batch index) ...
+    (df.withColumn("_batch", (F.col(order_col) % k).cast("int"))
+       .repartition("_batch").write.mode("overwrite").partitionBy("_batch")
+       .parquet(stage))
+    # ... then the files are published in batch order, one file per batch
+    Path = jvm.org.apache.hadoop.fs.Path
     for i in range(k):
-        stage = f"{out_dir}_staging/part-{i:04d}"
-        (df.filter(F.col(order_col) % k == i).coalesce(1)
-           .write.mode("overwrite").parquet(stage))
-        for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(stage)):
-            name = st.getPath().getName()
-            if name.endswith(".parquet"):
-                fs.rename(st.getPath(),
-                          jvm.org.apache.hadoop.fs.Path(f"{out_dir}/batch-{i:04d}.parquet"))
+        src = Path(f"{stage}/_batch={i}")
+        if not fs.exists(src):
+            continue
+        parts = [st.getPath() for st in fs.listStatus(src)
+                 if st.getPath().getName().endswith(".parquet")]
+        for j, part in enumerate(sorted(parts, key=lambda x: x.getName())):
+            fs.rename(part, Path(f"{out_dir}/batch-{i:04d}-{j:03d}.parquet"))
 
 
 def incremental_dedupe_state(spark: SparkSession, source_dir: str, schema,

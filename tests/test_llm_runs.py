@@ -76,3 +76,17 @@ def test_epoch_rollup_and_plan(spark):
     assert plan[-1]["run_id"] == "h384_l2_d40"
     res = spark.createDataFrame([("a", None), ("b", 0.9), ("c", 0.95)], "run_id string, test_accuracy double")
     assert [x["run_id"] for x in R.leaderboard(res).collect()] == ["c", "b", "a"]
+
+
+def test_band_thresholds_and_edges(spark):
+    from opinio.functions.scores import band, check_band_thresholds
+    for bad in [(0.1, 0.6), (0.45, 0.9), (0.5, 0.5)]:
+        with pytest.raises(ValueError):
+            check_band_thresholds(*bad)
+    df = spark.createDataFrame([(0.45,), (0.5,), (0.6,), (0.0,), (1.2,)], "p double")
+    got = [tuple(r) for r in df.select(band("p").alias("b")).select("b.*").collect()]
+    assert got[0] == ("negative", pytest.approx(55.0), pytest.approx(45.0))
+    assert got[1][0] == "mixed" and got[1][1] is None
+    assert got[2] == ("positive", pytest.approx(60.0), pytest.approx(60.0))
+    assert got[3] == ("negative", 100.0, 0.0)
+    assert got[4] == ("positive", 100.0, 100.0)     # clipped for display

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import clean as C
+from ..schema import NA_TOKENS
 from ..sources.fixtures import reviews_raw
 from . import sqlparts as S
 from .catalog import register
@@ -69,8 +70,7 @@ def _csv_roundtrip(spark, sf_dir):
     return stage(spark, sf_dir, "csv_roundtrip", build)
 
 
-_NA = ", ".join("'" + t.replace("'", "''") + "'" for t in __import__(
-    "opinio.schema", fromlist=["NA_TOKENS"]).NA_TOKENS)
+_NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 
 
 @register("csv_roundtrip", f"""WITH {S.REVIEWS_RAW}

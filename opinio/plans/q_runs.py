@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..operators import runs as R
@@ -9,6 +11,7 @@ from ..sources.tables import table
 from .catalog import register
 
 FROZEN, PATIENCE = 3, 2
+GRID = ((128, 256, 384), (1, 2), (0.2, 0.3, 0.4))   # hidden, layers, dropout
 
 
 def batch_log(spark, sf_dir):
@@ -55,7 +58,7 @@ def best_epoch(spark, sf_dir):
 
 def _grid_sql():
     plan = [(i, R.run_id(h, l, d), h, l, d) for i, (h, l, d) in enumerate(
-        __import__("itertools").product((128, 256, 384), (1, 2), (0.2, 0.3, 0.4)))]
+        itertools.product(*GRID))]
     vals = ", ".join(f"({i}, '{r}', {h}, {l}, {d})" for i, r, h, l, d in plan)
     return f"grid(grid_idx, run_id, hidden, layers, dropout) AS (VALUES {vals})", len(plan)
 
@@ -78,7 +81,7 @@ def sweep_leaderboard(spark, sf_dir):
     best = R.best_and_stop(ep, frozen_epochs=FROZEN, patience=PATIENCE)
     lb = best.join(ep.select("run_id", F.col("epoch").alias("best_epoch"), "loss"),
                    ["run_id", "best_epoch"])
-    grid = F.broadcast(R.sweep_plan(spark).withColumnRenamed("run_id", "grid_run"))
+    grid = F.broadcast(R.sweep_plan(spark, *GRID).withColumnRenamed("run_id", "grid_run"))
     res = lb.join(grid, (F.col("run_id") % _NGRID) == F.col("grid_idx")).select(
         F.concat("grid_run", F.lit("_u"), F.col("run_id").cast("string")).alias("run_id"),
         "hidden", "layers", "dropout",

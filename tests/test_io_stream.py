@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from opinio.operators import clean as C
+from opinio.operators.dedupe import keep_first, with_review_key
 from opinio.operators import evaluate as EV
 from opinio.sources import files as IO
 from opinio.streaming import incremental_dedupe, write_batches
@@ -65,9 +65,7 @@ def test_stream_equals_batch_and_replays(spark):
     incremental_dedupe(spark, f"{base}/in", schema, f"{base}/out", f"{base}/ck",
                        backup_dir=f"{base}/bk", backup_every=2)
     rows = spark.read.parquet(f"{base}/out/rows")
-    batch = C.clean_reviews.__globals__["keep_first"](
-        __import__("opinio.operators.dedupe", fromlist=["x"]).with_review_key(df),
-        ["entity_id", "_key"], "seq")
+    batch = keep_first(with_review_key(df), ["entity_id", "_key"], "seq")
     assert rows.count() == batch.count()
     got = {(r["entity_id"], r["text"].lower().replace("  ", " ")) for r in rows.collect()}
     want = {(r["entity_id"], r["text"].lower().replace("  ", " ")) for r in batch.collect()}

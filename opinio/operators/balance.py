@@ -49,14 +49,17 @@ def balance(general: DataFrame, negatives: DataFrame, seed: int = 42,
             check: bool = False, with_order: bool = True) -> DataFrame:
     """Negatives + an exact seeded sample of as many positives.
 
-    The target size is the negatives' count (one aggregation job; with
-    ``check=True`` the O46 guards run on it). ``with_order`` adds ``ord``:
-    the seeded shuffle position (O49).
+    The target size is the negatives' count (one aggregation job). With
+    ``check=True`` the O46 guards run on it and the finished set is audited
+    for duplicate (entity, key) members, aborting like the reference
+    (O50). ``with_order`` adds ``ord``: the seeded shuffle position (O49).
     """
     pos, neg = class_inputs(general, negatives)
     target = check_classes(pos, neg) if check else class_counts(pos, neg)[1]
     sample = take_n(pos, target, seeded_hash(seed, "seq"), "seq")
     out = neg.unionByName(sample)
+    if check:
+        assert_no_duplicates(out)
     if with_order:
         out = with_rank(out, [], seeded_hash(seed, "seq", "shuffle|"), "seq",
                         "ord")

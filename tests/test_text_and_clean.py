@@ -126,3 +126,24 @@ def test_balance_guards(spark):
     c = {r["label"]: r["n"] for r in ok.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert c == {0: 2, 1: 2}
     B.assert_no_duplicates(ok)
+
+
+def test_balance_aborts_on_cross_class_duplicates(spark):
+    import pytest
+
+    from opinio.operators import balance as B
+    gen = spark.createDataFrame([(1, "e", "same words here", "1"), (2, "e", "other text", "1")],
+                                "seq long, entity_id string, text string, label string")
+    neg = spark.createDataFrame([(3, "e", "Same  words here", "0")],
+                                "seq long, entity_id string, text string, label string")
+    # the only negative is a copy of a positive: if that positive is drawn
+    # the audit must abort; with the other drawn the set is clean
+    outcomes = set()
+    for seed in range(6):
+        try:
+            B.balance(gen, neg, seed=seed, check=True, with_order=False)
+            outcomes.add("ok")
+        except ValueError as e:
+            assert "duplicates" in str(e)
+            outcomes.add("abort")
+    assert outcomes == {"ok", "abort"}

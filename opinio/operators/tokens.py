@@ -66,13 +66,25 @@ def frame(ids: Column, max_len: int, pad: bool = True):
             F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), k)))
 
 
+def special_mask(ids: Column, max_len: int, pad: bool = True) -> Column:
+    """1 on [CLS], [SEP] and padding, 0 on word tokens."""
+    body = F.concat(F.array(F.lit(1)), F.transform(ids, lambda x: F.lit(0)),
+                    F.array(F.lit(1)))
+    if not pad:
+        return body
+    k = F.greatest(F.lit(0), F.lit(int(max_len)) - F.size(body))
+    return F.concat(body, F.array_repeat(F.lit(1), k))
+
+
 def encode(df: DataFrame, vocab: DataFrame, max_len: int = 320,
            id_col: str = "doc_id", text_col: str = "text",
            pad: bool = True) -> DataFrame:
-    """O70 (pad=True) / O64 (pad=False): truncated, framed, masked ids."""
+    """O70 (pad=True) / O64 (pad=False): truncated, framed ids, attention
+    mask and special-tokens mask."""
     t = token_ids(df, vocab, id_col, text_col, limit=max(max_len - 2, 0))
     ids, mask = frame(F.col("ids"), max_len, pad)
-    return t.select(id_col, ids.alias("input_ids"), mask.alias("attention_mask"))
+    return t.select(id_col, ids.alias("input_ids"), mask.alias("attention_mask"),
+                    special_mask(F.col("ids"), max_len, pad).alias("special_tokens_mask"))
 
 
 def effective_length(mask_col: str = "attention_mask") -> Column:

@@ -84,8 +84,13 @@ def _frame_sql(body, max_len):
 ENC_IDS, ENC_MASK = _frame_sql(f"list_slice(ids, 1, {MAX_LEN - 2})", MAX_LEN)
 
 
+ENC_SPECIAL = (f"list_resize(list_concat([1], list_transform(list_slice(ids, 1, {MAX_LEN - 2}), "
+               f"lambda x: 0), [1]), {MAX_LEN}, 1)")
+
+
 @register("encoded_docs", f"""WITH {VOCAB_CTES}
 SELECT doc_id, {ENC_IDS} AS input_ids, {ENC_MASK} AS attention_mask,
+  {ENC_SPECIAL} AS special_tokens_mask,
   CAST(greatest(1, list_sum({ENC_MASK})) AS INTEGER) AS effective_length FROM dids""")
 def encoded_docs(spark, sf_dir):
     e = TK.encode(docs(spark, sf_dir), vocab(spark, sf_dir), max_len=MAX_LEN)

@@ -68,3 +68,14 @@ def test_vocab_encode_and_mask(spark):
 def test_effective_length(spark):
     df = spark.createDataFrame([([0, 0],), ([1, 1, 0],)], "attention_mask array<int>")
     assert [r[0] for r in df.select(TK.effective_length()).collect()] == [1, 2]
+
+
+def test_special_tokens_mask(spark):
+    docs = spark.createDataFrame([(1, "b a b c"), (2, "a")], "doc_id long, text string")
+    v = TK.build_vocab(docs, size=3)
+    e = {r["doc_id"]: r for r in TK.encode(docs, v, max_len=5).collect()}
+    assert list(e[1]["special_tokens_mask"]) == [1, 0, 0, 0, 1]
+    assert list(e[2]["special_tokens_mask"]) == [1, 0, 1, 1, 1]
+    u = {r["doc_id"]: r for r in TK.encode(docs, v, max_len=5, pad=False).collect()}
+    assert list(u[2]["input_ids"]) == [2, 6, 3]
+    assert list(u[2]["special_tokens_mask"]) == [1, 0, 1]

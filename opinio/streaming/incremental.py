@@ -117,7 +117,9 @@ def write_batches(df: DataFrame, out_dir: str, k: int, order_col: str = "seq") -
 def incremental_dedupe_state(spark: SparkSession, source_dir: str, schema,
                              out_dir: str, checkpoint_dir: str,
                              entity_col: str = "entity_id", text_col: str = "text",
-                             files_per_batch: int = 1, available_now: bool = True):
+                             files_per_batch: int = 1, available_now: bool = True,
+                             event_time_col: str | None = None,
+                             watermark: str = "1 day"):
     """O22 with the streaming state store instead of a stored key table.
 
     ``dropDuplicates`` keeps every accepted (entity, 16-byte digest) in the
@@ -128,12 +130,21 @@ def incremental_dedupe_state(spark: SparkSession, source_dir: str, schema,
     deduped within themselves (the extraction output is, O21) or use
     ``incremental_dedupe`` for order-exact keep-first. Output goes to the
     exactly-once parquet file sink.
+
+    With ``event_time_col`` the stream gets a watermark and duplicates are
+    dropped within it (``dropDuplicatesWithinWatermark``), so state for a
+    key is evicted once the watermark passes it: bounded state for inputs
+    whose copies arrive close together in event time.
     """
     stream = (spark.readStream.schema(schema)
               .option("maxFilesPerTrigger", int(files_per_batch))
               .parquet(source_dir))
-    d = with_review_key(stream, text_col, "key_hash").dropDuplicates(
-        [entity_col, "key_hash"])
+    keyed = with_review_key(stream, text_col, "key_hash")
+    if event_time_col:
+        d = (keyed.withWatermark(event_time_col, watermark)
+                  .dropDuplicatesWithinWatermark([entity_col, "key_hash"]))
+    else:
+        d = keyed.dropDuplicates([entity_col, "key_hash"])
     w = (d.writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -42,7 +42,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """One row per source: source_size, target and the whole words of it (``goal``).
+    """One row per source: source_size, target, the whole words of it (``goal``), and the budget of all.
 
     A target is ``least(max_epochs * source_size, level * weight)`` with the
     one level at which the targets add up to all sizes. Sources with the
@@ -70,7 +70,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
     left = F.sum("source_size").over(everything) - F.sum(F.floor("target")).over(everything)
     goal = F.floor("target") + F.when(F.row_number().over(by_part) <= left, 1).otherwise(0)
     return s.withColumn("goal", F.least(goal, F.col("cap").cast("long"))).select(
-        "source", "source_size", "target", "goal")
+        "source", "source_size", "target", "goal", F.sum("source_size").over(everything).alias("budget"))
 
 
 def served(sizes: DataFrame, targets: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -82,7 +82,7 @@ def served(sizes: DataFrame, targets: DataFrame, max_epochs: int = 3) -> DataFra
     starts = sums.select("source", "slice", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("start"))
     t = targets.withColumnRenamed("source", "t_source")
     starts = starts.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").select(
-        F.col("source").alias("s_source"), F.col("slice").alias("s_slice"), "start", "source_size", "target", "goal")
+        F.col("source").alias("s_source"), F.col("slice").alias("s_slice"), "start", "source_size", "target", "goal", "budget")
     within = Window.partitionBy("source", "slice").orderBy("ord", F.col("doc_id").asc_nulls_first(), "size") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = sizes.where("size > 0").withColumn("slice", slice_).withColumn("upto", F.sum("size").over(within))
@@ -90,11 +90,11 @@ def served(sizes: DataFrame, targets: DataFrame, max_epochs: int = 3) -> DataFra
     passes = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn(
         "begin", F.col("pass") * F.col("source_size") + F.col("start") + F.col("upto") - F.col("size"))
     passes = passes.where("begin < goal").withColumn("words", F.least(F.col("size"), F.col("goal") - F.col("begin")))
-    return passes.select("doc_id", "ord", "source", "size", "pass", "words",
+    return passes.select("doc_id", "ord", "source", "size", "pass", "words", "budget",
                          F.least(F.lit(1.0), (F.col("begin") + F.col("size")) / F.col("target")).alias("finish"))
 
 
-def in_order(items: DataFrame, budget_of: DataFrame) -> DataFrame:
+def in_order(items: DataFrame) -> DataFrame:
     """Global order of virtual finish times with the running total, cut at the total budget."""
     sliced = items.withColumn("time_slice", F.floor(F.col("finish") * TIME_SLICES))
     sums = sliced.groupBy("time_slice").agg(F.sum("words").alias("n"))
@@ -107,8 +107,7 @@ def in_order(items: DataFrame, budget_of: DataFrame) -> DataFrame:
     placed = sliced.withColumn("upto", F.sum("words").over(order)) \
         .join(F.broadcast(starts), F.col("time_slice") == F.col("t_slice")) \
         .withColumn("position", F.col("t_start") + F.col("upto") - F.col("words"))
-    budget = budget_of.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
-    return placed.join(F.broadcast(budget), F.col("position") < F.col("budget")) \
+    return placed.where("position < budget") \
         .withColumn("words", F.least(F.col("words"), F.col("budget") - F.col("position"))) \
         .select("doc_id", "ord", "source", "size", "pass", "words", "finish", "position")
 
@@ -117,7 +116,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, position (of its first word in the mix, else null)."""
     sizes = staged(sized(docs), "mix-sizes")
     targets = staged(source_targets(sizes, weights, max_epochs), "mix-targets")
-    items = in_order(staged(served(sizes, targets, max_epochs), "mix-items"), targets)
+    items = in_order(staged(served(sizes, targets, max_epochs), "mix-items"))
     # rows alike in all of these are interchangeable: each takes what the mix gives to the n-th of them
     alike = ["doc_id", "ord", "source", "size"]
     per = items.groupBy(*alike).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
@@ -128,7 +127,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
     rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     # a group of alike rows shares its words: whole words first to the first rows
     share = F.floor(F.col("taken") / F.col("copies")) + F.when(F.col("nth") <= F.col("taken") % F.col("copies"), 1).otherwise(0)
-    t = targets.withColumnRenamed("source", "t_source").drop("goal")
+    t = targets.withColumnRenamed("source", "t_source").drop("goal", "budget")
     return rows.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("t_source"))).select(
         "doc_id", "size", "source_size", "target",
         F.coalesce(share, F.lit(0)).cast("long").alias("taken"), "position")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import mixing
+from . import decontamination, mixing, quality
 
-_OPS = {"op9_mixing": (mixing.op9_mixing, mixing.ORACLE_SQL)}
+_OPS = {
+    "op2_decontamination": (decontamination.op2_decontamination, decontamination.ORACLE_SQL),
+    "op3_quality": (quality.op3_quality, None),
+    "op9_mixing": (mixing.op9_mixing, mixing.ORACLE_SQL),
+}
 
 
 def _query(fn):

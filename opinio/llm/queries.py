@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import decontamination, mixing, pii, quality
+from . import decontamination, mixing, pii, quality, warc
 
 _OPS = {
     "op2_decontamination": (decontamination.op2_decontamination, decontamination.ORACLE_SQL),
     "op3_quality": (quality.op3_quality, None),
+    "op5_warc": (warc.op5_warc, warc.ORACLE_SQL),
     "op7_pii": (pii.op7_pii, pii.ORACLE_SQL),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE_SQL),
 }

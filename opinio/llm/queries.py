@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import decontamination, mixing, pii, quality, warc
+from . import decontamination, mixing, pii, quality, simhash, warc
 
 _OPS = {
     "op2_decontamination": (decontamination.op2_decontamination, decontamination.ORACLE_SQL),
@@ -11,6 +11,7 @@ _OPS = {
     "op5_warc": (warc.op5_warc, warc.ORACLE_SQL),
     "op7_pii": (pii.op7_pii, pii.ORACLE_SQL),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE_SQL),
+    "op10_simhash": (simhash.op10_simhash, None),
 }
 
 

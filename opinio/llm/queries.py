@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import decontamination, mixing, pii, quality, simhash, warc
+from . import decontamination, linededup, mixing, pii, quality, simhash, warc
 
 _OPS = {
     "op2_decontamination": (decontamination.op2_decontamination, decontamination.ORACLE_SQL),
     "op3_quality": (quality.op3_quality, None),
     "op5_warc": (warc.op5_warc, warc.ORACLE_SQL),
+    "op6_linededup": (linededup.op6_linededup, None),
     "op7_pii": (pii.op7_pii, pii.ORACLE_SQL),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE_SQL),
     "op10_simhash": (simhash.op10_simhash, None),

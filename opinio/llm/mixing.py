@@ -15,15 +15,18 @@ tables, so a source (or a third of all rows) is never one task's work:
 Cases: null text has size 0; a null source is a source of its own, ordered
 last; documents of size 0 take 0; repeated rows are separate documents; an
 empty table gives an empty mix; a source's ties in the shuffle order are
-broken by doc_id and size, so equal rows are interchangeable.
+broken by doc_id, size and text, so equal rows are interchangeable.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, read, staged
+from .common import narrow, read, row_key, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of the shuffle order of a source: 16 ** SLICE_DIGITS.
@@ -38,7 +41,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return d.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("ord"))
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("ord"), row_key().alias("row"))
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -83,14 +86,14 @@ def served(sizes: DataFrame, targets: DataFrame, max_epochs: int = 3) -> DataFra
     t = targets.withColumnRenamed("source", "t_source")
     starts = starts.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").select(
         F.col("source").alias("s_source"), F.col("slice").alias("s_slice"), "start", "source_size", "target", "goal", "budget")
-    within = Window.partitionBy("source", "slice").orderBy("ord", F.col("doc_id").asc_nulls_first(), "size") \
+    within = Window.partitionBy("source", "slice").orderBy("ord", F.col("doc_id").asc_nulls_first(), "size", "row") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queued = sizes.where("size > 0").withColumn("slice", slice_).withColumn("upto", F.sum("size").over(within))
     queued = queued.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice")))
     passes = queued.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn(
         "begin", F.col("pass") * F.col("source_size") + F.col("start") + F.col("upto") - F.col("size"))
     passes = passes.where("begin < goal").withColumn("words", F.least(F.col("size"), F.col("goal") - F.col("begin")))
-    return passes.select("doc_id", "ord", "source", "size", "pass", "words", "budget",
+    return passes.select("doc_id", "ord", "source", "size", "row", "pass", "words", "budget",
                          F.least(F.lit(1.0), (F.col("begin") + F.col("size")) / F.col("target")).alias("finish"))
 
 
@@ -102,35 +105,57 @@ def in_order(items: DataFrame) -> DataFrame:
     starts = sums.select(F.col("time_slice").alias("t_slice"),
                          F.coalesce(F.sum("n").over(before), F.lit(0)).alias("t_start"))  # TIME_SLICES + 1 rows at most
     order = Window.partitionBy("time_slice").orderBy(
-        "finish", F.col("source").asc_nulls_last(), "pass", "ord", F.col("doc_id").asc_nulls_first(), "size") \
+        "finish", F.col("source").asc_nulls_last(), "pass", "ord", F.col("doc_id").asc_nulls_first(), "size", "row") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sliced.withColumn("upto", F.sum("words").over(order)) \
         .join(F.broadcast(starts), F.col("time_slice") == F.col("t_slice")) \
         .withColumn("position", F.col("t_start") + F.col("upto") - F.col("words"))
     return placed.where("position < budget") \
         .withColumn("words", F.least(F.col("words"), F.col("budget") - F.col("position"))) \
-        .select("doc_id", "ord", "source", "size", "pass", "words", "finish", "position")
+        .select("doc_id", "ord", "source", "size", "row", "pass", "words", "finish", "position")
+
 
+def mixed(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the mix takes, with mix_size, mix_target, mix_taken and mix_position.
+
+    A row is read ``ceil(mix_taken / mix_size)`` times, the last time its
+    first words only if ``mix_taken`` is no multiple of ``mix_size``.
+    Repeated rows (same doc_id, source and text) are one row that is as
+    often in the result as in ``docs``, each taking the group's average.
+    """
+    d = docs.withColumn("mix_row", row_key())
+    share = mix(docs, weights, max_epochs, by_row=True).select(
+        F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("row").alias("m_row"),
+        F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"),
+        F.col("position").alias("mix_position"))
+    share = share.groupBy("m_id", "m_source", "m_row", "mix_size", "mix_target").agg(
+        F.ceil(F.avg("mix_taken")).alias("mix_taken"), F.min("mix_position").alias("mix_position")).where("mix_taken > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("mix_row") == F.col("m_row"))
+    return d.join(share, same).select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_target", "mix_taken", "mix_position")
 
-def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, position (of its first word in the mix, else null)."""
+
+def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, by_row: bool = False) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken, position (of its first word in the mix, else null).
+
+    ``by_row`` adds source and the key of the row's text.
+    """
     sizes = staged(sized(docs), "mix-sizes")
     targets = staged(source_targets(sizes, weights, max_epochs), "mix-targets")
     items = in_order(staged(served(sizes, targets, max_epochs), "mix-items"))
     # rows alike in all of these are interchangeable: each takes what the mix gives to the n-th of them
-    alike = ["doc_id", "ord", "source", "size"]
+    alike = ["doc_id", "ord", "source", "size", "row"]
     per = items.groupBy(*alike).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
     rows = sizes.groupBy(*alike).agg(F.count("*").alias("copies"))
     per = per.select(*[F.col(c).alias(f"p_{c}") for c in alike], "taken", "position")
     same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in alike]
-    rows = rows.join(per, same[0] & same[1] & same[2] & same[3], "left")
+    rows = rows.join(per, reduce(and_, same), "left")
     rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     # a group of alike rows shares its words: whole words first to the first rows
     share = F.floor(F.col("taken") / F.col("copies")) + F.when(F.col("nth") <= F.col("taken") % F.col("copies"), 1).otherwise(0)
     t = targets.withColumnRenamed("source", "t_source").drop("goal", "budget")
     return rows.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("t_source"))).select(
         "doc_id", "size", "source_size", "target",
-        F.coalesce(share, F.lit(0)).cast("long").alias("taken"), "position")
+        F.coalesce(share, F.lit(0)).cast("long").alias("taken"), "position", *(["source", "row"] if by_row else []))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

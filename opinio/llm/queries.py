@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import decontamination, linededup, mixing, pii, quality, simhash, warc
+from . import decontamination, langid, linededup, mixing, pii, quality, simhash, warc
 
 _OPS = {
     "op2_decontamination": (decontamination.op2_decontamination, decontamination.ORACLE_SQL),
     "op3_quality": (quality.op3_quality, None),
+    "op4_langid": (langid.op4_langid, None),
     "op5_warc": (warc.op5_warc, warc.ORACLE_SQL),
     "op6_linededup": (linededup.op6_linededup, None),
     "op7_pii": (pii.op7_pii, pii.ORACLE_SQL),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import decontamination, langid, linededup, mixing, pii, quality, simhash, warc
+from . import decontamination, langid, linededup, mixing, pii, quality, simhash, suffixdedup, warc
 
 _OPS = {
     "op2_decontamination": (decontamination.op2_decontamination, decontamination.ORACLE_SQL),
@@ -12,6 +12,7 @@ _OPS = {
     "op5_warc": (warc.op5_warc, warc.ORACLE_SQL),
     "op6_linededup": (linededup.op6_linededup, None),
     "op7_pii": (pii.op7_pii, pii.ORACLE_SQL),
+    "op8_suffixdedup": (suffixdedup.op8_suffixdedup, None),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE_SQL),
     "op10_simhash": (simhash.op10_simhash, None),
 }

@@ -11,6 +11,8 @@ from ..session import scratch_path, ship_package
 
 #: Text bytes handled at once inside a Python step: keeps numpy temporaries small.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that a Python step handles at once.
+PIECE_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +38,20 @@ def row_key(text: str = "text") -> Column:
 
 
 def python_step(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with this package shipped to the executors."""
+    """``mapInArrow`` with this package shipped to the executors; ``fn`` sees batches of PIECE_BYTES or so."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def stepped(batches):
+        return fn(piece for b in batches for piece in pieces(b))
+
+    return df.mapInArrow(stepped, schema)
+
+
+def pieces(batch):
+    """Slices (no copies) of an Arrow batch, so that what a step turns into Python objects stays small."""
+    n = max(1, min(batch.num_rows, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes)))
+    for i in range(0, max(1, batch.num_rows), n):
+        yield batch.slice(i, n)
 
 
 def chunked(texts: list, limit: int = CHUNK_BYTES):

@@ -146,11 +146,11 @@ def _lines(text: bytes | None, min_chars: int) -> Iterator[tuple[int, bytes, str
 
 
 def _chunks(batches: Iterator, min_chars: int):
-    """Distinct lines (hash, text) of some hundred texts at a time."""
+    """Distinct lines (hash, text) of some thousand texts at a time."""
     import xxhash
+    seen: dict = {}
+    held = 0
     for b in batches:
-        seen: dict = {}
-        held = 0
         for t in byte_column(b, "text"):
             for _, raw, line in _lines(t, min_chars):
                 seen.setdefault(xxhash.xxh64_intdigest(raw), line)
@@ -158,7 +158,7 @@ def _chunks(batches: Iterator, min_chars: int):
             if held > 8 << 20:
                 yield seen
                 seen, held = {}, 0
-        yield seen
+    yield seen
 
 
 def keys(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

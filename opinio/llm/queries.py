@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import decontamination, langid, linededup, mixing, pii, quality, simhash, suffixdedup, warc
+from . import decontamination, langid, linededup, lmscore, mixing, pii, quality, simhash, suffixdedup, warc
 
 _OPS = {
+    "op1_lmscore": (lmscore.op1_lmscore, lmscore.ORACLE_SQL),
     "op2_decontamination": (decontamination.op2_decontamination, decontamination.ORACLE_SQL),
     "op3_quality": (quality.op3_quality, None),
     "op4_langid": (langid.op4_langid, None),

@@ -1,17 +1,20 @@
 """Order-stable keep-first dedupe, cross-batch dedupe, duplicate audit.
 
-Keep-first is an aggregation, not a window: ``min(order)`` per key is a
-hash aggregate with a map-side partial step, so a key holding a third of all
-rows collapses to one row per map task before the shuffle. The survivors are
-then found with a semi join on the (unique) order column, which spreads
-evenly whatever the key skew.
+Keep-first is an aggregation, not a window: ``min(order)`` per key has a
+map-side partial step, so a key holding a third of all rows collapses to one
+row per map task before the shuffle. Only the groups of more than one row go
+on: their later rows are the losers, removed by an anti join on the (unique)
+order. Losers are narrow and few, so the join is usually turned into a
+broadcast at run time and the texts stay where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, key_hash, norm_key
@@ -37,44 +40,30 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
     return df.groupBy(*keys).agg(F.min(order).alias(order))
 
 
-def packed_order(parts) -> Column:
-    """One LONG ordering (col1, col2, …) lexicographically.
-
-    ``parts`` is ``[(column, bits), …]`` (at most 63 bits in total); each
-    value must lie in [0, 2^bits) or the job fails loudly. A single long
-    keeps ``min`` inside the hash aggregate (a struct minimum would fall
-    back to a sort-based aggregate).
-    """
-    total = sum(b for _, b in parts)
-    if total > 63:
-        raise ValueError("packed order needs more than 63 bits")
-    expr, ok = F.lit(0).cast("long"), F.lit(True)
-    for c, b in parts:
-        v = (F.col(c) if isinstance(c, str) else c).cast("long")
-        ok = ok & (v >= 0) & (v < F.lit(1 << b).cast("long"))
-        expr = expr * F.lit(1 << b).cast("long") + v
-    return F.when(ok, expr).otherwise(
-        F.raise_error(F.lit("order value out of its packed range")))
-
-
 def keep_first(df: DataFrame, keys: Sequence[str],
-               order: str | Sequence = "seq", unique_order: bool = True) -> DataFrame:
+               order: str | Sequence[str] = "seq") -> DataFrame:
     """Keep the first row (smallest ``order``) of each ``keys`` group.
 
-    ``order`` is one column, or ``[(column, bits), …]`` packed into one
-    long (see ``packed_order``). With ``unique_order`` (a file ordinal or
-    id, unique across the table) survivors are found by a semi join on the
-    order alone; otherwise on keys + order.
+    ``order`` is one column or several, unique across the table together (a
+    file ordinal, an id, page and position). A null in it fails the job:
+    such a row has no place in the order.
     """
-    if not isinstance(order, str):
-        d = df.withColumn("_ord", packed_order(order))
-        return keep_first(d, keys, "_ord", unique_order).drop("_ord")
-    if unique_order:
-        winners = first_per_key(df, keys, order).select(order)
-        return df.join(winners, on=order, how="left_semi")
-    winners = first_per_key(df, keys, order)
-    on = [*keys, order]
-    return df.join(winners.select(*on), on=on, how="left_semi")
+    cols = [order] if isinstance(order, str) else list(order)
+
+    def checked(c):
+        return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"keep-first: null in order column {c}"))
+                      .cast(df.schema[c].dataType)).otherwise(F.col(c))
+
+    d = df.withColumns({c: checked(c) for c in cols})
+    narrow = d.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*cols).alias("_o")
+                      if len(cols) > 1 else F.col(cols[0]).alias("_o"))
+    ks = [f"_k{i}" for i in range(len(keys))]
+    groups = narrow.groupBy(*[F.col(k).alias(f"_g{k}") for k in ks]).agg(
+        F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in ks])
+    losers = narrow.join(groups, same).where("_o <> _first")
+    losers = losers.select(*([F.col(f"_o.{c}").alias(c) for c in cols] if len(cols) > 1 else [F.col("_o").alias(cols[0])]))
+    return d.join(losers, on=cols, how="left_anti").select(*df.columns)
 
 
 def keep_first_by_text(df: DataFrame, keys: Sequence[str] = ("entity_id",),
@@ -85,12 +74,6 @@ def keep_first_by_text(df: DataFrame, keys: Sequence[str] = ("entity_id",),
     return keep_first(d, [*keys, "_key"], order).drop("_key")
 
 
-def new_against(batch: DataFrame, seen_keys: DataFrame,
-                keys: Sequence[str]) -> DataFrame:
-    """Rows of ``batch`` whose key is not yet in ``seen_keys`` (O22, batch form)."""
-    return batch.join(seen_keys.select(*keys), on=list(keys), how="left_anti")
-
-
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: number of rows that belong to a duplicate group.
 
@@ -99,12 +82,3 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))),
                             F.lit(0)).cast("long").alias("duplicate_rows"))
-
-
-def audit_duplicates(df: DataFrame, keys: Sequence[str]) -> int:
-    """Driver-side check used by balancing; returns the count."""
-    return int(duplicate_rows(df, keys).first()["duplicate_rows"])
-
-
-def key_col(df: DataFrame, text_col: str = "text") -> Column:
-    return key_hash(norm_key(text_col))

@@ -1,22 +1,26 @@
 """Vocabulary, encoding, sliding windows and MLM masking.
 
-The subword codec of the reference is re-aimed at word tokens
-(``[a-z0-9]+`` of the lower-cased text). Ids come from a vocabulary built by
-a distributed count; the vocabulary is bounded by ``size`` and therefore
-safe to broadcast. Token arrays are built with ``posexplode`` -> broadcast
-hash join -> ordered ``collect_list`` per document; windows, framing and
-masks are array expressions (``sequence``/``slice``/``transform``), all
-JVM-side.
+The subword codec of the reference is re-aimed at word tokens: runs of
+letters, marks and digits of any script in the lower-cased text. Ids come
+from a vocabulary built by a distributed count. A document's token array
+stays whole: while the vocabulary is within ``MAX_VOCAB`` rows its ids are
+looked up by a vectorised Arrow step without a shuffle, beyond that by a
+join. Windows, framing and masks are array expressions
+(``sequence``/``slice``/``transform``), all JVM-side.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CLS_ID, MASK_ID, N_SPECIAL, PAD_ID, SEP_ID, UNK_ID
+from ..session import ship_package
 
-TOKEN_RE = "[a-z0-9]+"
+TOKEN_RE = r"[\p{L}\p{M}\p{N}]+"
+#: Vocabulary rows (some 50 bytes each) up to which they are sent to every task.
+MAX_VOCAB = 2_000_000
 
 
 def word_tokens(text_col: str = "text") -> Column:
@@ -38,19 +42,47 @@ def build_vocab(df: DataFrame, text_col: str = "text",
 
 
 def token_ids(df: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
-              text_col: str = "text", limit: int | None = None) -> DataFrame:
+              text_col: str = "text", limit: int | None = None,
+              max_vocab: int = MAX_VOCAB) -> DataFrame:
     """(id_col, ids): every word token mapped to its id (unknown -> 1).
 
-    ``limit`` truncates before the explode so work is bounded per text.
+    A null text has no tokens. ``limit`` keeps the first tokens only (the
+    truncation of O70).
     """
-    toks = word_tokens(text_col)
+    toks = F.coalesce(word_tokens(text_col), F.array().cast("array<string>"))
     if limit is not None:
         toks = F.slice(toks, 1, max(int(limit), 0))
-    ex = df.select(id_col, F.posexplode_outer(toks).alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", F.col("id").alias("_tid")))
-    j = ex.join(v, "token", "left")
+    tokens = df.select(id_col, toks.alias("tokens"))
+    if vocab.count() > max_vocab:
+        return _ids_by_join(tokens, vocab, id_col)
+    rows = vocab.select("token", "id").collect()
+    known = df.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.id for r in rows]))
+
+    def lookup(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        words, ids = known.value
+        words, ids = pa.array(words, pa.string()), pa.array(ids, pa.int32())
+        for b in batches:
+            lists = b.column(1)
+            found = pc.fill_null(pc.take(ids, pc.index_in(lists.flatten(), value_set=words)), UNK_ID)
+            size = pc.fill_null(pc.list_value_length(lists), 0)
+            ends = pc.cumulative_sum(size).to_pylist()
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), found)],
+                                  names=[id_col, "ids"])
+
+    ship_package(df.sparkSession)
+    schema = T.StructType([df.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return tokens.mapInArrow(lookup, schema)
+
+
+def _ids_by_join(tokens: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+    """The same for a vocabulary of any size."""
+    keyed = tokens.withColumn("_row", F.monotonically_increasing_id())
+    ex = keyed.select(id_col, "_row", F.posexplode_outer("tokens").alias("pos", "token"))
+    j = ex.join(vocab.select("token", F.col("id").alias("_tid")), "token", "left")
     tid = F.coalesce(F.col("_tid"), F.lit(UNK_ID))
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(
+    g = j.groupBy(id_col, "_row").agg(F.array_sort(F.collect_list(
         F.when(F.col("pos").isNotNull(), F.struct("pos", tid.alias("t"))))).alias("_p"))
     return g.select(id_col, F.transform("_p", lambda x: x["t"]).alias("ids"))
 
@@ -131,35 +163,27 @@ def document_scores(chunk_scores: DataFrame, id_col: str = "doc_id",
         F.count(F.lit(1)).alias("n_chunks"))
 
 
-def _unit_hash(*parts: Column) -> Column:
-    """Uniform [0, 1) from md5 of the parts (52 bits)."""
-    h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
-
-
 def mlm_mask(enc: DataFrame, vocab_size: int, prob: float = 0.15,
-             seed: int = 42, epoch: int = 0, id_col: str = "doc_id",
+             seed: int = 42, epoch: int = 0, id_cols=("doc_id", "chunk"),
              ids_col: str = "input_ids") -> DataFrame:
     """Masked-LM inputs and labels, deterministic per
-    (seed, epoch, document, position).
+    (seed, epoch, ids of the row, position).
 
     Non-special positions are chosen with probability ``prob``; of those
     80% become [MASK], 10% a random vocabulary id, 10% stay. ``labels`` is
-    the original id where chosen, -100 elsewhere.
+    the original id where chosen, -100 elsewhere. One digest a position
+    gives the three draws (52, 36 and 40 bits).
     """
-    def u(tag, x, i):
-        return _unit_hash(F.lit(seed), F.lit(epoch), F.col(id_col), i, F.lit(tag))
-
-    special = lambda x: x.isin(PAD_ID, CLS_ID, SEP_ID)
-    chosen = lambda x, i: (~special(x)) & (u("m", x, i) < F.lit(prob))  # noqa
-    rnd = lambda x, i: (F.lit(N_SPECIAL) + F.floor(
-        u("r", x, i) * F.lit(max(vocab_size, 1))).cast("int"))
-    repl = lambda x, i: (F.when(u("k", x, i) < 0.8, F.lit(MASK_ID))  # noqa
-                         .when(u("k", x, i) < 0.9, rnd(x, i)).otherwise(x))
-    ids = F.col(ids_col)
-    return enc.select(
-        id_col,
-        F.transform(ids, lambda x, i: F.when(chosen(x, i), repl(x, i))
-                    .otherwise(x)).alias("masked_ids"),
-        F.transform(ids, lambda x, i: F.when(chosen(x, i), x)
-                    .otherwise(F.lit(-100))).alias("labels"))
+    def drawn(i, first, digits):
+        h = F.md5(F.concat_ws("|", F.lit(seed), F.lit(epoch), *[F.col(c).cast("string") for c in id_cols], i.cast("string")))
+        return F.conv(F.substring(h, first, digits), 16, 10).cast("double") / F.lit(float(16 ** digits))
+
+    def at(x, i):
+        chosen = ~x.isin(PAD_ID, CLS_ID, SEP_ID) & (drawn(i, 1, 13) < F.lit(prob))
+        other = (F.lit(N_SPECIAL) + F.floor(drawn(i, 23, 10) * F.lit(max(vocab_size, 1)))).cast("int")
+        kind = F.transform(F.array(drawn(i, 14, 9)), lambda k: F.when(k < 0.8, F.lit(MASK_ID)).when(k < 0.9, other).otherwise(x))[0]
+        return F.when(chosen, F.struct(kind.alias("id"), x.alias("label"))).otherwise(
+            F.struct(x.alias("id"), F.lit(-100).alias("label")))
+
+    pairs = enc.select(*id_cols, F.transform(ids_col, at).alias("_pairs"))
+    return pairs.select(*id_cols, F.col("_pairs.id").alias("masked_ids"), F.col("_pairs.label").alias("labels"))

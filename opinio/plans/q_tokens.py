@@ -11,9 +11,10 @@ from ..sources.tables import table
 from . import sqlparts as S
 from .catalog import register, stage
 
-VOCAB = 2000
-MAX_LEN = 32
-STRIDE = 6
+VOCAB = 30_000
+MAX_LEN = 320
+STRIDE = 64
+MLM_LEN = 256
 SEED = 42
 
 
@@ -97,16 +98,42 @@ def encoded_docs(spark, sf_dir):
     return e.withColumn("effective_length", TK.effective_length())
 
 
+@register("encoded_unpadded", f"""WITH {VOCAB_CTES},
+b AS (SELECT doc_id, list_concat([2], list_slice(ids, 1, {MLM_LEN - 2}), [3]) AS input_ids FROM dids)
+SELECT doc_id, input_ids, list_transform(input_ids, lambda x: 1) AS attention_mask,
+  list_transform(input_ids, lambda x: CAST(x IN (2, 3) AS INTEGER)) AS special_tokens_mask FROM b""")
+def encoded_unpadded(spark, sf_dir):
+    return TK.encode(docs(spark, sf_dir), vocab(spark, sf_dir), max_len=MLM_LEN, pad=False)
+
+
+@register("token_coverage", f"""WITH {VOCAB_CTES}
+SELECT lang, CAST(sum(len(ids)) AS BIGINT) AS n_tokens,
+  CAST(sum(len(list_filter(ids, lambda x: x = 1))) AS BIGINT) AS n_unknown
+FROM dids JOIN documents USING (doc_id) GROUP BY lang""")
+def token_coverage(spark, sf_dir):
+    """Words of every language that are encoded, and how many are unknown: nothing of a text is lost."""
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return ids(spark, sf_dir).join(lang, "doc_id").groupBy("lang").agg(
+        F.sum(F.size("ids")).alias("n_tokens"),
+        F.sum(F.size(F.filter("ids", lambda x: x == 1))).alias("n_unknown"))
+
+
 W = MAX_LEN - 2
 STEP = max(1, W - STRIDE)
 WIN_IDS, WIN_MASK = _frame_sql("chunk_ids", MAX_LEN)
-WIN_CTES = f"""{VOCAB_CTES},
-st AS (SELECT doc_id, ids, CASE WHEN len(ids) <= {W} THEN [0] ELSE generate_series(0,
-  CAST(ceil((len(ids) - {W}) / {STEP}) AS BIGINT) * {STEP}, {STEP}) END AS starts FROM dids),
+
+
+def _win_ctes(w, step):
+    return f"""{VOCAB_CTES},
+st AS (SELECT doc_id, ids, CASE WHEN len(ids) <= {w} THEN [0] ELSE generate_series(0,
+  CAST(ceil((len(ids) - {w}) / {step}) AS BIGINT) * {step}, {step}) END AS starts FROM dids),
 ch AS (SELECT doc_id, ids, unnest(starts) AS s,
   unnest(generate_series(0, len(starts) - 1)) AS chunk FROM st),
 win AS (SELECT doc_id, CAST(chunk AS INTEGER) AS chunk,
-  list_slice(ids, s + 1, s + {W}) AS chunk_ids FROM ch)"""
+  list_slice(ids, s + 1, s + {w}) AS chunk_ids FROM ch)"""
+
+
+WIN_CTES = _win_ctes(W, STEP)
 
 
 @register("sliding_windows", f"""WITH {WIN_CTES}
@@ -127,23 +154,25 @@ def window_scores(spark, sf_dir):
     return TK.document_scores(s)
 
 
-def _u_sql(tag):
-    h = (f"md5(concat_ws('|', '{SEED}', '0', CAST(doc_id AS VARCHAR), "
-         f"CAST(i - 1 AS VARCHAR), '{tag}'))")
-    return f"(CAST(CAST('0x' || substring({h}, 1, 13) AS BIGINT) AS DOUBLE) / {float(2**52)})"
+def _u_sql(first, digits):
+    h = (f"md5(concat_ws('|', '{SEED}', '0', CAST(doc_id AS VARCHAR), CAST(chunk AS VARCHAR), "
+         f"CAST(i - 1 AS VARCHAR)))")
+    return f"(CAST(CAST('0x' || substring({h}, {first}, {digits}) AS BIGINT) AS DOUBLE) / {float(16 ** digits)})"
 
 
-_CHOSEN = f"(x NOT IN (0, 2, 3) AND {_u_sql('m')} < 0.15)"
-_REPL = (f"CASE WHEN {_u_sql('k')} < 0.8 THEN 4 WHEN {_u_sql('k')} < 0.9 THEN "
-         f"CAST(5 + floor({_u_sql('r')} * {VOCAB}) AS INTEGER) ELSE x END")
+_CHOSEN = f"(x NOT IN (0, 2, 3) AND {_u_sql(1, 13)} < 0.15)"
+_REPL = (f"CASE WHEN {_u_sql(14, 9)} < 0.8 THEN 4 WHEN {_u_sql(14, 9)} < 0.9 THEN "
+         f"CAST(5 + floor({_u_sql(23, 10)} * {VOCAB}) AS INTEGER) ELSE x END")
+MLM_IDS, _ = _frame_sql("chunk_ids", MLM_LEN)
 
 
-@register("mlm_masking", f"""WITH {VOCAB_CTES},
-enc AS (SELECT doc_id, {ENC_IDS} AS input_ids FROM dids)
-SELECT doc_id,
+@register("mlm_masking", f"""WITH {_win_ctes(MLM_LEN - 2, MLM_LEN - 2)},
+enc AS (SELECT doc_id, chunk, {MLM_IDS} AS input_ids FROM win)
+SELECT doc_id, chunk,
   list_transform(input_ids, lambda x, i: CASE WHEN {_CHOSEN} THEN {_REPL} ELSE x END) AS masked_ids,
   list_transform(input_ids, lambda x, i: CASE WHEN {_CHOSEN} THEN x ELSE -100 END) AS labels
 FROM enc""")
 def mlm_masking(spark, sf_dir):
-    e = TK.encode(docs(spark, sf_dir), vocab(spark, sf_dir), max_len=MAX_LEN)
-    return TK.mlm_mask(e, VOCAB, 0.15, SEED, 0)
+    """Examples from windows of the whole text, side by side (no overlap): every word gets its chance."""
+    w = TK.sliding_windows(ids(spark, sf_dir), MLM_LEN, 0)
+    return TK.mlm_mask(w, VOCAB, 0.15, SEED, 0)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on: AQE re-plans shuffles at run time (coalesces
 # small partitions, splits skewed join partitions), ANSI keeps casts honest.
@@ -18,6 +20,8 @@ DEFAULT_CONF = {
     # Arrow batches for the Python steps are cut by bytes as well as rows:
     # whole HTML pages (O17) would otherwise reach the worker 10,000 at a time
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -52,10 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (local runs, tests) a private folder is created.
+    Only in local mode (tests) a private folder is created when it is unset;
+    elsewhere executors would not see each other's files, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="opinio-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -68,16 +76,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{os.getpid()}"
 
 
-def materialize(df, eager: bool = True):
-    """Cut lineage: reliable checkpoint into ``spark.checkpoint.dir``.
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    Used at stage boundaries (cleaned set, balanced set) where later
-    operators read their input several times; the checkpoint is a written
-    table on shared storage, so lost executors do not force a recompute of
-    the whole chain.
+    Used where later steps read their input several times: lost executors
+    do not force a recompute of the whole chain, and the planner knows the
+    size of what it reads.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a narrow table up to which it is sent to every task.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Mark a written narrow table for broadcast if it is small, else leave the join to the planner."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 _SHIPPED: set = set()

@@ -55,7 +55,7 @@ def test_vocab_encode_and_mask(spark):
     assert list(enc[3]["input_ids"]) == [2, 3, 0, 0, 0]
     assert list(enc[4]["input_ids"]) == [2, 1, 3, 0, 0]
     e = TK.encode(docs, TK.build_vocab(docs, size=3), max_len=5)
-    m = TK.mlm_mask(e, 3, prob=1.0, seed=1).collect()
+    m = TK.mlm_mask(e, 3, prob=1.0, seed=1, id_cols=("doc_id",)).collect()
     for r in m:
         src = list(enc[r["doc_id"]]["input_ids"])
         for x, mx, lab in zip(src, r["masked_ids"], r["labels"]):
@@ -79,3 +79,22 @@ def test_special_tokens_mask(spark):
     u = {r["doc_id"]: r for r in TK.encode(docs, v, max_len=5, pad=False).collect()}
     assert list(u[2]["input_ids"]) == [2, 5, 3]   # a, b tie on count: a first
     assert list(u[2]["special_tokens_mask"]) == [1, 0, 1]
+
+
+def test_tokens_of_any_script_and_both_lookups(spark):
+    docs = spark.createDataFrame([(1, "Canción añeja, señor! größe Привет 中文 e\u0301"), (2, None), (3, ""), (4, "mir привет"), (4, "x")],
+                                 "doc_id long, text string")
+    v = TK.build_vocab(docs, size=100)
+    words = {r["id"]: r["token"] for r in v.collect()}
+    few = TK.token_ids(docs, v).collect()
+    many = TK.token_ids(docs, v, max_vocab=0).collect()
+    assert sorted((r["doc_id"], list(r["ids"])) for r in few) == sorted((r["doc_id"], list(r["ids"])) for r in many)
+    ids = {r["doc_id"]: r["ids"] for r in few}
+    assert [words[i] for i in ids[1]] == ["canción", "añeja", "señor", "größe", "привет", "中文", "e\u0301"]
+    assert list(ids[2]) == [] and list(ids[3]) == []
+
+
+def test_encoding_does_not_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = TK.encode(docs, TK.build_vocab(docs, size=5))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -20,8 +20,10 @@ from .common import byte_column, python_step, row_key, staged
 
 BLOCK_BYTES = 4 << 20
 #: Bytes of the arrays that one hash partition gathers, about.
-PART_BYTES = 32 << 20
-LEAST_PARTS = 64
+PART_BYTES = 16 << 20
+LEAST_PARTS = 16
+#: Partition numbers fit 16 bits.
+MOST_PARTS = 65_000
 
 
 def pack(value) -> bytes:
@@ -78,7 +80,7 @@ def blocks(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> DataFr
 def parts_for(table: DataFrame, bytes_per_byte: float, part_bytes: int = PART_BYTES) -> int:
     """The number of hash partitions: as many as the arrays of all blocks need, given their size per byte of text."""
     total = table.agg(F.sum("bytes")).first()[0] or 0
-    return max(LEAST_PARTS, int(total * bytes_per_byte / part_bytes) + 1)
+    return min(MOST_PARTS, max(LEAST_PARTS, int(total * bytes_per_byte / part_bytes) + 1))
 
 
 def with_arrays(table: DataFrame, arrays: DataFrame) -> DataFrame:

@@ -7,14 +7,14 @@ own n-grams do not count for it (leave one out: its counts are taken off the
 corpus counts), else every text would look known.
 
 1. Each block of documents counts its n-grams of every order, and sends, for
-   each hash partition, one row: the sorted 64-bit hashes and their counts.
+   each hash partition, one row: the sorted hashes and their counts.
 2. A partition merges what it got: its part of the count table. It joins the
    table to the blocks' n-grams and sends the corpus counts back, in order.
 3. Each block looks up its n-grams' counts and sums the scores per document.
 
 So n-grams are exchanged pre-aggregated: a frequent n-gram is one entry a
 block, whatever share of the documents has it. (One row per n-gram would
-move over 40 bytes a word; the arrays move about ten.)
+move over 40 bytes a word; the arrays move about eight.)
 
 Words are separated by ASCII blanks, and A-Z lower-cased. n-grams never
 cross documents. A word that no other document has gets the unigram
@@ -62,6 +62,16 @@ def grams(texts: list, order: int) -> tuple[np.ndarray, list]:
     return doc, out
 
 
+def keyed(h: np.ndarray, parts: int) -> np.ndarray:
+    """Sortable keys of n-gram hashes: 16 bits of partition above 48 bits of hash (0 stays 0).
+
+    Partitions grow with the corpus, so the odds that two n-grams of one
+    partition (some millions) share a key stay about one in 10 ** 8 each.
+    """
+    part = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+    return np.where(h > 0, part << np.uint64(48) | (h & np.uint64((1 << 48) - 1)), np.uint64(0))
+
+
 def _counted(table: DataFrame, parts: int, order: int) -> DataFrame:
     """part, block, packed: the n-grams of a block in a part and their counts there."""
 
@@ -69,25 +79,20 @@ def _counted(table: DataFrame, parts: int, order: int) -> DataFrame:
         import pyarrow as pa
         for b in batches:
             for block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                every = np.concatenate(grams(unpack(packed)[2], order)[1])
-                h, n = np.unique(every[every > 0], return_counts=True)
-                part = _part(h, parts)
-                by = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[by], np.arange(parts + 1))
+                every = keyed(np.concatenate(grams(unpack(packed)[2], order)[1]), parts)
+                key, n = np.unique(every[every > 0], return_counts=True)
+                cut = np.searchsorted(key >> np.uint64(48), np.arange(parts + 1))
+                low = key & np.uint64((1 << 48) - 1)
                 for p in range(parts):
-                    mine = by[cut[p]:cut[p + 1]]
-                    if len(mine):
-                        value = pack((pack_sorted(h[mine]), _small(n[mine])))
+                    i, j = cut[p], cut[p + 1]
+                    if j > i:
+                        value = pack((pack_sorted(low[i:j]), _small(n[i:j])))
                         yield pa.record_batch([pa.array([p], pa.int32()), pa.array([block], pa.int64()),
                                                pa.array([value], pa.binary())], names=["part", "block", "packed"])
 
     return python_step(table.select("block", "packed"), rows, ARRAYS)
 
 
-def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-
-
 def _small(n: np.ndarray) -> np.ndarray:
     """Counts in the narrowest type that holds them."""
     return n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))
@@ -123,13 +128,14 @@ def _scores(found: DataFrame, parts: int, order: int, alpha: float, total: int)
             for _, packed, returned in zip(*(c.to_pylist() for c in b.columns)):
                 ids, _, texts = unpack(packed)
                 doc, hashes = grams(texts, order)
-                every = np.concatenate(hashes)
+                every = keyed(np.concatenate(hashes), parts)
                 own, inverse = np.unique(every, return_inverse=True)
                 corpus = np.zeros(len(own), np.int64)
-                part = _part(own, parts)
-                part[own == 0] = -1
+                known = np.flatnonzero(own > 0)[:1]
+                begin = int(known[0]) if len(known) else 0
+                cut = begin + np.searchsorted(own[begin:] >> np.uint64(48), np.arange(parts + 1))
                 for r in returned or ():
-                    corpus[part == r["part"]] = unpack(r["array"])
+                    corpus[cut[r["part"]]:cut[r["part"] + 1]] = unpack(r["array"])
                 # occurrences in the document itself
                 pair = inverse.astype(np.int64) * len(texts) + np.tile(doc, order)
                 _, again, n = np.unique(pair, return_inverse=True, return_counts=True)
@@ -165,8 +171,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes
     """doc_id, n_words, n_unseen (words that no other document has), score (mean log of the words' scores)."""
     table = blocks(docs, "lm", block_bytes)
     parts = parts_for(table, 4.0)
-    sent = staged(_counted(table, parts, order), "lm-counts")
-    back = staged(by_part(sent, parts, _returned, ARRAYS), "lm-returned")
+    back = staged(by_part(_counted(table, parts, order), parts, _returned, ARRAYS), "lm-returned")
     found = with_arrays(table, back)
     words = _words(table)
     return _scores(found, parts, order, alpha, words)
@@ -184,7 +189,7 @@ def _words(table: DataFrame) -> int:
 
 
 def count_table(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """part, hash, n: the corpus counts of all n-grams up to ``order``, partitioned by hash."""
+    """part, hash (48 bits), n: the corpus counts of all n-grams up to ``order``, partitioned by hash."""
     def fn(part: int, rows: list):
         import pyarrow as pa
         h, n, _ = _table(rows)

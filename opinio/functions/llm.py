@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import NUMERIC_TEXT
 from .text import ustrip
 
 # --- fixed values -----------------------------------------------------------
@@ -29,39 +30,53 @@ POSITIVE, NEGATIVE, UNCERTAIN = "positive", "negative", "uncertain"
 REPLY_MAP = "map<string,string>"
 
 
-def prompt(text) -> Column:
+def prompt(text, prefix: str = PROMPT_PREFIX, suffix: str = PROMPT_SUFFIX) -> Column:
     """O105: instruction + the review in triple quotes."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.concat(F.lit(PROMPT_PREFIX), t, F.lit(PROMPT_SUFFIX))
+    return F.concat(F.lit(prefix), t, F.lit(suffix))
 
 
-def _as_map(c: Column) -> Column:
-    return F.from_json(c, REPLY_MAP, {"allowSingleQuotes": "false"})
+STRICT = {"allowSingleQuotes": "false"}
+
+
+def _values(text: Column, kind: str) -> Column:
+    """The text as the only value of a JSON array: null unless it is one complete value and nothing else."""
+    a = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{kind}>", STRICT)
+    return F.when(F.size(a) == 1, a[0])
+
+
+def _last(m: Column, key: str) -> Column:
+    """The value of a key; of a repeated one the last."""
+    entries = F.filter(F.map_entries(m), lambda e: e["key"] == key)
+    return F.try_element_at(entries, F.lit(-1))["value"]
 
 
 def parse_reply(raw) -> Column:
     """O106: struct(verdict, confidence, reason, raw) from a raw reply.
 
-    The whole reply is read as a JSON object; failing that, the span from
-    the first '{' to the last '}'. A non-empty object decides by "pos"/"neg"
-    in its verdict field and supplies confidence (number or numeric text)
-    and a stripped reason. If that leaves the verdict open, the plain text
-    decides: "positiv" without "negativ" or the reverse, else uncertain.
-    A null reason stays null (the reference prints "None").
+    The whole reply is read as JSON; only if it is no valid JSON of any
+    kind, the span from the first '{' to the last '}' is, and that must be
+    one object with nothing after it. A non-empty object decides by
+    "pos"/"neg" in its verdict field and supplies confidence (number or
+    numeric text) and a stripped reason; of a repeated key the last value
+    counts. If that leaves the verdict open, the plain text decides:
+    "positiv" without "negativ" or the reverse, else uncertain. A null
+    reason stays null (the reference prints "None").
     """
     r = F.col(raw) if isinstance(raw, str) else raw
-    m1 = _as_map(r)
-    m = F.coalesce(m1, _as_map(F.regexp_extract(r, r"(?s)\{.*\}", 0)))
+    valid = _values(r, "string").isNotNull()
+    m = F.when(valid, _values(r, REPLY_MAP)).otherwise(_values(F.regexp_extract(r, r"(?s)\{.*\}", 0), REPLY_MAP))
     ok = m.isNotNull() & (F.size(m) > 0)
-    sent = F.lower(ustrip(F.coalesce(m[KEY_VERDICT], F.lit(""))))
+    sent = F.lower(ustrip(F.coalesce(_last(m, KEY_VERDICT), F.lit(""))))
     from_json = (F.when(ok & sent.contains(JSON_POS), F.lit(POSITIVE))
                   .when(ok & sent.contains(JSON_NEG), F.lit(NEGATIVE)))
     low = F.lower(F.coalesce(r, F.lit("")))
     plain = (F.when(low.contains(TEXT_POS) & ~low.contains(TEXT_NEG), F.lit(POSITIVE))
               .when(low.contains(TEXT_NEG) & ~low.contains(TEXT_POS), F.lit(NEGATIVE))
               .otherwise(F.lit(UNCERTAIN)))
-    conf = F.when(ok, m[KEY_CONFIDENCE].try_cast("double"))
-    reason = F.when(ok & F.map_contains_key(m, KEY_REASON), ustrip(m[KEY_REASON])) \
+    number = _last(m, KEY_CONFIDENCE)
+    conf = F.when(ok & number.rlike(NUMERIC_TEXT), number.try_cast("double"))
+    reason = F.when(ok & F.map_contains_key(m, KEY_REASON), ustrip(_last(m, KEY_REASON))) \
         .when(ok, F.lit("")).otherwise(F.lit(""))
     return F.struct(F.coalesce(from_json, plain).alias("verdict"),
                     conf.alias("confidence"), reason.alias("reason"),

@@ -21,8 +21,15 @@ def clip01(c) -> Column:
 
 
 def hard_pred(c, threshold: float = 0.5) -> Column:
-    """Hard prediction ``score >= threshold`` as 0/1."""
-    return F.when(_c(c) >= F.lit(float(threshold)), F.lit(1)).otherwise(F.lit(0))
+    """Hard prediction ``score >= threshold`` as 0/1 (O82); null for a null or NaN score."""
+    x = _c(c)
+    return F.when(is_score(x), F.when(x >= F.lit(float(threshold)), F.lit(1)).otherwise(F.lit(0)))
+
+
+def is_score(c) -> Column:
+    """Whether there is a score at all: neither null nor NaN."""
+    x = _c(c)
+    return x.isNotNull() & ~F.isnan(x.cast("double"))
 
 
 def check_band_thresholds(neg_thr: float, pos_thr: float) -> None:

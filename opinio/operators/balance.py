@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .clean import filter_reviews
 from .dedupe import duplicate_rows, keep_first_by_text, with_review_key
 from .rank import seeded_hash, take_n, with_rank
@@ -46,20 +47,19 @@ def check_classes(pos: DataFrame, neg: DataFrame) -> int:
 
 
 def balance(general: DataFrame, negatives: DataFrame, seed: int = 42,
-            check: bool = False, with_order: bool = True) -> DataFrame:
+            with_order: bool = True) -> DataFrame:
     """Negatives + an exact seeded sample of as many positives.
 
-    The target size is the negatives' count (one aggregation job). With
-    ``check=True`` the O46 guards run on it and the finished set is audited
-    for duplicate (entity, key) members, aborting like the reference
-    (O50). ``with_order`` adds ``ord``: the seeded shuffle position (O49).
+    The two deduplicated classes are written once; the guards (O46), the
+    sample and the union read them from there. The guards stop the job, and
+    so does a finished set with duplicate (entity, key) members (O50).
+    ``with_order`` adds ``ord``: the seeded shuffle position (O49).
     """
     pos, neg = class_inputs(general, negatives)
-    target = check_classes(pos, neg) if check else class_counts(pos, neg)[1]
-    sample = take_n(pos, target, seeded_hash(seed, "seq"), "seq")
-    out = neg.unionByName(sample)
-    if check:
-        assert_no_duplicates(out)
+    pos, neg = staged(pos, "balance-pos"), staged(neg, "balance-neg")
+    target = check_classes(pos, neg)
+    out = neg.unionByName(take_n(pos, target, seeded_hash(seed, "seq"), "seq"))
+    assert_no_duplicates(out)
     if with_order:
         out = with_rank(out, [], seeded_hash(seed, "seq", "shuffle|"), "seq",
                         "ord")

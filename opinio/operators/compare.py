@@ -19,16 +19,17 @@ def normalise_replies(replies: DataFrame, id_col: str = "id",
 def side_by_side(scored: DataFrame, verdicts: DataFrame, id_col: str = "id",
                  score_col: str = "score", neg_thr: float = 0.45,
                  pos_thr: float = 0.60) -> DataFrame:
-    """Equi-join of model bands and LLM verdicts on the document id."""
+    """Model bands beside the LLM verdicts of the same document; a document
+    without a reply keeps its band, with a null verdict and no agreement."""
     m = scored.select(id_col, score_col, band(score_col, neg_thr, pos_thr)
                       .alias("b")).select(id_col, score_col, F.col("b.band").alias("band"),
                                           F.col("b.confidence_pct").alias("model_conf_pct"))
     v = verdicts.select(id_col, "verdict",
                         display_confidence("confidence").alias("llm_conf_pct"))
-    j = m.join(v, id_col)
+    j = m.join(v, id_col, "left")
     agree = ((F.col("band") == "positive") & (F.col("verdict") == "positive")) | \
             ((F.col("band") == "negative") & (F.col("verdict") == "negative"))
-    return j.withColumn("agree", agree)
+    return j.withColumn("agree", F.coalesce(agree, F.lit(False)))
 
 
 def agreement_matrix(sbs: DataFrame) -> DataFrame:

@@ -34,36 +34,30 @@ def with_review_key(df: DataFrame, text_col: str = "text",
     return df.withColumn(key_col, key_hash(k))
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str],
-                  order: str = "seq") -> DataFrame:
-    """(keys…, order) of the first row of every key group."""
-    return df.groupBy(*keys).agg(F.min(order).alias(order))
-
-
 def keep_first(df: DataFrame, keys: Sequence[str],
                order: str | Sequence[str] = "seq") -> DataFrame:
     """Keep the first row (smallest ``order``) of each ``keys`` group.
 
-    ``order`` is one column or several, unique across the table together (a
-    file ordinal, an id, page and position). A null in it fails the job:
-    such a row has no place in the order.
+    ``order`` is one column or several (a file ordinal, an id, page and
+    position), unique within a group. A null comes last in it: such a row
+    loses to any row that has a place. Rows tied for the first place stay.
     """
     cols = [order] if isinstance(order, str) else list(order)
 
-    def checked(c):
-        return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"keep-first: null in order column {c}"))
-                      .cast(df.schema[c].dataType)).otherwise(F.col(c))
+    def place():
+        return F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(c) for c in cols])
 
-    d = df.withColumns({c: checked(c) for c in cols})
-    narrow = d.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*cols).alias("_o")
-                      if len(cols) > 1 else F.col(cols[0]).alias("_o"))
+    plain = len(cols) == 1 and not df.schema[cols[0]].nullable
+    narrow = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                       (F.col(cols[0]) if plain else place()).alias("_o"))
     ks = [f"_k{i}" for i in range(len(keys))]
     groups = narrow.groupBy(*[F.col(k).alias(f"_g{k}") for k in ks]).agg(
         F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in ks])
-    losers = narrow.join(groups, same).where("_o <> _first")
-    losers = losers.select(*([F.col(f"_o.{c}").alias(c) for c in cols] if len(cols) > 1 else [F.col("_o").alias(cols[0])]))
-    return d.join(losers, on=cols, how="left_anti").select(*df.columns)
+    losers = narrow.join(groups, same).where("_o <> _first").select(*ks, "_o")
+    d = df.withColumn("_place", F.col(cols[0]) if plain else place())
+    gone = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]) & (F.col("_place") == F.col("_o"))
+    return d.join(losers, on=gone, how="left_anti").select(*df.columns)
 
 
 def keep_first_by_text(df: DataFrame, keys: Sequence[str] = ("entity_id",),

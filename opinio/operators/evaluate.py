@@ -1,9 +1,8 @@
 """Evaluation (O90-O97) and error mining (O98-O100).
 
-All metrics come from aggregations: the confusion counts and the log-loss
-in one pass over the rows, ROC-AUC from a per-distinct-score table. The
-one-row partial results are stacked with ``unionByName`` and folded, so no
-join and no driver round trip is needed.
+Two passes over the rows give everything: one aggregates the confusion
+counts and the losses per batch, the other the table of distinct scores
+that ROC-AUC needs. Rows without a score (null, NaN) are counted apart.
 """
 
 from __future__ import annotations
@@ -11,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import hard_pred
+from ..functions.scores import hard_pred, is_score
+from ..session import small, staged
 
-AUC_BUCKETS = 1 << 16
 EPS = 1e-15
+#: Losses are rounded so that they do not depend on the order of partial sums.
+LOSS_DIGITS = 12
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -22,17 +23,18 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
+def _cells(label: str, score: str, threshold: float) -> list[Column]:
+    """The cells of the confusion matrix, rows = real, cols = predicted."""
+    pred, y = hard_pred(score, threshold), F.col(label)
+    return [F.count_if((y == 0) & (pred == 0)).alias("tn"), F.count_if((y == 0) & (pred == 1)).alias("fp"),
+            F.count_if((y == 1) & (pred == 0)).alias("fn"), F.count_if((y == 1) & (pred == 1)).alias("tp"),
+            F.count_if(pred.isNotNull()).alias("n"), F.count_if(pred.isNull()).alias("n_unscored")]
+
+
 def confusion_counts(df: DataFrame, label: str = "label", score: str = "score",
                      threshold: float = 0.5) -> DataFrame:
-    """O91 as one row (tn, fp, fn, tp, n); rows = real, cols = predicted."""
-    pred = hard_pred(score, threshold)
-    y = F.col(label)
-    return df.agg(
-        F.count_if((y == 0) & (pred == 0)).alias("tn"),
-        F.count_if((y == 0) & (pred == 1)).alias("fp"),
-        F.count_if((y == 1) & (pred == 0)).alias("fn"),
-        F.count_if((y == 1) & (pred == 1)).alias("tp"),
-        F.count(F.lit(1)).alias("n"))
+    """O91 as one row (tn, fp, fn, tp, n, n_unscored); n counts the scored rows."""
+    return df.agg(*_cells(label, score, threshold))
 
 
 def derived_metrics(c: DataFrame) -> DataFrame:
@@ -59,25 +61,24 @@ def derived_metrics(c: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC-AUC with ties (Mann-Whitney), NaN if a class is absent.
 
-    Distinct scores are grouped (partial aggregation absorbs hot scores),
-    then bucketed by ``floor(score * 65536)``; the running count of
-    negatives below each bucket comes from the small bucket table, and the
-    running count inside a bucket from a window over that bucket alone.
+    Distinct scores are grouped (partial aggregation absorbs hot scores) and
+    dealt out in ranges of about equally many scores, however they cluster.
+    The negatives below a range come from the small table of ranges, those
+    below a score within it from a window over that range.
     """
     s = F.col(score).cast("double")
-    per = df.groupBy(s.alias("_s")).agg(
+    per = df.where(is_score(score)).groupBy(s.alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"),
         F.count_if(F.col(label) == 0).alias("_neg"))
-    b = F.least(F.lit(AUC_BUCKETS - 1),
-                F.greatest(F.lit(0), F.floor(F.col("_s") * AUC_BUCKETS).cast("int")))
-    per = per.withColumn("_bk", b)
+    # written with its range, so that both uses below see the same ranges
+    per = staged(per.repartitionByRange("_s").withColumn("_bk", F.spark_partition_id()), "auc-scores")
     bt = per.groupBy("_bk").agg(F.sum("_neg").alias("_bneg"))
-    # the bucket table has at most AUC_BUCKETS rows: one small ordered pass
+    # one row per range: one small ordered pass
     wb = Window.partitionBy().orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select("_bk", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)).alias("_off"))
     wi = (Window.partitionBy("_bk").orderBy("_s")
           .rowsBetween(Window.unboundedPreceding, -1))
-    per = (per.join(F.broadcast(bt), "_bk")
+    per = (per.join(small(staged(bt, "auc-ranges")), "_bk")
               .withColumn("_below", F.col("_off")
                           + F.coalesce(F.sum("_neg").over(wi), F.lit(0))))
     term = F.col("_pos").cast("double") * (F.col("_below").cast("double")
@@ -97,14 +98,14 @@ def bce(label: str = "label", score: str = "score") -> Column:
 
 
 def log_loss(df: DataFrame, label: str = "label", score: str = "score",
-             batch_col: str | None = None, digits: int = 12) -> DataFrame:
+             batch_col: str | None = None, digits: int = LOSS_DIGITS) -> DataFrame:
     """Row-mean log-loss and, with ``batch_col``, the mean of batch
     means (a short last batch weighs as much as a full one).
 
     Rounded to ``digits`` places so the value does not depend on the order
     floating-point partial sums are combined in (partitioning).
     """
-    d = df.withColumn("_l", bce(label, score))
+    d = df.where(is_score(score)).withColumn("_l", bce(label, score))
     row = d.agg(F.round(F.avg("_l"), digits).alias("log_loss"))
     if batch_col is None:
         return row.withColumn("loss", F.col("log_loss"))
@@ -125,12 +126,18 @@ def _stack(parts) -> DataFrame:
 def evaluate(df: DataFrame, label: str = "label", score: str = "score",
              threshold: float = 0.5, batch_col: str | None = None) -> DataFrame:
     """O90-O96 + O100 as one flat row."""
-    c = derived_metrics(confusion_counts(df, label, score, threshold))
-    c = c.withColumn("n_errors", F.col("fp") + F.col("fn"))
-    auc = roc_auc(df, label, score)
-    loss = log_loss(df, label, score, batch_col)
+    cells = _cells(label, score, threshold)
+    names = ["tn", "fp", "fn", "tp", "n", "n_unscored"]
+    d = df.withColumn("_l", F.when(is_score(score), bce(label, score)))
+    per = d.groupBy(*([batch_col] if batch_col else [])).agg(
+        *cells, F.sum("_l").alias("_sum"), F.avg("_l").alias("_mean"))
+    c = per.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names],
+                F.round(F.sum("_sum") / F.sum("n"), LOSS_DIGITS).alias("log_loss"),
+                F.round(F.avg("_mean"), LOSS_DIGITS).alias("_batches"))
+    c = derived_metrics(c).withColumn("loss", F.col("_batches") if batch_col else F.col("log_loss")) \
+        .withColumn("n_errors", F.col("fp") + F.col("fn"))
     # max() of a NaN roc_auc stays NaN
-    out = _stack([c, auc, loss])
+    out = _stack([c, roc_auc(df, label, score)])
     return out.select(*METRIC_COLUMNS)
 
 
@@ -140,7 +147,7 @@ METRIC_COLUMNS = [
     "precision_pos", "recall_pos", "f1_pos",
     "precision_weighted", "recall_weighted", "f1_weighted",
     "precision_macro", "recall_macro", "f1_macro",
-    "roc_auc", "log_loss", "loss", "n_errors"]
+    "roc_auc", "log_loss", "loss", "n_errors", "n_unscored"]
 
 
 def metrics_document(flat: DataFrame, standalone: bool = False) -> DataFrame:

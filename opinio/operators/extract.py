@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import collapse_ws, norm_key, ustrip
-from .dedupe import keep_first, packed_order, with_review_key
+from ..session import ship_package, staged
+from .dedupe import keep_first, with_review_key
 from .htmlboxes import anchors, review_boxes
 
 ENTITY_URL = r"/anime/(\d+)"
@@ -77,13 +78,14 @@ def candidate_plan(entities: DataFrame, pages_per_entity: int, site: str,
 
 def first_fetched(plan: DataFrame, pages: DataFrame) -> DataFrame:
     """Per (entity, page) the page_id of the first candidate URL that
-    was fetched, null when none was. Only (url, page_id) is joined, never
+    was fetched, null when none was. A page without html was not fetched:
+    the next candidate gets its turn. Only (url, page_id) is joined, never
     the HTML."""
-    hit = plan.join(pages.select("url", "page_id"), "url", "left")
-    # min_by skips null orderings: candidates that were not fetched never win
-    rank = F.when(F.col("page_id").isNotNull(), F.col("cand_rank"))
-    return hit.groupBy("entity_id", "page").agg(
-        F.min_by("page_id", rank).alias("page_id"))
+    hit = plan.join(pages.where("html IS NOT NULL").select("url", "page_id"), "url", "left")
+    # the minimum skips nulls: candidates that were not fetched never win
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("cand_rank", "page_id")))
+    return hit.groupBy("entity_id", "page").agg(first.alias("_f")).select(
+        "entity_id", "page", F.col("_f.page_id").alias("page_id"))
 
 
 BOX_SCHEMA = T.StructType([
@@ -128,6 +130,7 @@ def explode_boxes(pages: DataFrame, site: str | None = None) -> DataFrame:
             else F.lit(None).cast("string"))
     src = pages.select("page_id", html.rlike(BLOCK_RE).alias("blocked"),
                        me.alias("main_entity"), slug.alias("slug"), "html")
+    ship_package(pages.sparkSession)
     return src.mapInPandas(_boxes_fn, BOX_SCHEMA)
 
 
@@ -188,16 +191,17 @@ def extract_reviews(entities: DataFrame, pages: DataFrame, site: str,
     """O12-O21 end to end: (entity_id, page, box_pos, text, marker, label).
 
     ``entities`` has ``entity_id``; ``mode='negatives'`` keeps only
-    not-recommended reviews (label 0).
+    not-recommended reviews (label 0). The boxes are written once, so every
+    page is parsed once.
     """
-    bx = boxes if boxes is not None else explode_boxes(pages, site)
+    bx = boxes if boxes is not None else staged(explode_boxes(pages, site), "boxes")
     ent = entity_bases(entities, bx, site)
     plan = candidate_plan(ent, pages_per_entity, site)
     slots = first_fetched(plan, pages)
     kept = stop_at_gap(page_status(slots, bx)).filter(F.col("status") == "ok")
     b = bx.filter(F.col("box_pos").isNotNull()).join(
         kept.select("page_id", "entity_id", "page"), "page_id")
-    rec = b.select("entity_id", "page", "box_pos",
+    rec = b.select("entity_id", "page", "page_id", "box_pos",
                    review_text(F.col("body")).alias("text"),
                    marker(F.col("tags"), F.col("head")).alias("marker"))
     rec = rec.filter(F.col("text").isNotNull() & F.col("marker").isNotNull())
@@ -206,9 +210,8 @@ def extract_reviews(entities: DataFrame, pages: DataFrame, site: str,
     rec = rec.withColumn("label", F.when(F.col("marker") == "recommended", 1)
                          .otherwise(0))
     rec = with_review_key(rec, "text", "_key")
-    # (page, position) is unique within an entity only
-    return keep_first(rec, ["entity_id", "_key"],
-                      [("page", 24), ("box_pos", 39)], unique_order=False).drop("_key")
+    # (page_id, position) is unique, and an entity's page has one page_id
+    return keep_first(rec, ["entity_id", "_key"], ["page", "page_id", "box_pos"]).drop("_key", "page_id")
 
 
 def page_counters(records: DataFrame) -> DataFrame:
@@ -219,6 +222,27 @@ def page_counters(records: DataFrame) -> DataFrame:
         F.count_if(F.col("label") == 0).alias("negatives"))
 
 
+def entity_counters(records: DataFrame, stored: DataFrame, slice_size: int = 4096) -> DataFrame:
+    """Per entity the rows that are new against the stored ones, those
+    discarded, and the rows accumulated so far in the order of the ids.
+
+    ``records`` is deduplicated within its entities (O21). The running total
+    adds up slices of entity numbers first, so no task sees all entities.
+    """
+    seen = with_review_key(stored, "text", "_key").select("entity_id", "_key").distinct().withColumn("_seen", F.lit(True))
+    r = with_review_key(records, "text", "_key").join(seen, ["entity_id", "_key"], "left")
+    per = r.groupBy("entity_id").agg(F.count_if(F.col("_seen").isNull()).alias("new_rows"),
+                                     F.count_if(F.col("_seen").isNotNull()).alias("discarded_rows"))
+    per = per.withColumn("_n", F.col("entity_id").cast("long")).withColumn("_slice", F.floor(F.col("_n") / slice_size))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = per.groupBy("_slice").agg(F.sum("new_rows").alias("_s"))
+    slices = slices.select("_slice", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    upto = Window.partitionBy("_slice").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return per.join(slices, "_slice").select(
+        "entity_id", "new_rows", "discarded_rows",
+        (F.col("_before") + F.sum("new_rows").over(upto)).alias("accumulated_rows"))
+
+
 ANCHOR_SCHEMA = T.StructType([
     T.StructField("list_page", T.LongType()),
     T.StructField("pos", T.IntegerType()),
@@ -245,9 +269,7 @@ def ranked_entities(listing: DataFrame, max_n: int) -> DataFrame:
         F.col("entity_id").isNotNull())
     has = F.max(F.col("in_ranking").cast("int")).over(Window.partitionBy("list_page"))
     a = a.withColumn("_has", has).filter(F.col("in_ranking") | (F.col("_has") == 0))
-    # (page, position) packed into one long keeps min() in the hash aggregate
-    a = a.withColumn("_o", packed_order([("list_page", 40), ("pos", 23)]))
-    first = a.groupBy("entity_id").agg(F.min("_o").alias("_o"))
+    first = a.groupBy("entity_id").agg(F.min(F.struct("list_page", "pos")).alias("_o"))
     top = first.orderBy("_o").limit(int(max_n))     # TakeOrderedAndProject
     w = Window.orderBy("_o")                         # over <= max_n rows
     return top.select((F.row_number().over(w)).alias("rank"), "entity_id")

@@ -31,27 +31,27 @@ class Node:
     def classes(self):
         return (self.attrs.get("class") or "").split()
 
+    def walk(self, skip=()):
+        """Descendants (elements and texts) in document order, without those
+        below elements named in ``skip``. An explicit stack: unclosed tags
+        nest as deep as the page is long."""
+        stack = [iter(self.children)]
+        while stack:
+            c = next(stack[-1], None)
+            if c is None:
+                stack.pop()
+                continue
+            yield c
+            if isinstance(c, Node) and c.children and c.tag not in skip:
+                stack.append(iter(c.children))
+
     def iter(self):
         """Descendant elements in document order (self excluded)."""
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.iter()
+        return (c for c in self.walk() if isinstance(c, Node))
 
     def text(self) -> str:
-        out = []
-
-        def walk(n):
-            for c in n.children:
-                if isinstance(c, Node):
-                    if c.tag not in SKIP_TEXT:
-                        walk(c)
-                else:
-                    s = c.strip()
-                    if s:
-                        out.append(s)
-        walk(self)
-        return " ".join(out)
+        parts = (c.strip() for c in self.walk(SKIP_TEXT) if not isinstance(c, Node))
+        return " ".join(s for s in parts if s)
 
 
 class _Builder(HTMLParser):

@@ -8,9 +8,10 @@ ranked by (h, id) within their bucket only, so no task sees more than
 ~1/65536 of a stratum, and rank = offset + local row number equals the rank
 of a global sort by (h, id).
 
-For cuts (take the first n, split into bands) only the buckets that straddle
-a cut need per-row ranks; every other bucket is assigned whole through a
-broadcast of the bucket table, so the input is never shuffled.
+For cuts (take the first n, split into bands) no row is ranked at all but
+those of the few buckets that straddle a cut: they give the (h, id) at which
+the cut falls, and every row is then compared with the cuts of its stratum.
+Texts are never shuffled for it; the cuts are a handful of rows per stratum.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small, staged
+
 BUCKET_HEX = 4  # 16 bits -> 65,536 buckets per stratum
 
 
@@ -50,13 +53,32 @@ def with_rank(df: DataFrame, strata: Sequence[str], h: Column,
         return with_rank(df.withColumn("_s", F.lit(0)), ["_s"], h, id_col,
                          rank_col).drop("_s")
     d = _bucketed(df, h)
-    offs = F.broadcast(bucket_offsets(d, strata).drop("_n"))
+    offs = small(staged(bucket_offsets(d, strata).drop("_n"), "rank-offsets"))
     d = d.join(offs, on=[*strata, "_b"])
     w = Window.partitionBy(*strata, "_b").orderBy("_h", id_col)
     return (d.withColumn(rank_col, F.row_number().over(w) - 1 + F.col("_off"))
              .drop("_h", "_b", "_off"))
 
 
+def cut_points(df: DataFrame, strata: Sequence[str], h: Column, id_col: str,
+               cuts: DataFrame) -> DataFrame:
+    """(strata…, at, cut): the (h, id) of the row of rank ``at`` by (h, id).
+
+    ``cuts`` holds (strata…, at); ranks beyond a stratum's rows have no row
+    in the result. Reads only the strata and id columns of ``df``.
+    """
+    d = _bucketed(df.select(*strata, id_col), h)
+    offs = staged(bucket_offsets(d, strata), "cut-offsets")
+    hit = offs.join(small(cuts), on=list(strata)).where(
+        (F.col("at") >= F.col("_off")) & (F.col("at") < F.col("_off") + F.col("_n")))
+    hit = staged(hit.select(*strata, "_b", "_off", "at"), "cut-buckets")
+    w = Window.partitionBy(*strata, "_b").orderBy("_h", id_col)
+    buckets = small(hit.select(*strata, "_b", "_off").distinct())
+    rows = d.join(buckets, on=[*strata, "_b"]).withColumn("_r", F.row_number().over(w) - 1 + F.col("_off"))
+    rows = rows.join(small(hit.select(*strata, "_b", "at")), on=[*strata, "_b"]).where("_r = at")
+    return rows.select(*strata, "at", F.struct(F.col("_h").alias("h"), F.col(id_col).alias("id")).alias("cut"))
+
+
 def assign_bands(df: DataFrame, strata: Sequence[str], h: Column,
                  id_col: str, bands: DataFrame,
                  band_col: str = "band") -> DataFrame:
@@ -65,34 +87,30 @@ def assign_bands(df: DataFrame, strata: Sequence[str], h: Column,
     ``bands`` holds (strata…, band, lo, hi) per stratum (a handful of rows);
     rows whose rank lies in no band are dropped. Rank order is (h, id).
     """
-    if not strata:  # one implicit stratum
-        df, bands = df.withColumn("_s", F.lit(0)), bands.withColumn("_s", F.lit(0))
-        return assign_bands(df, ["_s"], h, id_col, bands, band_col).drop("_s")
-    d = _bucketed(df, h)
-    offs = bucket_offsets(d, strata)
-    ov = offs.join(F.broadcast(bands), on=list(strata))
-    ov = ov.filter((F.col("lo") < F.col("_off") + F.col("_n")) &
-                   (F.col("hi") > F.col("_off")))
-    per_bucket = ov.groupBy(*strata, "_b", "_off").agg(
-        F.count(F.lit(1)).alias("_k"),
-        F.first("band").alias("_band"),
-        F.min(F.col("lo") <= F.col("_off")).alias("_lo_ok"),
-        F.min(F.col("hi") >= F.col("_off") + F.col("_n")).alias("_hi_ok"))
-    whole = F.col("_lo_ok") & F.col("_hi_ok") & (F.col("_k") == 1)
-    whole_b = F.broadcast(per_bucket.filter(whole).select(*strata, "_b", "_band"))
-    cut_b = F.broadcast(per_bucket.filter(~whole).select(*strata, "_b", "_off"))
-
-    easy = (d.join(whole_b, on=[*strata, "_b"])
-             .withColumnRenamed("_band", band_col))
-    w = Window.partitionBy(*strata, "_b").orderBy("_h", id_col)
-    hard = (d.join(cut_b, on=[*strata, "_b"])
-             .withColumn("_r", F.row_number().over(w) - 1 + F.col("_off"))
-             .drop("_off"))
-    bsel = F.broadcast(bands.withColumnRenamed("band", band_col))
-    hard = hard.join(bsel, on=list(strata))
-    hard = (hard.filter((F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi")))
-                .drop("_r", "lo", "hi"))
-    return easy.unionByName(hard).drop("_h", "_b")
+    alone = not strata
+    if alone:  # one implicit stratum
+        df, bands, strata = df.withColumn("_s", F.lit(0)), bands.withColumn("_s", F.lit(0)), ["_s"]
+    bands = staged(bands, "bands")
+    cuts = staged(bands.select(*strata, F.col("lo").alias("at")).unionByName(
+        bands.select(*strata, F.col("hi").alias("at"))).distinct(), "cuts")
+    found = staged(cut_points(df, strata, h, id_col, cuts), "cut-points")
+    low = found.select(*strata, F.col("at").alias("lo"), F.col("cut").alias("_from"))
+    high = found.select(*strata, F.col("at").alias("hi"), F.col("cut").alias("_to"))
+    # a lower rank beyond the rows makes a band empty; an upper one leaves it open
+    limits = bands.join(low, on=[*strata, "lo"]).join(high, on=[*strata, "hi"], how="left")
+    limits = staged(limits.select(*strata, F.col("band").alias(band_col), "_from", "_to"), "band-limits")
+    place = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("id"))
+    d = df.withColumn("_h", h)
+    if alone:
+        band = F.lit(None).cast("string")
+        for r in limits.collect():  # the bands of one stratum
+            inside = place >= F.struct(F.lit(r["_from"]["h"]).alias("h"), F.lit(r["_from"]["id"]).alias("id"))
+            if r["_to"] is not None:
+                inside &= place < F.struct(F.lit(r["_to"]["h"]).alias("h"), F.lit(r["_to"]["id"]).alias("id"))
+            band = F.when(inside, F.lit(r[band_col])).otherwise(band)
+        return d.withColumn(band_col, band).where(F.col(band_col).isNotNull()).drop("_h", "_s")
+    inside = (place >= F.col("_from")) & (F.col("_to").isNull() | (place < F.col("_to")))
+    return d.join(small(limits), on=list(strata)).where(inside).drop("_h", "_from", "_to")
 
 
 def take_n(df: DataFrame, n: int, h: Column, id_col: str,

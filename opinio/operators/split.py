@@ -3,8 +3,7 @@
 Sizes: test = ceil(test_size * N); per label the floor of its share, the
 left-over rows to the largest remainders (ties to the smaller label); val
 is ``val_size`` of what remains, same rule. Rows are ranked per label by a
-seeded digest and cut at those sizes; only buckets that straddle a cut are
-ranked row by row (see ``rank.assign_bands``).
+seeded digest and cut at those sizes (see ``rank.assign_bands``).
 """
 
 from __future__ import annotations
@@ -50,31 +49,21 @@ def split_sizes(df: DataFrame, test_size: float = 0.2,
                     .alias("n_train"))
 
 
-MAX_STRATA = 10_000
-
-
 def stratified_split(df: DataFrame, seed: int = 42, test_size: float = 0.2,
                      val_size: float = 0.1, id_col: str = "seq") -> DataFrame:
     """Add ``split`` in {train, val, test} (O55 + O56).
 
-    The per-label sizes come from one aggregation job; that table has one
-    row per label (checked against ``MAX_STRATA``) and is passed to the
-    band assignment as a literal, so the tiny sizes computation is not
-    re-planned inside every branch that uses it.
+    The per-label sizes are a table of one row per label, however many
+    labels there are; its bands are joined to the rows.
     """
-    sizes = split_sizes(df, test_size, val_size).collect()
-    if len(sizes) > MAX_STRATA:
-        raise ValueError(f"{len(sizes)} labels: too many strata for a split")
-    rows = []
-    for r in sizes:
-        t, v = int(r["n_test"]), int(r["n_test"]) + int(r["n_val"])
-        rows += [(r["label"], "test", 0, t), (r["label"], "val", t, v),
-                 (r["label"], "train", v, 2 ** 62)]
-    ltype = df.schema["label"].dataType.simpleString()
-    bands = df.sparkSession.createDataFrame(
-        rows, f"label {ltype}, band string, lo long, hi long")
-    return assign_bands(df, ["label"], seeded_hash(seed, id_col), id_col,
-                        bands, "split")
+    n, t, v = F.col("n"), F.col("n_test"), F.col("n_test") + F.col("n_val")
+
+    def band(name, lo, hi):
+        return F.struct(F.lit(name).alias("band"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+
+    bands = split_sizes(df, test_size, val_size).select("label", F.explode(F.array(
+        band("test", F.lit(0), t), band("val", t, v), band("train", v, n))).alias("b")).select("label", "b.*")
+    return assign_bands(df, ["label"], seeded_hash(seed, id_col), id_col, bands, "split")
 
 
 def split_counts(df: DataFrame) -> DataFrame:

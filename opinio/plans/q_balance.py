@@ -8,7 +8,7 @@ from ..operators import balance as B
 from ..operators import clean as C
 from ..operators import split as SP
 from ..operators.dedupe import with_review_key, duplicate_rows
-from ..sources.fixtures import reviews_raw
+from ..sources.fixtures import reviews_negatives, reviews_raw
 from . import sqlparts as S
 from .catalog import register, stage
 
@@ -20,12 +20,16 @@ def cleaned(spark, sf_dir):
         reviews_raw(spark, sf_dir), min_chars=25))
 
 
+def cleaned_negatives(spark, sf_dir):
+    return stage(spark, sf_dir, "cleaned_negatives", lambda: C.clean_reviews(
+        reviews_negatives(spark, sf_dir), min_chars=25))
+
+
 def balanced(spark, sf_dir):
-    c = cleaned(spark, sf_dir)
-    # the whole cleaned table feeds both inputs: negatives of the general
-    # set must be ignored, positives of the negatives set too
+    # negatives of the general set must be ignored
     return stage(spark, sf_dir, "balanced", lambda: B.balance(
-        c, c, seed=SEED).select("seq", "entity_id", "text", "label", "ord"))
+        cleaned(spark, sf_dir), cleaned_negatives(spark, sf_dir), seed=SEED).select(
+        "seq", "entity_id", "text", "label", "ord"))
 
 
 def split(spark, sf_dir):
@@ -33,12 +37,16 @@ def split(spark, sf_dir):
 
 
 BAL_CTES = f"""{S.clean_ctes(25)},
+{S.clean_neg_ctes(25)},
 v AS (SELECT seq, entity_id, lower({S.strip('text')}) AS text, {S.label('label')} AS label
       FROM clean WHERE entity_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL),
 v2 AS (SELECT * FROM v WHERE text <> '' AND label IS NOT NULL),
+vn AS (SELECT seq, entity_id, lower({S.strip('text')}) AS text, {S.label('label')} AS label
+      FROM clean_neg WHERE entity_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL),
+vn2 AS (SELECT * FROM vn WHERE text <> '' AND label IS NOT NULL),
 {S.keep_first("(SELECT * FROM v2 WHERE label = 1)", f"entity_id, {S.norm('text')}", "pos",
               "seq, entity_id, text, label")},
-{S.keep_first("(SELECT * FROM v2 WHERE label = 0)", f"entity_id, {S.norm('text')}", "neg",
+{S.keep_first("(SELECT * FROM vn2 WHERE label = 0)", f"entity_id, {S.norm('text')}", "neg",
               "seq, entity_id, text, label")},
 samp AS (SELECT seq, entity_id, text, label FROM (
   SELECT *, row_number() OVER (ORDER BY {S.seeded_hash(SEED, 'seq')}, seq) - 1 AS r
@@ -109,7 +117,7 @@ def split_plan(spark, sf_dir):
 
 @register("sample_positives", f"WITH {BAL_CTES}\nSELECT * FROM samp")
 def sample_positives(spark, sf_dir):
-    pos, neg = B.class_inputs(cleaned(spark, sf_dir), cleaned(spark, sf_dir))
+    pos, neg = B.class_inputs(cleaned(spark, sf_dir), cleaned_negatives(spark, sf_dir))
     from ..operators.rank import seeded_hash, take_n
     n = B.class_counts(pos, neg)[1]
     return take_n(pos, n, seeded_hash(SEED, "seq"), "seq").select(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from ..operators import clean as C
 from ..schema import NA_TOKENS
-from ..sources.fixtures import reviews_raw
+from ..sources.fixtures import reviews_negatives, reviews_raw
 from . import sqlparts as S
 from .catalog import register
 
-_CLEAN_SQL = f"WITH {S.clean_ctes(25)}\nSELECT seq, entity_id, text, label FROM clean"
+_CLEAN_SQL = f"WITH {S.clean_ctes(25)}\nSELECT seq, entity_id, text, label, marker FROM clean"
 
 
 @register("clean_reviews", _CLEAN_SQL)
@@ -16,6 +16,12 @@ def clean_reviews(spark, sf_dir):
     return C.clean_reviews(reviews_raw(spark, sf_dir), min_chars=25)
 
 
+@register("clean_negatives", f"WITH {S.clean_neg_ctes(25)}\nSELECT seq, entity_id, text, label, marker FROM clean_neg")
+def clean_negatives(spark, sf_dir):
+    """The second input of the cleaning run."""
+    return C.clean_reviews(reviews_negatives(spark, sf_dir), min_chars=25)
+
+
 _REPORT_SQL = f"""WITH {S.REVIEWS_RAW},
 flags AS (
   SELECT entity_id IS NULL OR text IS NULL OR label IS NULL AS is_null,
@@ -64,9 +70,10 @@ def _csv_roundtrip(spark, sf_dir):
 
     def build():
         p = scratch_path(spark, f"csv-{uuid.uuid4().hex[:8]}")
-        write_reviews_csv(reviews_raw(spark, sf_dir), p)
-        return read_reviews_csv(spark, p, ["entity_id", "text", "label"],
-                                ordinal="_row").drop("_row")
+        raw = reviews_raw(spark, sf_dir)
+        # part files in the order of seq, so that the order of the files is known
+        write_reviews_csv(raw.repartitionByRange(4, "seq").sortWithinPartitions("seq"), p)
+        return read_reviews_csv(spark, p, ["entity_id", "text", "label"], ordinal="file_order")
     return stage(spark, sf_dir, "csv_roundtrip", build)
 
 
@@ -74,13 +81,36 @@ _NA = ", ".join("'" + t.replace("'", "''") + "'" for t in NA_TOKENS)
 
 
 @register("csv_roundtrip", f"""WITH {S.REVIEWS_RAW}
+SELECT CAST(seq AS VARCHAR) AS seq, row_number() OVER (ORDER BY reviews_raw.seq) - 1 AS file_order,
+  CASE WHEN entity_id IN ({_NA}) THEN NULL ELSE entity_id END AS entity_id,
+  CASE WHEN text IN ({_NA}) THEN NULL ELSE text END AS text,
+  CASE WHEN label IN ({_NA}) THEN NULL ELSE label END AS label,
+  CASE WHEN marker IN ({_NA}) THEN NULL ELSE marker END AS marker FROM reviews_raw""")
+def csv_roundtrip(spark, sf_dir):
+    """O01 + O04: quote-all CSV written and read back as text columns, in file order."""
+    return _csv_roundtrip(spark, sf_dir).select("seq", "file_order", "entity_id", "text", "label", "marker")
+
+
+@register("csv_mixed_headers", f"""WITH {S.REVIEWS_RAW}
 SELECT CAST(seq AS VARCHAR) AS seq,
   CASE WHEN entity_id IN ({_NA}) THEN NULL ELSE entity_id END AS entity_id,
   CASE WHEN text IN ({_NA}) THEN NULL ELSE text END AS text,
   CASE WHEN label IN ({_NA}) THEN NULL ELSE label END AS label FROM reviews_raw""")
-def csv_roundtrip(spark, sf_dir):
-    """O01 + O04: quote-all CSV written and read back as text columns."""
-    return _csv_roundtrip(spark, sf_dir).select("seq", "entity_id", "text", "label")
+def csv_mixed_headers(spark, sf_dir):
+    """One folder whose files name their columns in two orders."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.files import CSV_WRITE, read_reviews_csv
+    from .catalog import stage
+
+    def build():
+        p = scratch_path(spark, f"csv-{uuid.uuid4().hex[:8]}")
+        raw = reviews_raw(spark, sf_dir)
+        raw.where("seq % 2 = 0").select("seq", "entity_id", "text", "label").write.options(**CSV_WRITE).csv(p)
+        raw.where("seq % 2 = 1").select("label", "text", "entity_id", "seq").write.options(**CSV_WRITE).mode("append").csv(p)
+        return read_reviews_csv(spark, p, ["entity_id", "text", "label"], ordinal="file_order")
+    return stage(spark, sf_dir, "csv_mixed", build).select("seq", "entity_id", "text", "label")
 
 
 @register("labelled_rows", f"""WITH {S.REVIEWS_RAW},

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import band, clip01, hard_pred, sigmoid
 from ..operators import evaluate as EV
+from ..schema import METRICS
 from ..sources.fixtures import deterministic_score
 from . import sqlparts as S
 from .catalog import register, stage
@@ -67,7 +68,7 @@ lo AS (SELECT round(avg(l), 12) AS log_loss FROM bl),
 lb AS (SELECT round(avg(bm), 12) AS loss FROM (SELECT avg(l) AS bm FROM bl GROUP BY batch_id))
 SELECT n, tn, fp, fn, tp, accuracy, precision_neg, recall_neg, f1_neg,
   precision_pos, recall_pos, f1_pos, precision_weighted, recall_weighted, f1_weighted,
-  precision_macro, recall_macro, f1_macro, roc_auc, log_loss, loss, fp + fn AS n_errors
+  precision_macro, recall_macro, f1_macro, roc_auc, log_loss, loss, fp + fn AS n_errors, CAST(0 AS BIGINT) AS n_unscored
 FROM m2, auc, lo, lb"""
 
 
@@ -117,9 +118,9 @@ def error_rows(spark, sf_dir):
 
 
 @register("top_errors", f"""WITH {ERR_SQL}
-SELECT * FROM err ORDER BY error_confidence DESC, seq LIMIT 100""")
+SELECT * FROM err ORDER BY error_confidence DESC, seq LIMIT 500""")
 def top_errors(spark, sf_dir):
-    return EV.top_errors(scored(spark, sf_dir), k=100)
+    return EV.top_errors(scored(spark, sf_dir))
 
 
 @register("error_count", f"""WITH {ERR_SQL}
@@ -128,13 +129,37 @@ def error_count(spark, sf_dir):
     return EV.error_count(scored(spark, sf_dir))
 
 
-@register("metrics_document")
+PRF = [f"{c}_{m}" for c in ("neg", "pos", "weighted", "macro") for m in ("precision", "recall", "f1")]
+
+
+def _flat_doc(docs):
+    """The fields of metrics documents side by side."""
+    def prf(name, field):
+        return [F.col(f"{field}.{m}").alias(f"{name}_{m}") for m in ("precision", "recall", "f1")]
+    return docs.select(
+        "loss", "accuracy", "roc_auc", *prf("neg", "per_class.negative"), *prf("pos", "per_class.positive"),
+        *prf("weighted", "weighted"), *prf("macro", "macro"),
+        *[F.col("confusion_matrix")[i][j].alias(n) for n, i, j in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))],
+        "n_errors", "n_test")
+
+
+def _doc_sql(standalone):
+    def named(c):
+        side, m = c.split("_")
+        return f"{m}_{side} AS {c}" if not (standalone and side == "macro") else f"CAST(NULL AS DOUBLE) AS {c}"
+    only = "n_errors, n AS n_test" if standalone else "CAST(NULL AS BIGINT) AS n_errors, CAST(NULL AS BIGINT) AS n_test"
+    return (f"SELECT {'CAST(NULL AS DOUBLE) AS loss' if standalone else 'loss'}, accuracy, roc_auc, "
+            f"{', '.join(map(named, PRF))}, tn, fp, fn, tp, {only} FROM ({METRICS_SQL})")
+
+
+@register("metrics_document", _doc_sql(False))
 def metrics_document(spark, sf_dir):
-    """The nested metrics document and its JSON text (rows-only)."""
-    return EV.metrics_document(EV.evaluate(scored(spark, sf_dir), batch_col="batch_id"))
+    """The nested metrics document, parsed back from its JSON text, field by field."""
+    doc = EV.metrics_document(EV.evaluate(scored(spark, sf_dir), batch_col="batch_id"))
+    return _flat_doc(doc.select(F.from_json("json", METRICS).alias("m")).select("m.*"))
 
 
-@register("metrics_json_roundtrip")
+@register("metrics_json_roundtrip", _doc_sql(True))
 def metrics_json_roundtrip(spark, sf_dir):
     """Standalone metrics document written as JSON and read back."""
     import uuid
@@ -147,4 +172,18 @@ def metrics_json_roundtrip(spark, sf_dir):
         write_metrics_json(EV.metrics_document(EV.evaluate(scored(spark, sf_dir)),
                                                standalone=True), p)
         return read_metrics_json(spark, p)
-    return stage(spark, sf_dir, "metrics_json", build)
+    return _flat_doc(stage(spark, sf_dir, "metrics_json", build))
+
+
+@register("saturated_auc", f"""WITH {SCORED_CTES},
+sat AS (SELECT label, 1.0 / (1.0 + exp(-(14.0 + score * 6.0 + (seq % 97) / 970.0))) AS score FROM scored),
+per AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos,
+  count(*) FILTER (WHERE label = 0) AS neg FROM sat GROUP BY score),
+acc AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per)
+SELECT round(sum({_d('pos')} * ({_d('below')} + {_d('neg')} / 2.0)) / ({_d('sum(pos)')} * {_d('sum(neg)')}), 6) AS roc_auc FROM acc""")
+def saturated_auc(spark, sf_dir):
+    """Sigmoid scores that all lie close to 1."""
+    s = scored(spark, sf_dir).select("label", (F.lit(1.0) / (F.lit(1.0) + F.exp(
+        -(F.lit(14.0) + F.col("score") * 6.0 + (F.col("seq") % 97) / F.lit(970.0))))).alias("score"))
+    return EV.roc_auc(s).select(F.round("roc_auc", 6).alias("roc_auc"))

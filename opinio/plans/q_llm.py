@@ -28,21 +28,27 @@ _N = "CAST(length(text) % 101 AS VARCHAR)"
 _K = "CAST(length(text) % 7 AS VARCHAR)"
 _SPAN = r"regexp_extract(raw, '(?s)\{.*\}', 0)"
 _LJ = "json_extract_string"
+# of a repeated key the last value
+_LAST = """regexp_extract_all(j, '"sentimiento": "([^"]*)"', 1)[-1]"""
 REPLY_CTES = f"""{SCORED_CTES},
 rep AS (SELECT seq AS id, CASE
-  WHEN seq % 8 = 0 THEN '{{"sentimiento": "positiva", "confianza": ' || {_N} || ', "razon": "  Tono favorable (' || {_K} || ').  "}}'
-  WHEN seq % 8 = 1 THEN '{{"sentimiento": "Negativa", "confianza": "' || {_N} || '", "razon": "Critica el ritmo"}}'
-  WHEN seq % 8 = 2 THEN 'Claro, aqui va:' || chr(10) || '{{"sentimiento": "POSITIVA",' || chr(10) || ' "confianza": ' || {_N} || ', "razon": "ok"}}' || chr(10) || 'Espero que ayude.'
-  WHEN seq % 8 = 3 THEN '{{''sentimiento'': ''positiva'', ''confianza'': ' || {_N} || '}}'
-  WHEN seq % 8 = 4 THEN 'La reseña es negativa.'
-  WHEN seq % 8 = 5 THEN 'No es del todo positiva ni negativa.'
-  WHEN seq % 8 = 6 THEN '{{}}'
-  ELSE '{{"sentimiento": "mixta", "confianza": null, "razon": null}}' END AS raw
-  FROM scored),
-js AS (SELECT id, raw, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw
+  WHEN seq % 13 = 0 THEN '{{"sentimiento": "positiva", "confianza": ' || {_N} || ', "razon": "  Tono favorable (' || {_K} || ').  "}}'
+  WHEN seq % 13 = 1 THEN '{{"sentimiento": "Negativa", "confianza": "' || {_N} || '", "razon": "Critica el ritmo"}}'
+  WHEN seq % 13 = 2 THEN 'Claro, aqui va:' || chr(10) || '{{"sentimiento": "POSITIVA",' || chr(10) || ' "confianza": ' || {_N} || ', "razon": "ok"}}' || chr(10) || 'Espero que ayude.'
+  WHEN seq % 13 = 3 THEN '{{''sentimiento'': ''positiva'', ''confianza'': ' || {_N} || '}}'
+  WHEN seq % 13 = 4 THEN 'La reseña es negativa.'
+  WHEN seq % 13 = 5 THEN 'No es del todo positiva ni negativa.'
+  WHEN seq % 13 = 6 THEN '{{}}'
+  WHEN seq % 13 = 7 THEN '{{"sentimiento": "mixta", "confianza": null, "razon": null}}'
+  WHEN seq % 13 = 8 THEN '[{{"sentimiento": "positiva", "confianza": ' || {_N} || '}}]'
+  WHEN seq % 13 = 9 THEN '{{"sentimiento": "positiva", "sentimiento": "negativa", "confianza": ' || {_N} || '}}'
+  WHEN seq % 13 = 10 THEN '{{"sentimiento": "negativa", "confianza": "' || {_N} || 'f"}}'
+  ELSE '{{"sentimiento": "positiva", "confianza": ' || {_N} || '}} y {{"sentimiento": "negativa"}}' END AS raw
+  FROM scored WHERE seq % 13 <> 12),
+js AS (SELECT id, raw, CASE WHEN json_valid(raw) THEN CASE WHEN json_type(raw) = 'OBJECT' THEN raw END
   WHEN json_valid({_SPAN}) AND json_type({_SPAN}) = 'OBJECT' THEN {_SPAN} END AS j FROM rep),
 js2 AS (SELECT *, j IS NOT NULL AND len(json_keys(j)) > 0 AS ok,
-  lower({S.strip(f"coalesce({_LJ}(j, '$.sentimiento'), '')")}) AS sent FROM js),
+  lower({S.strip(f"coalesce({_LAST}, '')")}) AS sent FROM js),
 ver AS (SELECT id, coalesce(
     CASE WHEN ok AND sent LIKE '%pos%' THEN 'positive' WHEN ok AND sent LIKE '%neg%' THEN 'negative' END,
     CASE WHEN lower(raw) LIKE '%positiv%' AND lower(raw) NOT LIKE '%negativ%' THEN 'positive'
@@ -56,7 +62,7 @@ sbs AS (SELECT s.seq AS id, s.score,
   CASE WHEN s.score >= 0.6 THEN least(1.0, greatest(0.0, s.score)) * 100.0
        WHEN s.score <= 0.45 THEN 100.0 - least(1.0, greatest(0.0, s.score)) * 100.0 END AS model_conf_pct,
   v.verdict, least(100.0, greatest(0.0, v.confidence)) AS llm_conf_pct
-  FROM scored s JOIN ver v ON s.seq = v.id)"""
+  FROM scored s LEFT JOIN ver v ON s.seq = v.id)"""
 
 
 @register("llm_verdicts", f"WITH {REPLY_CTES}\nSELECT * FROM ver")

@@ -36,15 +36,15 @@ def _tag_sql():
 
 _NT = S.norm("tag")
 _HEAD = S.norm(f"substring({S.strip('tag')} || ' ' || {S.strip('body')}, 1, 260)")
-PAGE_CTES = f"""d AS (SELECT doc_id, 1 + doc_id % 20 AS e,
-    1 + CAST(floor(doc_id / 20) AS BIGINT) % 5 AS p, {_tag_sql()} AS tag,
+PAGE_CTES = f"""d AS (SELECT doc_id, 1 + doc_id // 50 AS e,
+    1 + (doc_id // 10) % 5 AS p, {_tag_sql()} AS tag,
     CASE WHEN doc_id % 11 = 0 THEN '*Spoiler Warning*' || text ELSE text END AS body
   FROM documents),
 ents AS (SELECT DISTINCT e FROM d),
 slots AS (SELECT e, r.p FROM ents, range(1, {FX.PAGES_PER_ENTITY + 1}) r(p)),
 exist AS (SELECT DISTINCT e, p FROM d WHERE NOT (e % 7 = 0 AND p = 3)),
 st AS (SELECT s.e, s.p, CASE WHEN x.e IS NULL THEN 'missing'
-    WHEN s.e % 9 = 0 AND s.p = 2 THEN 'empty' WHEN s.e = 13 AND s.p = 1 THEN 'blocked'
+    WHEN s.e % 9 = 0 AND s.p = 2 THEN 'empty' WHEN s.e % 13 = 0 AND s.p = 1 THEN 'blocked'
     ELSE 'ok' END AS status
   FROM slots s LEFT JOIN exist x ON s.e = x.e AND s.p = x.p),
 stp AS (SELECT e, min(p) FILTER (WHERE status <> 'ok') AS sp FROM st GROUP BY e),
@@ -101,7 +101,20 @@ def page_counters(spark, sf_dir):
     return X.page_counters(records(spark, sf_dir))
 
 
-@register("review_base_urls", f"""WITH d AS (SELECT DISTINCT 1 + doc_id % 20 AS e FROM documents)
+@register("entity_counters", f"""WITH {PAGE_CTES},
+stored AS (SELECT DISTINCT entity_id, {S.norm('text')} AS k FROM recs WHERE box_pos % 3 = 0),
+per AS (SELECT r.entity_id, count(*) FILTER (WHERE s.k IS NULL) AS new_rows,
+    count(*) FILTER (WHERE s.k IS NOT NULL) AS discarded_rows
+  FROM recs r LEFT JOIN stored s ON s.entity_id = r.entity_id AND s.k = {S.norm('r.text')} GROUP BY r.entity_id)
+SELECT entity_id, new_rows, discarded_rows,
+  CAST(sum(new_rows) OVER (ORDER BY CAST(entity_id AS BIGINT)) AS BIGINT) AS accumulated_rows FROM per""")
+def entity_counters(spark, sf_dir):
+    """A crawl whose boxes at every third place are already in the accumulated set."""
+    r = records(spark, sf_dir)
+    return X.entity_counters(r, r.where("box_pos % 3 = 0"))
+
+
+@register("review_base_urls", f"""WITH d AS (SELECT DISTINCT 1 + doc_id // 50 AS e FROM documents)
 SELECT CAST(e AS VARCHAR) AS entity_id, CASE WHEN e % 3 = 0
   THEN '{FX.SITE}/anime/' || e || '/slug-' || e || '/reviews'
   ELSE '{FX.SITE}/anime/' || e || '/reviews' END AS base FROM d""")
@@ -115,19 +128,19 @@ def review_base_urls(spark, sf_dir):
 
 
 @register("ranked_entities", """WITH l AS (SELECT CAST(floor(doc_id / 50) AS BIGINT) AS n,
-  doc_id, CAST(1 + (doc_id * 7) % 97 AS VARCHAR) AS entity_id,
+  doc_id, CAST(1 + CASE WHEN doc_id % 10 = 9 THEN doc_id // 30 ELSE doc_id // 3 END AS VARCHAR) AS entity_id,
   (doc_id % 3 <> 0 AND CAST(floor(doc_id / 50) AS BIGINT) % 4 <> 3) AS in_h3 FROM documents),
 h AS (SELECT n, bool_or(in_h3) AS has FROM l GROUP BY n),
 sel AS (SELECT l.* FROM l JOIN h ON l.n = h.n WHERE in_h3 OR NOT has),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n, doc_id)
   AS rn FROM sel) WHERE rn = 1),
 r AS (SELECT CAST(row_number() OVER (ORDER BY n, doc_id) AS INTEGER) AS rank, entity_id FROM f)
-SELECT * FROM r WHERE rank <= 30""")
+SELECT * FROM r WHERE rank <= 500""")
 def ranked_entities(spark, sf_dir):
-    return X.ranked_entities(FX.listing_pages(spark, sf_dir), 30)
+    return X.ranked_entities(FX.listing_pages(spark, sf_dir), 500)
 
 
-@register("candidate_plan", f"""WITH d AS (SELECT DISTINCT 1 + doc_id % 20 AS e FROM documents),
+@register("candidate_plan", f"""WITH d AS (SELECT DISTINCT 1 + doc_id // 50 AS e FROM documents),
 b AS (SELECT e, CASE WHEN e % 3 = 0 THEN '{FX.SITE}/anime/' || e || '/slug-' || e || '/reviews'
   ELSE '{FX.SITE}/anime/' || e || '/reviews' END AS base,
   '{FX.SITE}/anime/' || e || '/reviews' AS plain FROM d),

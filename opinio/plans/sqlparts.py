@@ -34,19 +34,25 @@ REVIEWS_RAW = """reviews_raw AS (
     CASE WHEN d.doc_id%17=0 THEN 'x' WHEN d.doc_id%19=0 THEN '2'
          WHEN d.doc_id%23=0 THEN CAST(NULL AS VARCHAR)
          WHEN d.doc_id%7=0 THEN concat(CAST(coalesce(l.quality, d.doc_id%2) AS VARCHAR), '.0')
-         ELSE CAST(coalesce(l.quality, d.doc_id%2) AS VARCHAR) END AS label
+         ELSE CAST(coalesce(l.quality, d.doc_id%2) AS VARCHAR) END AS label,
+    CASE WHEN d.doc_id%6 <> 5 THEN '  ' || ['Recommended', 'Not Recommended', 'Mixed Feelings',
+      'recommended  Spoiler'][d.doc_id%4 + 1] || ' ' END AS marker
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
   UNION ALL
   SELECT d.doc_id*2+1, d.lang, concat('  ', replace(d.text,' ','   '), ' '),
-         CAST(d.doc_id%2 AS VARCHAR)
+         CAST(d.doc_id%2 AS VARCHAR), NULL
   FROM documents d WHERE d.doc_id%10 = 3)"""
+REVIEWS_NEG = """reviews_neg AS (
+  SELECT doc_id*2 + 1000000000000 AS seq, lang AS entity_id, 'Negative: ' || text AS text,
+    CASE WHEN doc_id%13 = 0 THEN 'x' ELSE '0' END AS label, ' Not Recommended' AS marker
+  FROM documents WHERE doc_id%3 = 1)"""
 
 
 def filtered(src: str = "reviews_raw", min_chars: int = 25, lower: bool = True,
              name: str = "filtered") -> str:
     t = f"lower({strip('text')})" if lower else strip("text")
     return f"""{name}_0 AS (
-  SELECT seq, entity_id, {t} AS text, {label('label')} AS label FROM {src}
+  SELECT seq, entity_id, {t} AS text, {label('label')} AS label, lower({strip('marker')}) AS marker FROM {src}
   WHERE entity_id IS NOT NULL AND text IS NOT NULL AND label IS NOT NULL),
 {name} AS (
   SELECT * FROM {name}_0 WHERE text <> '' AND label IS NOT NULL
@@ -63,4 +69,11 @@ def clean_ctes(min_chars: int = 25) -> str:
     return ",\n".join([
         REVIEWS_RAW, filtered("reviews_raw", min_chars),
         keep_first("filtered", f"entity_id, {norm('text')}", "clean",
-                   "seq, entity_id, text, label")])
+                   "seq, entity_id, text, label, marker")])
+
+
+def clean_neg_ctes(min_chars: int = 25) -> str:
+    return ",\n".join([
+        REVIEWS_NEG, filtered("reviews_neg", min_chars, name="filtered_neg"),
+        keep_first("filtered_neg", f"entity_id, {norm('text')}", "clean_neg",
+                   "seq, entity_id, text, label, marker")])

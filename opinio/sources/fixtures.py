@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 
 from .tables import table
 
+# fixed values: tag captions of the review-page fixture, by doc_id % 4
+TAG_CAPTIONS = ("Recommended", "Not Recommended", "Mixed Feelings",
+                "recommended  Spoiler")
+
 
 def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw review table (built once per run, then read as a table)."""
     from ..plans.catalog import stage
-    return stage(spark, sf_dir, "reviews_raw", lambda: build_reviews_raw(spark, sf_dir))
+    # dealt out anew: a driver table may be a single row group, which one task reads
+    return stage(spark, sf_dir, "reviews_raw", lambda: build_reviews_raw(spark, sf_dir).repartition(F.col("seq")))
 
 
 def build_reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty review records (seq, entity_id, text, label as text).
+    """Dirty review records (seq, entity_id, text, label as text, marker).
 
     Null and blank texts, bad/null/"1.0"-style labels, whitespace-variant
     copies and label conflicts, as specified in FIXTURES §2.
@@ -36,17 +41,30 @@ def build_reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(i % 23 == 0, F.lit(None).cast("string"))
             .when(i % 7 == 0, F.concat(base_lab, F.lit(".0")))
             .otherwise(base_lab))
+    mark = F.when(i % 6 != 5, F.concat(F.lit("  "), F.element_at(F.array(*[F.lit(t) for t in TAG_CAPTIONS]), (i % 4 + 1).cast("int")),
+                                       F.lit(" ")))
     a = d.join(l, "doc_id", "left").select(
         (i * 2).alias("seq"), F.col("lang").alias("entity_id"),
-        txt.alias("text"), lab.alias("label"))
+        txt.alias("text"), lab.alias("label"), mark.alias("marker"))
     b = d.filter(i % 10 == 3).select(
         (i * 2 + 1).alias("seq"), F.col("lang").alias("entity_id"),
         F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("   ")),
                  F.lit(" ")).alias("text"),
-        (i % 2).cast("string").alias("label"))
+        (i % 2).cast("string").alias("label"), F.lit(None).cast("string").alias("marker"))
     return a.unionByName(b)
 
 
+def reviews_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second, negatives-only input of cleaning and balancing: every
+    third document as a review of its own, some labels bad."""
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where(i % 3 == 1).select(
+        (i * 2 + 1_000_000_000_000).alias("seq"), F.col("lang").alias("entity_id"),
+        F.concat(F.lit("Negative: "), F.col("text")).alias("text"),
+        F.when(i % 13 == 0, F.lit("x")).otherwise(F.lit("0")).alias("label"),
+        F.lit(" Not Recommended").alias("marker"))
+
+
 def score_hash(seq_col: str = "seq"):
     """First 8 hex digits of md5(seq) as an unsigned 32-bit integer."""
     return F.conv(F.substring(F.md5(F.col(seq_col).cast("string")), 1, 8),
@@ -65,10 +83,14 @@ def deterministic_score(label_col: str = "label", seq_col: str = "seq"):
 
 
 SITE = "https://h.example"
-# fixed values: tag captions of the review-page fixture, by doc_id % 4
-TAG_CAPTIONS = ("Recommended", "Not Recommended", "Mixed Feelings",
-                "recommended  Spoiler")
-PAGES_PER_ENTITY = 5
+#: Layout of the crawl dump: so many boxes a page and pages an entity, so pages and entities grow with the table.
+BOXES_PER_PAGE = 10
+FILLED_PAGES = 5
+PAGES_PER_ENTITY = 30
+
+
+def entity_of(i):
+    return F.lit(1) + F.floor(i / (BOXES_PER_PAGE * FILLED_PAGES)).cast("long")
 
 
 def _doc_layout(spark, sf_dir):
@@ -76,8 +98,8 @@ def _doc_layout(spark, sf_dir):
     i = F.col("doc_id")
     return d.select(
         "doc_id",
-        (F.lit(1) + i % 20).alias("e"),
-        (F.lit(1) + F.floor(i / 20).cast("long") % 5).alias("p"),
+        entity_of(i).alias("e"),
+        (F.lit(1) + F.floor(i / BOXES_PER_PAGE).cast("long") % FILLED_PAGES).alias("p"),
         F.element_at(F.array(*[F.lit(t) for t in TAG_CAPTIONS]),
                      (i % 4 + 1).cast("int")).alias("tag"),
         F.when(i % 11 == 0, F.concat(F.lit("*Spoiler Warning*"), F.col("text")))
@@ -100,11 +122,13 @@ def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crawl dump with review boxes (page_id, url, html), FIXTURES §3.
 
-    Entity ``1 + doc_id % 20``, page ``1 + floor(doc_id/20) % 5``; page 3 of
-    entities divisible by 7 is missing, page 2 of entities divisible by 9
-    has no boxes, entity 13's page 1 reads "Access Denied". Entities
-    divisible by 3 also have a main page with a canonical slug link, and
-    their review pages live under the slug URL.
+    Ten documents a page, five pages an entity. Page 3 of entities divisible
+    by 7 is missing, page 2 of entities divisible by 9 has no boxes, page 1
+    of entities divisible by 13 reads "Access Denied". Entities divisible by
+    3 also have a main page with a canonical slug link, and their review
+    pages live under the slug URL. Of entities with remainder 2 by 5 the
+    first candidate of page 2 came back without html, and a later candidate
+    holds the page.
     """
     d = _doc_layout(spark, sf_dir)
     box = F.concat(
@@ -116,18 +140,24 @@ def build_review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, p = F.col("e"), F.col("p")
     html = (F.when((e % 9 == 0) & (p == 2),
                    F.lit("<html><body><p>No reviews yet.</p></body></html>"))
-             .when((e == 13) & (p == 1), F.lit("<html><body>Access Denied</body></html>"))
+             .when((e % 13 == 0) & (p == 1), F.lit("<html><body>Access Denied</body></html>"))
              .otherwise(F.concat(F.lit("<html><body>"), F.col("boxes"),
                                  F.lit("</body></html>"))))
     slug = F.when(e % 3 == 0, F.concat(F.lit("/slug-"), e.cast("string"))).otherwise(F.lit(""))
+    late = (e % 5 == 2) & (p == 2)
     rp = g.filter(~((e % 7 == 0) & (p == 3))).select(
         (e * 100 + p).cast("long").alias("page_id"),
-        F.concat(F.lit(SITE + "/anime/"), e.cast("string"), slug,
-                 F.lit("/reviews?p="), p.cast("string")).alias("url"),
+        F.concat(F.lit(SITE + "/anime/"), e.cast("string"), slug, F.lit("/reviews"),
+                 F.when(late, F.lit("/")).otherwise(F.lit("")), F.lit("?p="), p.cast("string")).alias("url"),
         html.alias("html"))
+    failed = g.filter(late).select(
+        (e * 100 + p + 50).cast("long").alias("page_id"),
+        F.concat(F.lit(SITE + "/anime/"), e.cast("string"), slug, F.lit("/reviews?p="), p.cast("string")).alias("url"),
+        F.lit(None).cast("string").alias("html"))
+    rp = rp.unionByName(failed)
     q = F.when(e % 2 == 0, F.lit("'")).otherwise(F.lit('"'))
     main = d.select("e").distinct().filter(e % 3 == 0).select(
-        (F.lit(100000) + e).cast("long").alias("page_id"),
+        (e * 100).cast("long").alias("page_id"),
         F.concat(F.lit(SITE + "/anime/"), e.cast("string")).alias("url"),
         F.concat(F.lit('<html><head><LINK REL="Canonical" href='), q, F.lit(SITE + "/anime/"),
                  e.cast("string"), F.lit("/slug-"), e.cast("string"), q,
@@ -148,12 +178,14 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking listing pages (list_page, html): 50 documents per page, each
-    a link to entity ``1 + (doc_id*7) % 97``, inside a ranking heading
-    unless doc_id % 3 == 0; every 4th page has no ranking headings."""
+    a link to entity ``1 + doc_id // 3`` (every tenth to ``1 + doc_id //
+    30``), inside a ranking heading unless doc_id % 3 == 0; every 4th page
+    has no ranking headings."""
     d = table(spark, sf_dir, "documents").select("doc_id")
     i = F.col("doc_id")
     n = F.floor(i / 50).cast("long")
-    a = F.concat(F.lit(f'<a href="{SITE}/anime/'), (F.lit(1) + (i * 7) % 97).cast("string"),
+    e = F.lit(1) + F.when(i % 10 == 9, F.floor(i / 30)).otherwise(F.floor(i / 3)).cast("long")
+    a = F.concat(F.lit(f'<a href="{SITE}/anime/'), e.cast("string"),
                  F.lit('/t">x</a>'))
     inr = (i % 3 != 0) & (n % 4 != 3)
     el = F.when(inr, F.concat(F.lit('<h3 class="anime_ranking_h3">'), a, F.lit("</h3>"))) \
@@ -163,25 +195,32 @@ def build_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_replies_from(df: DataFrame, id_col: str = "seq") -> DataFrame:
-    """Stored LLM replies (id, raw), eight reply shapes by ``id % 8``:
-    JSON positive; JSON negative with textual confidence; JSON inside prose;
-    single-quoted pseudo-JSON; plain negative sentence; prose naming both
-    sides; an empty object; JSON with null confidence and an unknown verdict.
+    """Stored LLM replies (id, raw), twelve reply shapes by ``id % 13``, and
+    none for remainder 12: JSON positive; JSON negative with textual
+    confidence; JSON inside prose; single-quoted pseudo-JSON; plain negative
+    sentence; prose naming both sides; an empty object; JSON with null
+    confidence and an unknown verdict; an array; a repeated key; a
+    confidence that is no number; two objects.
     The confidence and reason vary with the row's text length."""
-    i = F.col(id_col)
+    i = F.col(id_col) % 13
     n = (F.length("text") % 101).cast("string")
     k = (F.length("text") % 7).cast("string")
-    raw = (F.when(i % 8 == 0, F.concat(F.lit('{"sentimiento": "positiva", "confianza": '), n,
-                                       F.lit(', "razon": "  Tono favorable ('), k, F.lit(').  "}')))
-            .when(i % 8 == 1, F.concat(F.lit('{"sentimiento": "Negativa", "confianza": "'), n,
-                                       F.lit('", "razon": "Critica el ritmo"}')))
-            .when(i % 8 == 2, F.concat(F.lit('Claro, aqui va:\n{"sentimiento": "POSITIVA",\n'
-                                             ' "confianza": '), n,
-                                       F.lit(', "razon": "ok"}\nEspero que ayude.')))
-            .when(i % 8 == 3, F.concat(F.lit("{'sentimiento': 'positiva', 'confianza': "), n,
-                                       F.lit("}")))
-            .when(i % 8 == 4, F.lit("La reseña es negativa."))
-            .when(i % 8 == 5, F.lit("No es del todo positiva ni negativa."))
-            .when(i % 8 == 6, F.lit("{}"))
-            .otherwise(F.lit('{"sentimiento": "mixta", "confianza": null, "razon": null}')))
-    return df.select(i.alias("id"), raw.alias("raw"))
+    raw = (F.when(i == 0, F.concat(F.lit('{"sentimiento": "positiva", "confianza": '), n,
+                                   F.lit(', "razon": "  Tono favorable ('), k, F.lit(').  "}')))
+            .when(i == 1, F.concat(F.lit('{"sentimiento": "Negativa", "confianza": "'), n,
+                                   F.lit('", "razon": "Critica el ritmo"}')))
+            .when(i == 2, F.concat(F.lit('Claro, aqui va:\n{"sentimiento": "POSITIVA",\n'
+                                         ' "confianza": '), n,
+                                   F.lit(', "razon": "ok"}\nEspero que ayude.')))
+            .when(i == 3, F.concat(F.lit("{'sentimiento': 'positiva', 'confianza': "), n,
+                                   F.lit("}")))
+            .when(i == 4, F.lit("La reseña es negativa."))
+            .when(i == 5, F.lit("No es del todo positiva ni negativa."))
+            .when(i == 6, F.lit("{}"))
+            .when(i == 7, F.lit('{"sentimiento": "mixta", "confianza": null, "razon": null}'))
+            .when(i == 8, F.concat(F.lit('[{"sentimiento": "positiva", "confianza": '), n, F.lit("}]")))
+            .when(i == 9, F.concat(F.lit('{"sentimiento": "positiva", "sentimiento": "negativa", "confianza": '), n, F.lit("}")))
+            .when(i == 10, F.concat(F.lit('{"sentimiento": "negativa", "confianza": "'), n, F.lit('f"}')))
+            .otherwise(F.concat(F.lit('{"sentimiento": "positiva", "confianza": '), n,
+                                F.lit('} y {"sentimiento": "negativa"}'))))
+    return df.where(i != 12).select(F.col(id_col).alias("id"), raw.alias("raw"))

@@ -34,6 +34,40 @@ def test_csv_roundtrip_and_na(spark):
         IO.read_reviews_csv(spark, p + ".nope")
 
 
+def test_csv_headers_order_and_bad_rows(spark):
+    p = _tmp()
+    with open(f"{p}/a.csv", "w") as f:
+        f.write("entity_id,text,label\n1,first,0\n2,second,1\n")
+    with open(f"{p}/b.csv", "w") as f:
+        f.write("label,text,entity_id\n" + "".join(f"1,text {i},{i}\n" for i in range(500)))
+    rows = IO.read_reviews_csv(spark, p, ["entity_id", "label"]).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(502))
+    assert [(r["entity_id"], r["text"], r["label"]) for r in rows[:3]] == [("1", "first", "0"), ("2", "second", "1"), ("0", "text 0", "1")]
+    assert rows[-1]["text"] == "text 499"
+    with open(f"{p}/c.csv", "w") as f:
+        f.write("entity_id,text,label\n7,short\n8,fine,1\n9,long,1,extra\n")
+    with pytest.raises(ValueError, match="2 rows"):
+        IO.read_reviews_csv(spark, p)
+    assert IO.read_reviews_csv(spark, p, bad_rows="drop").count() == 503
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from opinio import session
+
+    class Other:
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Other())
+
+
 def test_csv_sink_dedupes_first(spark):
     df = spark.createDataFrame([(1, "a", "Same  text"), (2, "a", "same text"), (3, "b", "same text")],
                                "seq long, entity_id string, text string")

@@ -27,10 +27,11 @@ def test_keep_first_is_partial_hash_aggregate(spark):
     assert "Window" not in p and "SortAggregate" not in p
 
 
+def test_keep_first_places_null_orders_last(spark):
+    df = spark.createDataFrame([(None, "a", 1), (5, "a", 2), (3, "a", 3), (None, "b", 4), (None, None, 5), (1, None, 6)],
+                               "seq long, k string, n int")
+    assert sorted(r["n"] for r in keep_first(df, ["k"]).collect()) == [3, 4, 6]
 
-def test_packed_order_stays_hash_based(spark):
-    p = plan(keep_first(_rows(spark), ["k"], [("label", 8), ("seq", 55)]))
-    assert "partial_min" in p and "SortAggregate" not in p
 
 
 def test_top_k_is_take_ordered(spark):
@@ -48,11 +49,18 @@ def test_auc_windows_are_bucketed(spark):
     assert "_bk" in p and "BroadcastHashJoin" in p
 
 
-def test_take_n_ranks_only_cut_buckets(spark):
+def test_take_n_does_not_shuffle_the_rows(spark):
     p = plan(take_n(_rows(spark), 100, seeded_hash(1, "seq"), "seq"))
-    # whole buckets are joined to a broadcast bucket table; a window is
-    # only needed on the rows of the buckets that straddle the cut
-    assert p.count("BroadcastHashJoin") >= 2 and "Window" in p
+    # rows are compared with the cut, a literal
+    assert "Join" not in p and "Window" not in p and "Exchange" not in p
+
+
+def test_balance_scans_what_it_wrote(spark):
+    from opinio.operators.balance import balance
+    rows = spark.range(300).select(F.col("id").alias("seq"), F.lit("e").alias("entity_id"),
+                                   F.concat(F.lit("review text number "), F.col("id").cast("string")).alias("text"),
+                                   F.when(F.col("id") % 3 == 0, "0").otherwise("1").alias("label"))
+    assert plan(balance(rows, rows)).count("FileScan") <= 4
 
 
 def test_scan_prunes_columns(spark):

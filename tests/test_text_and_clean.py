@@ -117,12 +117,12 @@ def test_balance_guards(spark):
     rows = [(i, "e", f"positive review number {i}", "1") for i in range(3)]
     pos_only = spark.createDataFrame(rows, "seq long, entity_id string, text string, label string")
     with pytest.raises(ValueError, match="no negative"):
-        B.balance(pos_only, pos_only, check=True)
+        B.balance(pos_only, pos_only)
     neg = spark.createDataFrame([(i + 10, "e", f"bad review {i}", "0") for i in range(5)],
                                 "seq long, entity_id string, text string, label string")
     with pytest.raises(ValueError, match="not enough positives"):
-        B.balance(pos_only, neg, check=True)
-    ok = B.balance(neg.unionByName(pos_only), neg.limit(2), check=True)
+        B.balance(pos_only, neg)
+    ok = B.balance(neg.unionByName(pos_only), neg.limit(2))
     c = {r["label"]: r["n"] for r in ok.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert c == {0: 2, 1: 2}
     B.assert_no_duplicates(ok)
@@ -141,7 +141,7 @@ def test_balance_aborts_on_cross_class_duplicates(spark):
     outcomes = set()
     for seed in range(6):
         try:
-            B.balance(gen, neg, seed=seed, check=True, with_order=False)
+            B.balance(gen, neg, seed=seed, with_order=False)
             outcomes.add("ok")
         except ValueError as e:
             assert "duplicates" in str(e)

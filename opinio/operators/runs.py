@@ -71,6 +71,30 @@ def sweep_plan(spark: SparkSession, hidden=(128, 256, 384), layers=(1, 2),
         rows, "grid_idx int, run_id string, hidden int, layers int, dropout double")
 
 
+def fit_plan(spark: SparkSession, num_features=(1 << 12, 1 << 16), reg_param=(0.0, 0.1),
+             elastic_net=(0.0,)) -> DataFrame:
+    """O85 plan over the parameters of our classifier: ordinal, run id and one row per run."""
+    rows = [(i, f"f{n}_r{int(round(r * 1000))}_e{int(round(e * 100))}", n, float(r), float(e))
+            for i, (n, r, e) in enumerate(itertools.product(num_features, reg_param, elastic_net))]
+    return spark.createDataFrame(rows, "grid_idx int, run_id string, num_features int, reg_param double, elastic_net double")
+
+
+def run_config(params: dict, sizes: DataFrame, validation: DataFrame, test: DataFrame) -> DataFrame:
+    """The run document, one row: parameters, split sizes and the two
+    metrics documents (see ``evaluate.metrics_document``)."""
+    s = sizes.groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("split") == x, F.col("n"))), F.lit(0)).alias(x)
+                              for x in ("train", "val", "test")])
+    parts = [s.select(F.struct("train", "val", "test").alias("sizes")), validation.select(F.col("metrics").alias("validation")),
+             test.select(F.col("metrics").alias("test"))]
+    # three one-row documents, folded into one row
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    one = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("sizes", "validation", "test")])
+    values = F.struct(*[F.lit(v).alias(k) for k, v in params.items()])
+    return one.select(values.alias("params"), "sizes", "validation", "test")
+
+
 def leaderboard(results: DataFrame, metric: str = "test_accuracy") -> DataFrame:
     """Runs by ``metric`` descending, missing metrics last."""
     return results.orderBy(F.desc_nulls_last(metric), "run_id")

@@ -23,20 +23,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scores import hard_pred
+from ..session import staged
+from .evaluate import evaluate
+from .runs import leaderboard
 from .tokens import TOKEN_RE
 
 
-def text_pipeline(num_features: int = 1 << 18, reg_param: float = 0.0,
-                  elastic_net: float = 0.0, max_iter: int = 50,
-                  text_col: str = "text", label_col: str = "label") -> Pipeline:
+def feature_pipeline(num_features: int = 1 << 18, text_col: str = "text") -> Pipeline:
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_RE,
                          gaps=False, toLowercase=True)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=int(num_features))
-    idf = IDF(inputCol="_tf", outputCol="_features")
-    lr = LogisticRegression(featuresCol="_features", labelCol="_y",
-                            regParam=float(reg_param), elasticNetParam=float(elastic_net),
-                            maxIter=int(max_iter))
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return Pipeline(stages=[tok, tf, IDF(inputCol="_tf", outputCol="_features")])
+
+
+def regression(reg_param: float = 0.0, elastic_net: float = 0.0, max_iter: int = 50) -> LogisticRegression:
+    return LogisticRegression(featuresCol="_features", labelCol="_y", regParam=float(reg_param),
+                              elasticNetParam=float(elastic_net), maxIter=int(max_iter))
 
 
 def _with_y(df: DataFrame, label_col: str) -> DataFrame:
@@ -44,16 +46,18 @@ def _with_y(df: DataFrame, label_col: str) -> DataFrame:
 
 
 def fit_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                   **params) -> PipelineModel:
-    return text_pipeline(text_col=text_col, label_col=label_col, **params).fit(
-        _with_y(train, label_col))
+                   num_features: int = 1 << 18, **params) -> PipelineModel:
+    features = feature_pipeline(num_features, text_col).fit(train)
+    data = staged(features.transform(_with_y(train, label_col)).select("_features", "_y"), "fit-features")
+    return PipelineModel([*features.stages, regression(**params).fit(data)])
 
 
 def score_with(model: PipelineModel, df: DataFrame, score_col: str = "score") -> DataFrame:
-    """Positive-class probability as ``score`` (input columns kept)."""
+    """Positive-class probability as ``score`` (input columns kept); a text
+    without a word token has no score (null), like the reference refuses it."""
     out = model.transform(df)
-    keep = [c for c in df.columns]
-    return out.select(*keep, vector_to_array("probability")[1].alias(score_col))
+    p = F.when(F.size("_tokens") > 0, vector_to_array("probability")[1])
+    return out.select(*df.columns, p.alias(score_col))
 
 
 def select_best(train: DataFrame, val: DataFrame, grid: Sequence[dict],
@@ -61,11 +65,18 @@ def select_best(train: DataFrame, val: DataFrame, grid: Sequence[dict],
     """Fit every candidate and keep the first with the best validation
     accuracy. Returns (best_model, best_params, DataFrame of all results).
 
-    Each fit is a distributed job; the loop is over the (small) grid only.
+    Features are fitted and written once per ``num_features``; each fit is a
+    distributed job, the loop is over the (small) grid only.
     """
-    best, best_acc, best_p, rows = None, -1.0, None, []
+    best, best_acc, best_p, rows, made = None, -1.0, None, [], {}
     for i, p in enumerate(grid):
-        m = fit_classifier(train, text_col, label_col, **p)
+        own = dict(p)
+        n = own.pop("num_features", 1 << 18)
+        if n not in made:
+            f = feature_pipeline(n, text_col).fit(train)
+            made[n] = f, staged(f.transform(_with_y(train, label_col)).select("_features", "_y"), "fit-features")
+        f, data = made[n]
+        m = PipelineModel([*f.stages, regression(**own).fit(data)])
         s = score_with(m, val)
         acc = s.agg(F.avg((F.col(label_col) == hard_pred("score", threshold))
                           .cast("double")).alias("a")).first()["a"] or 0.0
@@ -76,6 +87,35 @@ def select_best(train: DataFrame, val: DataFrame, grid: Sequence[dict],
     return best, best_p, res
 
 
+SWEEP = ("run_id string, num_features int, reg_param double, elastic_net double, test_accuracy double, test_loss double, "
+         "test_roc_auc double, test_f1_weighted double, test_f1_macro double")
+
+
+def run_sweep(train: DataFrame, test: DataFrame, plan: DataFrame, on_error: str = "skip",
+              dry_run: bool = False) -> DataFrame:
+    """Fit every run of ``plan`` (see ``runs.fit_plan``) and report its
+    test metrics. A run that fails is left out (``on_error="skip"``) or
+    stops the sweep ("abort"); ``dry_run`` fits nothing and leaves the
+    metrics null. The grid is a few rows; every fit is a distributed job.
+    """
+    rows = []
+    for r in plan.orderBy("grid_idx").collect():
+        own = (r["run_id"], r["num_features"], r["reg_param"], r["elastic_net"])
+        if dry_run:
+            rows.append((*own, None, None, None, None, None))
+            continue
+        try:
+            m = fit_classifier(train, num_features=own[1], reg_param=own[2], elastic_net=own[3])
+            e = evaluate(staged(score_with(m, test.select("label", "text")).select("label", "score"), "sweep-scores")).first()
+        except Exception:
+            if on_error == "abort":
+                raise
+            continue
+        auc = None if e["roc_auc"] != e["roc_auc"] else e["roc_auc"]
+        rows.append((*own, e["accuracy"], e["loss"], auc, e["f1_weighted"], e["f1_macro"]))
+    return leaderboard(train.sparkSession.createDataFrame(rows, SWEEP))
+
+
 def batch_scorer(make_predict_fn: Callable, batch_size: int = 16,
                  input_len: int | None = None) -> Callable[[Column], Column]:
     """Wrap a predictor factory as a batched column function.

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import runs as R
 from ..sources.tables import table
 from .catalog import register
+from .q_balance import BAL_CTES, SPLIT_CTES
+from .q_evaluate import SCORED_CTES
 
 FROZEN, PATIENCE = 3, 2
 GRID = ((128, 256, 384), (1, 2), (0.2, 0.3, 0.4))   # hidden, layers, dropout
@@ -87,3 +89,50 @@ def sweep_leaderboard(spark, sf_dir):
         "hidden", "layers", "dropout",
         F.col("best_accuracy").alias("test_accuracy"), F.col("loss").alias("test_loss"))
     return R.leaderboard(res)
+
+
+@register("fitted_sweep")
+def fitted_sweep(spark, sf_dir):
+    """The plan fitted on the train split, its test metrics ranked (rows only)."""
+    from ..operators.score import run_sweep
+    from .q_score import splits
+    s = splits(spark, sf_dir)
+    return run_sweep(s.where("split = 'train'"), s.where("split = 'test'"), R.fit_plan(spark))
+
+
+RUN_PARAMS = {"max_len": 320, "stride": 64, "batch_size": 16, "seed": 42, "test_size": 0.2, "val_size": 0.1}
+
+
+def _half(side, lo, hi):
+    return f"""{side} AS (SELECT count(*) FILTER (WHERE (label = 1) = (score >= 0.5)) / CAST(count(*) AS DOUBLE) AS accuracy,
+  count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn FROM scored WHERE ord % 10 BETWEEN {lo} AND {hi})"""
+
+
+@register("run_config", f"""WITH {SPLIT_CTES},
+{SCORED_CTES[len(BAL_CTES) + 2:]},
+sz AS (SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val,
+  count(*) FILTER (WHERE split = 'test') AS n_test FROM splitted),
+{_half("hv", 0, 4)}, {_half("ht", 5, 9)}
+SELECT 320 AS max_len, 42 AS seed, sz.*, hv.accuracy AS val_accuracy, hv.tn AS val_tn, ht.accuracy AS test_accuracy, ht.tn AS test_tn
+FROM sz, hv, ht""")
+def run_config(spark, sf_dir):
+    """The run document, written as JSON and read back. Two halves of
+    the scored rows stand for the validation and the test scores."""
+    import uuid
+
+    from ..operators import evaluate as EV
+    from ..operators import split as SP
+    from ..session import scratch_path
+    from .q_evaluate import scored
+    from .q_score import splits
+    rows = scored(spark, sf_dir)
+    val, test = rows.where("ord % 10 < 5"), rows.where("ord % 10 >= 5")
+    doc = R.run_config(RUN_PARAMS, SP.split_counts(splits(spark, sf_dir)),
+                       EV.metrics_document(EV.evaluate(val)), EV.metrics_document(EV.evaluate(test)))
+    path = scratch_path(spark, f"run-config-{uuid.uuid4().hex[:8]}")
+    doc.write.json(path)
+    back = spark.read.schema(doc.schema).json(path)
+    return back.select("params.max_len", "params.seed", F.col("sizes.train").alias("n_train"), F.col("sizes.val").alias("n_val"),
+                       F.col("sizes.test").alias("n_test"), F.col("validation.accuracy").alias("val_accuracy"),
+                       F.col("validation.confusion_matrix")[0][0].alias("val_tn"), F.col("test.accuracy").alias("test_accuracy"),
+                       F.col("test.confusion_matrix")[0][0].alias("test_tn"))

@@ -11,8 +11,8 @@ from ..operators import score as SC
 from ..operators import tokens as TK
 from ..operators.split import stratified_split
 from .catalog import register, stage
-from .q_balance import balanced
-from .q_tokens import MAX_LEN, STRIDE, VOCAB, vocab
+from .q_balance import SPLIT_CTES, balanced
+from .q_tokens import MAX_LEN, STRIDE, VOCAB, VOCAB_CTES, vocab
 
 GRID = ({"reg_param": 0.0}, {"reg_param": 0.1})
 
@@ -42,21 +42,42 @@ def classifier_test_metrics(spark, sf_dir):
     return EV.evaluate(test_scores(spark, sf_dir))
 
 
-@register("window_model_scores")
+def _toks(src):
+    return f"""SELECT seq, label, split, unnest(regexp_extract_all(lower(text), '{TK.TOKEN_RE}')) AS token,
+  unnest(generate_series(1, len(regexp_extract_all(lower(text), '{TK.TOKEN_RE}')))) AS pos FROM {src}"""
+
+
+@register("window_model_scores", f"""WITH {SPLIT_CTES},
+{VOCAB_CTES},
+stoks AS ({_toks("splitted")}),
+sids AS (SELECT t.seq, t.label, t.split, t.pos, coalesce(v.id, 1) AS tid FROM stoks t LEFT JOIN vocab v ON t.token = v.token),
+w AS (SELECT tid, ln((count(*) FILTER (WHERE label = 1) + 1.0) / (count(*) FILTER (WHERE label = 0) + 1.0)) AS w
+  FROM sids WHERE split = 'train' GROUP BY tid),
+tids AS (SELECT s.seq, coalesce(list(i.tid ORDER BY i.pos) FILTER (WHERE i.tid IS NOT NULL), []) AS ids
+  FROM splitted s LEFT JOIN sids i ON i.seq = s.seq WHERE s.split = 'test' GROUP BY s.seq),
+ts AS (SELECT seq, ids, CASE WHEN len(ids) <= {MAX_LEN - 2} THEN [0] ELSE generate_series(0,
+  CAST(ceil((len(ids) - {MAX_LEN - 2}) / {MAX_LEN - 2 - STRIDE}) AS BIGINT) * {MAX_LEN - 2 - STRIDE}, {MAX_LEN - 2 - STRIDE}) END AS starts FROM tids),
+tw AS (SELECT seq, s, list_slice(ids, s + 1, s + {MAX_LEN - 2}) AS win FROM (SELECT seq, ids, unnest(starts) AS s FROM ts)),
+tv AS (SELECT seq, s, unnest(win) AS tid FROM tw),
+tc AS (SELECT tv.seq, tv.s, 1.0 / (1.0 + exp(-(sum(coalesce(w.w, 0.0)) / count(*)))) AS score
+  FROM tv LEFT JOIN w ON w.tid = tv.tid GROUP BY tv.seq, tv.s)
+SELECT seq, round(least(1.0, greatest(0.0, avg(score))), 9) AS score, count(*) AS n_chunks FROM tc GROUP BY seq""")
 def window_model_scores(spark, sf_dir):
     """Train split -> token weights; test reviews -> sliding windows ->
-    batched predictor -> mean per review (O72-O74 with O80)."""
+    batched predictor -> mean per review (O72-O74 with O80). A review
+    without a word token is not scored."""
     s = splits(spark, sf_dir)
     v = vocab(spark, sf_dir)
-    ids = TK.token_ids(s, v, id_col="seq").join(s.select("seq", "label", "split"), "seq")
+    ids = stage(spark, sf_dir, "split_ids", lambda: TK.token_ids(s, v, id_col="seq").join(
+        s.select("seq", "label", "split"), "seq")).where(F.size("ids") > 0)
     w = SC.token_weight_model(ids.filter(F.col("split") == "train"), ids_col="ids")
     # bounded by the vocabulary size (VOCAB + specials): safe to ship
+    rows = w.toPandas()
     table = np.zeros(VOCAB + 5)
-    for r in w.select("tid", "w").collect():
-        table[int(r["tid"])] = float(r["w"])
+    table[rows["tid"].to_numpy()] = rows["w"].to_numpy()
     scorer = SC.batch_scorer(SC.linear_bag_predictor(table), batch_size=16,
                              input_len=MAX_LEN)
     win = TK.sliding_windows(ids.filter(F.col("split") == "test"), MAX_LEN, STRIDE,
                              id_col="seq")
     chunk = win.select("seq", scorer(F.col("input_ids")).alias("score"))
-    return TK.document_scores(chunk, id_col="seq")
+    return TK.document_scores(chunk, id_col="seq").withColumn("score", F.round("score", 9))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..functions.text import norm_key
 from ..operators import clean as C
 from ..session import scratch_path
@@ -13,26 +15,40 @@ from . import sqlparts as S
 from .catalog import register, stage
 
 K = 4
-
+BACKUP_EVERY = 2
+#: A batch is spread over files of so many rows.
+FILE_ROWS = 50_000
 
 _BASES: dict = {}
 
 
+def _source(spark, sf_dir):
+    """The filtered reviews and the files per batch, which grow with them."""
+    src = C.filter_reviews(reviews_raw(spark, sf_dir), min_chars=25)
+    return src, max(1, src.count() // (K * FILE_ROWS))
+
+
 def _run(spark, sf_dir):
     def build():
         base = scratch_path(spark, f"stream-{uuid.uuid4().hex[:8]}")
         _BASES[(id(spark), sf_dir)] = base
-        src = C.filter_reviews(reviews_raw(spark, sf_dir), min_chars=25)
-        write_batches(src, f"{base}/in", K)
+        src, files = _source(spark, sf_dir)
+        write_batches(src, f"{base}/in", K, files_per_batch=files)
         schema = spark.read.parquet(f"{base}/in").schema
         incremental_dedupe(spark, f"{base}/in", schema, f"{base}/out",
                            f"{base}/ckpt", backup_dir=f"{base}/backup",
-                           backup_every=2)
+                           backup_every=BACKUP_EVERY, files_per_batch=files)
         return spark.read.parquet(f"{base}/out/rows")
     rows = stage(spark, sf_dir, "stream_rows", build)
     return rows
 
 
+STREAM_CTES = f"""{S.REVIEWS_RAW}, {S.filtered('reviews_raw', 25)},
+batched AS (SELECT *, dense_rank() OVER (ORDER BY seq % {K}) - 1 AS batch_id FROM filtered),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (
+  PARTITION BY entity_id, {S.norm('text')} ORDER BY batch_id, seq) AS rn FROM batched) WHERE rn = 1)"""
+
+
 @register("stream_dedupe_keys", f"""WITH {S.REVIEWS_RAW}, {S.filtered('reviews_raw', 25)}
 SELECT DISTINCT entity_id, {S.norm('text')} AS key_text FROM filtered""")
 def stream_dedupe_keys(spark, sf_dir):
@@ -40,13 +56,33 @@ def stream_dedupe_keys(spark, sf_dir):
     return _run(spark, sf_dir).select("entity_id", norm_key("text").alias("key_text"))
 
 
-@register("stream_batch_stats")
+@register("stream_rows", f"WITH {STREAM_CTES}\nSELECT seq, entity_id, label, text, batch_id FROM first")
+def stream_rows(spark, sf_dir):
+    """The surviving rows: the first arrival of each key."""
+    return _run(spark, sf_dir).select("seq", "entity_id", "label", "text", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+@register("stream_batch_stats", f"""WITH {STREAM_CTES},
+n AS (SELECT batch_id, count(*) AS rows_in FROM batched GROUP BY batch_id),
+m AS (SELECT batch_id, count(*) AS new_rows FROM first GROUP BY batch_id)
+SELECT batch_id, rows_in, coalesce(new_rows, 0) AS new_rows, rows_in - coalesce(new_rows, 0) AS discarded
+FROM n LEFT JOIN m USING (batch_id)""")
 def stream_batch_stats(spark, sf_dir):
-    """Per micro-batch: rows in, new rows, discarded (rows-only check)."""
+    """Per micro-batch: rows in, new rows, discarded."""
     _run(spark, sf_dir)
     base = _BASES[(id(spark), sf_dir)]
     return spark.read.parquet(f"{base}/out/stats").select(
-        "batch_id", "rows_in", "new_rows", "discarded")
+        F.col("batch_id").cast("long").alias("batch_id"), "rows_in", "new_rows", "discarded")
+
+
+@register("stream_snapshot", f"""WITH {STREAM_CTES}
+SELECT batch_id, seq, label FROM first
+WHERE batch_id < (SELECT (max(batch_id) + 1) // {BACKUP_EVERY} * {BACKUP_EVERY} FROM batched)""")
+def stream_snapshot(spark, sf_dir):
+    """What the last snapshot holds."""
+    _run(spark, sf_dir)
+    base = _BASES[(id(spark), sf_dir)]
+    return spark.read.parquet(f"{base}/backup").select(F.col("batch_id").cast("long").alias("batch_id"), "seq", "label")
 
 
 def _run_state(spark, sf_dir):
@@ -54,11 +90,11 @@ def _run_state(spark, sf_dir):
 
     def build():
         base = scratch_path(spark, f"stream-state-{uuid.uuid4().hex[:8]}")
-        src = C.filter_reviews(reviews_raw(spark, sf_dir), min_chars=25)
-        write_batches(src, f"{base}/in", K)
+        src, files = _source(spark, sf_dir)
+        write_batches(src, f"{base}/in", K, files_per_batch=files, dedupe_keys=["entity_id"])
         schema = spark.read.parquet(f"{base}/in").schema
         incremental_dedupe_state(spark, f"{base}/in", schema, f"{base}/out",
-                                 f"{base}/ckpt")
+                                 f"{base}/ckpt", files_per_batch=files)
         return spark.read.parquet(f"{base}/out")
     return stage(spark, sf_dir, "stream_state_rows", build)
 
@@ -68,3 +104,9 @@ SELECT DISTINCT entity_id, {S.norm('text')} AS key_text FROM filtered""")
 def stream_state_keys(spark, sf_dir):
     """State-store variant (``dropDuplicates``): same key set as the batch."""
     return _run_state(spark, sf_dir).select("entity_id", norm_key("text").alias("key_text"))
+
+
+@register("stream_state_rows", f"WITH {STREAM_CTES}\nSELECT seq, entity_id, label FROM first")
+def stream_state_rows(spark, sf_dir):
+    """State-store variant: the surviving rows."""
+    return _run_state(spark, sf_dir).select("seq", "entity_id", "label")

@@ -59,9 +59,9 @@ def ids(spark, sf_dir):
 
 VOCAB_CTES = f"""toks AS (SELECT unnest(regexp_extract_all(lower(text), '{TK.TOKEN_RE}')) AS token
   FROM documents),
-cnt AS (SELECT token, count(*) AS count FROM toks GROUP BY token),
+tcnt AS (SELECT token, count(*) AS count FROM toks GROUP BY token),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 4 AS INTEGER) AS id,
-  count FROM cnt QUALIFY id < {VOCAB + 5}),
+  count FROM tcnt QUALIFY id < {VOCAB + 5}),
 dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TK.TOKEN_RE}')) AS token,
   unnest(generate_series(1, len(regexp_extract_all(lower(text), '{TK.TOKEN_RE}')))) AS pos
   FROM documents),

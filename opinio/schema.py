@@ -4,23 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Review record: entity, text, marker, label plus the file-order ordinal.
-REVIEW = T.StructType([
-    T.StructField("seq", T.LongType()),
-    T.StructField("entity_id", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("marker", T.StringType()),
-    T.StructField("label", T.IntegerType()),
-])
-
-# Raw review CSV is read with every field as text; typing is the cleaner's job.
-RAW_REVIEW_CSV = T.StructType([
-    T.StructField("entity_id", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("marker", T.StringType()),
-    T.StructField("label", T.StringType()),
-])
-
 PRF = T.StructType([T.StructField(n, T.DoubleType())
                     for n in ("precision", "recall", "f1")])
 
@@ -40,22 +23,6 @@ METRICS = T.StructType([
     T.StructField("n_test", T.LongType()),
 ])
 
-ERROR_ROW = T.StructType([
-    T.StructField("label_real", T.IntegerType()),
-    T.StructField("label_pred", T.IntegerType()),
-    T.StructField("score_positive", T.DoubleType()),
-    T.StructField("error_confidence", T.DoubleType()),
-    T.StructField("length_chars", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-])
-
-LLM_VERDICT = T.StructType([
-    T.StructField("verdict", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("raw", T.StringType()),
-])
-
 # --- fixed values -----------------------------------------------------------
 # Literal cell values the reference's CSV reader turns into null (pandas 2.x
 # default NA strings), in natural order.
@@ -84,5 +51,3 @@ NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Special token ids of the vocabulary.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
 N_SPECIAL = 5
-
-LABEL_NAMES = {0: "negative", 1: "positive"}

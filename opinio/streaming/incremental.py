@@ -13,9 +13,11 @@ micro-batch is handled by ``foreachBatch``:
 Because step 2 reads only ``batch_id < id`` and step 3 overwrites its own
 partition, replaying a batch after a failure gives the same result
 (exactly-once output on top of the checkpointed offsets). Every
-``backup_every`` batches the accumulated table is copied to a snapshot
-folder. No event time exists, so no watermark: the accepted-key table
-grows with the data, as the reference's in-memory seen-set does.
+``backup_every`` batches the batches accepted since the last snapshot are
+added to the snapshot folder; the older ones there are never touched. No
+event time exists, so no watermark: the accepted-key table grows with the
+data, as the reference's in-memory seen-set does. As it is read back in
+every batch, long-running streams use ``incremental_dedupe_state``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import keep_first, with_review_key
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -68,7 +72,10 @@ def incremental_dedupe(spark: SparkSession, source_dir: str, schema,
             (stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                   .partitionBy("batch_id").parquet(stats_dir))
             if backup_dir and backup_every > 0 and (batch_id + 1) % backup_every == 0:
-                spark.read.parquet(rows_dir).write.mode("overwrite").parquet(backup_dir)
+                recent = spark.read.parquet(rows_dir).where(
+                    (F.col("batch_id") <= batch_id) & (F.col("batch_id") > batch_id - backup_every))
+                (recent.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                       .partitionBy("batch_id").parquet(backup_dir))
         finally:
             bdf.unpersist()
 
@@ -84,34 +91,38 @@ def incremental_dedupe(spark: SparkSession, source_dir: str, schema,
     return q
 
 
-def write_batches(df: DataFrame, out_dir: str, k: int, order_col: str = "seq") -> None:
-    """Cut a table into ``k`` parquet files by ``order % k``, published one
-    after another into ``out_dir`` (each file is then one micro-batch).
+def write_batches(df: DataFrame, out_dir: str, k: int, order_col: str = "seq",
+                  files_per_batch: int = 1, dedupe_keys=None) -> None:
+    """Cut a table into ``k`` batches by ``order % k``, each of
+    ``files_per_batch`` parquet files, published one batch after another
+    into ``out_dir``.
 
-    Each batch is written to a staging folder and its file renamed into
-    place, so the stream never sees a half-written file.
+    Files are written to a staging folder and renamed into place, so the
+    stream never sees a half-written one. With ``dedupe_keys`` each batch is
+    keep-first deduplicated on them (and the normalised text) beforehand.
     """
     spark = df.sparkSession
+    df = df.withColumn("_batch", (F.col(order_col) % k).cast("int"))
+    if dedupe_keys:
+        df = keep_first(with_review_key(df, "text", "_bkey"), ["_batch", *dedupe_keys, "_bkey"], order_col).drop("_bkey")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    dst = jvm.org.apache.hadoop.fs.Path(out_dir)
+    Path = jvm.org.apache.hadoop.fs.Path
+    dst = Path(out_dir)
     fs = dst.getFileSystem(conf)
     fs.mkdirs(dst)
     stage = f"{out_dir}_staging"
-    # one job writes every batch (a folder per batch index) ...
-    (df.withColumn("_batch", (F.col(order_col) % k).cast("int"))
-       .repartition("_batch").write.mode("overwrite").partitionBy("_batch")
-       .parquet(stage))
-    # ... then the files are published in batch order, one file per batch
-    Path = jvm.org.apache.hadoop.fs.Path
+    # one job writes every batch, spread over its files ...
+    salt = F.pmod(F.xxhash64(order_col), F.lit(files_per_batch)).cast("int")
+    (df.withColumn("_file", salt).repartition("_batch", "_file").write.mode("overwrite")
+       .partitionBy("_batch", "_file").parquet(stage))
+    # ... then the files are published in batch order
     for i in range(k):
-        src = Path(f"{stage}/_batch={i}")
-        if not fs.exists(src):
-            continue
-        parts = [st.getPath() for st in fs.listStatus(src)
-                 if st.getPath().getName().endswith(".parquet")]
-        for j, part in enumerate(sorted(parts, key=lambda x: x.getName())):
-            fs.rename(part, Path(f"{out_dir}/batch-{i:04d}-{j:03d}.parquet"))
+        for j in range(files_per_batch):
+            src = Path(f"{stage}/_batch={i}/_file={j}")
+            parts = [st.getPath() for st in fs.listStatus(src)] if fs.exists(src) else []
+            for n, part in enumerate(sorted((x for x in parts if x.getName().endswith(".parquet")), key=lambda x: x.getName())):
+                fs.rename(part, Path(f"{out_dir}/batch-{i:04d}-{j:04d}-{n:03d}.parquet"))
 
 
 def incremental_dedupe_state(spark: SparkSession, source_dir: str, schema,
@@ -123,19 +134,19 @@ def incremental_dedupe_state(spark: SparkSession, source_dir: str, schema,
     """O22 with the streaming state store instead of a stored key table.
 
     ``dropDuplicates`` keeps every accepted (entity, 16-byte digest) in the
-    state store (RocksDB when configured), so each micro-batch costs work in
-    proportion to the batch, not to the history. Across batches the first
-    arrival wins; inside one micro-batch the survivor among copies is
-    whichever the shuffle delivers first, so feed batches that are already
-    deduped within themselves (the extraction output is, O21) or use
-    ``incremental_dedupe`` for order-exact keep-first. Output goes to the
-    exactly-once parquet file sink.
+    RocksDB state store, so each micro-batch costs work in proportion to the
+    batch, not to the history. Across batches the first arrival wins; inside
+    one micro-batch the survivor among copies is whichever the shuffle
+    delivers first, so batches must be deduplicated within themselves (the
+    extraction output is, O21; ``write_batches`` does it with
+    ``dedupe_keys``). Output goes to the exactly-once parquet file sink.
 
     With ``event_time_col`` the stream gets a watermark and duplicates are
     dropped within it (``dropDuplicatesWithinWatermark``), so state for a
     key is evicted once the watermark passes it: bounded state for inputs
     whose copies arrive close together in event time.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     stream = (spark.readStream.schema(schema)
               .option("maxFilesPerTrigger", int(files_per_batch))
               .parquet(source_dir))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.text import collapse_ws, norm_key, ustrip
 from ..session import ship_package, staged
 from .dedupe import keep_first, with_review_key
-from .htmlboxes import anchors, review_boxes
+from .htmlboxes import anchors, outline, review_boxes
 
 ENTITY_URL = r"/anime/(\d+)"
 BLOCK_RE = r"(?i)captcha|access denied|cloudflare"
@@ -273,3 +273,16 @@ def ranked_entities(listing: DataFrame, max_n: int) -> DataFrame:
     top = first.orderBy("_o").limit(int(max_n))     # TakeOrderedAndProject
     w = Window.orderBy("_o")                         # over <= max_n rows
     return top.select((F.row_number().over(w)).alias("rank"), "entity_id")
+
+
+def page_outline(pages: DataFrame, container: str = "article", item: str = "p") -> DataFrame:
+    """The same walk over pages of any layout: (page_id, n_items, links) with
+    the ``item`` elements inside ``container`` and all link targets in
+    document order. A page without html has none."""
+    def walk(batches):
+        for pdf in batches:
+            rows = [(pid, *outline(html or "", container, item)) for pid, html in zip(pdf["page_id"], pdf["html"])]
+            yield pd.DataFrame(rows, columns=["page_id", "n_items", "links"])
+
+    ship_package(pages.sparkSession)
+    return pages.select("page_id", "html").mapInPandas(walk, "page_id long, n_items long, links array<string>")

@@ -127,3 +127,17 @@ def anchors(html: str, needle: str = "/anime/", ranking_class: str = "anime_rank
             out.append((pos, n.attrs["href"], inside))
             pos += 1
     return out
+
+
+def outline(html: str, container: str = "article", item: str = "p") -> tuple[int, list[str]]:
+    """The number of ``item`` elements inside ``container`` elements, and the
+    targets of all links, in document order."""
+    n, links, stack = 0, [], [(parse(html), False)]
+    while stack:
+        node, inside = stack.pop()
+        n += inside and node.tag == item
+        if node.tag == "a" and "href" in node.attrs:
+            links.append(node.attrs["href"])
+        inside = inside or node.tag == container
+        stack.extend((c, inside) for c in reversed(node.children) if isinstance(c, Node))
+    return n, links

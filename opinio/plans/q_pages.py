@@ -18,6 +18,15 @@ def page_entity_ids(spark, sf_dir):
     return p.select("page_id", X.entity_from_url("url", r"/(\d+)").alias("entity_id"))
 
 
+@register("page_outline", r"""SELECT page_id,
+  CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<article.*?</article>', 0), '<p[ >]')) AS BIGINT) AS n_paragraphs,
+  array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), chr(10)) AS links FROM pages""")
+def page_outline(spark, sf_dir):
+    """The box walk over the real pages: untidy HTML, unclosed paragraphs."""
+    p = X.page_outline(table(spark, sf_dir, "pages"))
+    return p.select("page_id", F.col("n_items").alias("n_paragraphs"), F.array_join("links", "\n").alias("links"))
+
+
 def boxes(spark, sf_dir):
     return stage(spark, sf_dir, "boxes",
                  lambda: X.explode_boxes(FX.review_pages(spark, sf_dir), FX.SITE))

@@ -98,3 +98,20 @@ def test_metrics_document_json(spark):
     assert "macro" not in d and "loss" not in d
     t = json.loads(EV.metrics_document(flat).first()["json"])
     assert t["macro"]["f1"] == pytest.approx(GOLD["f1_macro"], abs=1e-15)
+
+
+def test_rows_without_a_score_are_counted_apart(spark):
+    rows = [(0, 0.2), (1, 0.8), (1, None), (0, float("nan"))]
+    r = EV.evaluate(spark.createDataFrame(rows, "label int, score double")).first()
+    assert (r["n"], r["n_unscored"], r["tn"], r["tp"], r["roc_auc"]) == (2, 2, 1, 1, 1.0)
+    assert EV.error_count(spark.createDataFrame(rows, "label int, score double")).first()[0] == 0
+
+
+def test_auc_of_saturated_scores(spark):
+    import random
+    rng = random.Random(1)
+    rows = [(rng.randrange(2), 1 - rng.randrange(1, 400) * 1e-12) for _ in range(600)]
+    got = EV.roc_auc(spark.createDataFrame(rows, "label int, score double")).first()[0]
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(got - want) < 1e-12

@@ -89,3 +89,19 @@ def test_anchors_and_ranked(spark):
     got = [(r["rank"], r["entity_id"]) for r in X.ranked_entities(df, 10).collect()]
     assert got == [(1, "5"), (2, "9"), (3, "11")]
     assert [r["entity_id"] for r in X.ranked_entities(df, 2).collect()] == ["5", "9"]
+
+
+def test_deep_html_and_outline():
+    from opinio.operators.htmlboxes import outline
+    deep = '<div class="review-element"><div class="text">' + "<p>x" * 5000
+    assert review_boxes(deep)[0][3] == " ".join(["x"] * 5000)
+    n, links = outline("<p>a<article>" + "<p>x<a href='/1'>" * 3000 + "</article><p><a href='/2'>")
+    assert n == 3000 and links == ["/1"] * 3000 + ["/2"]
+
+
+def test_page_without_html_leaves_the_turn_to_the_next_candidate(spark):
+    pages = spark.createDataFrame([(1, f"{SITE}/anime/1/reviews", None),
+                                   (2, f"{SITE}/anime/1/reviews?p=1", _box("Recommended", "found at the second try"))],
+                                  "page_id long, url string, html string")
+    ents = spark.createDataFrame([("1",)], "entity_id string")
+    assert [r["text"] for r in X.extract_reviews(ents, pages, SITE, 2).collect()] == ["found at the second try"]

@@ -19,6 +19,12 @@ CASES = [
     ('{"sentimiento": "mixta", "confianza": null, "razon": null}', "uncertain", None, None),
     ('{"sentimiento": "mixta", "confianza": "x", "razon": "dice negativo"}', "negative", None, "dice negativo"),
     ("", "uncertain", None, ""),
+    ('[{"sentimiento": "positiva", "confianza": 90, "razon": "x"}]', "positive", None, ""),
+    ('{"sentimiento": "positiva", "sentimiento": "negativa", "confianza": 5}', "negative", 5.0, ""),
+    ('{"sentimiento": "negativa", "confianza": "85f"}', "negative", None, ""),
+    ('{"sentimiento": "negativa", "confianza": "85d"}', "negative", None, ""),
+    ('{"sentimiento": "positiva", "confianza": 70} y {"sentimiento": "negativa"}', "uncertain", None, ""),
+    ('"positiva"', "positive", None, ""),
 ]
 
 
@@ -29,6 +35,14 @@ def test_parse_reply(spark):
         assert (g["verdict"], g["confidence"], g["reason"], g["raw"]) == (v, c, r, raw), raw
 
 
+def test_documents_without_a_reply_stay(spark):
+    from opinio.operators.compare import normalise_replies, side_by_side
+    scored = spark.createDataFrame([(1, 0.9), (2, 0.1)], "id long, score double")
+    replies = spark.createDataFrame([(1, '{"sentimiento": "positiva"}')], "id long, raw string")
+    rows = {r["id"]: r for r in side_by_side(scored, normalise_replies(replies)).collect()}
+    assert rows[1]["agree"] and rows[2]["band"] == "negative" and rows[2]["verdict"] is None and not rows[2]["agree"]
+
+
 def test_prompt(spark):
     p = spark.createDataFrame([("hola",)], "t string").select(prompt("t")).first()[0]
     assert p.endswith('Reseña:\n"""\nhola\n"""') and p.startswith("Eres un clasificador")

@@ -353,7 +353,7 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
     if not field.labels:
         return docs.select("doc_id", held_out().alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    limit = (48 << 20) // max(4, len(field.labels))
+    limit = (16 << 20) // max(4, len(field.labels))
 
     def rows(batches: Iterator):
         import pyarrow as pa

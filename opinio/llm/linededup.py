@@ -155,7 +155,7 @@ def _chunks(batches: Iterator, min_chars: int):
             for _, raw, line in _lines(t, min_chars):
                 seen.setdefault(xxhash.xxh64_intdigest(raw), line)
             held += len(t or b"")
-            if held > 8 << 20:
+            if held > 4 << 20:
                 yield seen
                 seen, held = {}, 0
     yield seen

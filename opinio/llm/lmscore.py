@@ -14,7 +14,7 @@ corpus counts), else every text would look known.
 
 So n-grams are exchanged pre-aggregated: a frequent n-gram is one entry a
 block, whatever share of the documents has it. (One row per n-gram would
-move over 40 bytes a word; the arrays move about eight.)
+move over 40 bytes a word; the arrays move about six.)
 
 Words are separated by ASCII blanks, and A-Z lower-cased. n-grams never
 cross documents. A word that no other document has gets the unigram
@@ -40,6 +40,9 @@ from .common import python_step, read, staged
 
 ORDER = 3
 ALPHA = 0.4
+#: Bits of an n-gram's hash that are sent within its partition, and bytes of arrays per partition.
+LOW_BITS = 44
+PART_BYTES = 64 << 20
 ARRAYS = "part int, block long, packed binary"
 
 
@@ -63,13 +66,13 @@ def grams(texts: list, order: int) -> tuple[np.ndarray, list]:
 
 
 def keyed(h: np.ndarray, parts: int) -> np.ndarray:
-    """Sortable keys of n-gram hashes: 16 bits of partition above 48 bits of hash (0 stays 0).
+    """Sortable keys of n-gram hashes: 16 bits of partition above LOW_BITS of hash (0 stays 0).
 
-    Partitions grow with the corpus, so the odds that two n-grams of one
-    partition (some millions) share a key stay about one in 10 ** 8 each.
+    Partitions grow with the corpus and hold some 4 million n-grams each, so
+    the odds that an n-gram shares its key stay below one in a million.
     """
     part = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
-    return np.where(h > 0, part << np.uint64(48) | (h & np.uint64((1 << 48) - 1)), np.uint64(0))
+    return np.where(h > 0, part << np.uint64(48) | (h & np.uint64((1 << LOW_BITS) - 1)), np.uint64(0))
 
 
 def _counted(table: DataFrame, parts: int, order: int) -> DataFrame:
@@ -82,7 +85,7 @@ def _counted(table: DataFrame, parts: int, order: int) -> DataFrame:
                 every = keyed(np.concatenate(grams(unpack(packed)[2], order)[1]), parts)
                 key, n = np.unique(every[every > 0], return_counts=True)
                 cut = np.searchsorted(key >> np.uint64(48), np.arange(parts + 1))
-                low = key & np.uint64((1 << 48) - 1)
+                low = key & np.uint64((1 << LOW_BITS) - 1)
                 for p in range(parts):
                     i, j = cut[p], cut[p + 1]
                     if j > i:
@@ -170,7 +173,7 @@ def _place(doc: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_unseen (words that no other document has), score (mean log of the words' scores)."""
     table = blocks(docs, "lm", block_bytes)
-    parts = parts_for(table, 4.0)
+    parts = parts_for(table, 4.0, PART_BYTES)
     back = staged(by_part(_counted(table, parts, order), parts, _returned, ARRAYS), "lm-returned")
     found = with_arrays(table, back)
     words = _words(table)
@@ -189,14 +192,14 @@ def _words(table: DataFrame) -> int:
 
 
 def count_table(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """part, hash (48 bits), n: the corpus counts of all n-grams up to ``order``, partitioned by hash."""
+    """part, hash (LOW_BITS), n: the corpus counts of all n-grams up to ``order``, partitioned by hash."""
     def fn(part: int, rows: list):
         import pyarrow as pa
         h, n, _ = _table(rows)
         yield pa.record_batch([pa.array(np.full(len(h), part, np.int32)), pa.array(h.view(np.int64)), pa.array(n)],
                               names=["part", "hash", "n"])
     table = blocks(docs, "lm", block_bytes)
-    parts = parts_for(table, 4.0)
+    parts = parts_for(table, 4.0, PART_BYTES)
     return by_part(_counted(table, parts, order), parts, fn, "part int, hash long, n long")
 
 

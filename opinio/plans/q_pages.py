@@ -82,7 +82,9 @@ def extracted_reviews(spark, sf_dir):
 
 
 @register("extracted_negatives", f"""WITH {PAGE_CTES}
-SELECT * FROM recs WHERE marker = 'not_recommended'""")
+SELECT entity_id, page, box_pos, text, marker, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_id, {S.norm('text')}
+    ORDER BY page, box_pos) AS rn FROM rec1 WHERE marker = 'not_recommended') WHERE rn = 1""")
 def extracted_negatives(spark, sf_dir):
     return records(spark, sf_dir, "negatives").select(
         "entity_id", "page", "box_pos", "text", "marker", "label")

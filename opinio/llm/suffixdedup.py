@@ -192,7 +192,7 @@ def _repeated(part: int, rows: list):
 
 
 def _runs(with_bits: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
-    """The front-coded runs (part >= 0), and as part -1 the spans that a block alone shows to be repeated."""
+    """The front-coded runs (part >= 0), and as negative parts the spans that a block alone shows to be repeated."""
 
     def rows(batches: Iterator):
         import pyarrow as pa
@@ -228,7 +228,7 @@ def _runs(with_bits: DataFrame, parts: int, length: int, gram: int) -> DataFrame
                         continue
                     suffixes.setdefault(int(h[i]) % parts, []).append((text[a:hi + length], a, lo, hi, d))
                 if gone:
-                    yield out(-1, block, np.array(gone, np.int64))
+                    yield out(-1 - block % parts, block, np.array(gone, np.int64))
                 for part, run in suffixes.items():
                     run.sort(key=lambda s: s[0])
                     coded, before = [], b""
@@ -337,10 +337,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     parts = parts_for(table, 0.3)
     bits = staged(by_part(_sent_grams(table, parts, length, gram), parts, _repeated, ARRAYS), "suffix-repeated")
     parts = parts_for(table, 2.0)
-    runs = staged(_runs(with_arrays(table, bits), parts, length, gram), "suffix-runs")
-    alone = runs.where("part < 0")
-    spans = staged(by_part(runs.where("part >= 0"), parts, _spans(length), ARRAYS), "suffix-spans")
-    return with_arrays(table, spans.unionByName(alone))
+    runs = _runs(with_arrays(table, bits), parts, length, gram)
+    return with_arrays(table, staged(by_part(runs, parts, _spans(length), ARRAYS), "suffix-spans"))
 
 
 def _results(spans: DataFrame, fn, schema: str) -> DataFrame:

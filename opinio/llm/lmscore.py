@@ -42,7 +42,7 @@ ORDER = 3
 ALPHA = 0.4
 #: Bits of an n-gram's hash that are sent within its partition, and bytes of arrays per partition.
 LOW_BITS = 44
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 ARRAYS = "part int, block long, packed binary"
 
 
@@ -103,14 +103,17 @@ def _small(n: np.ndarray) -> np.ndarray:
 
 def _table(rows: list) -> tuple[np.ndarray, np.ndarray, list]:
     """The count table of a part, and the n-grams of each row."""
-    sent = [unpack(packed) for _, packed in rows]
-    hashes = [unpack_sorted(s[0]) for s in sent]
+    hashes, counts = [], []
+    for _, packed in rows:
+        h, n = unpack(packed)
+        hashes.append(unpack_sorted(h))
+        counts.append(n.astype(np.int32))
     every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
-    sorted_ = every[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-    counts = np.concatenate([s[1].astype(np.int64) for s in sent])[order]
-    return sorted_[first], np.add.reduceat(counts, first), hashes
+    every = every[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    counts = np.concatenate(counts)[order]
+    return every[first], np.add.reduceat(counts, first, dtype=np.int64), hashes
 
 
 def _returned(part: int, rows: list):

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as T
 from .blocks import BLOCK_BYTES, blocks, by_part, pack, pack_sorted, parts_for, unpack, unpack_sorted, with_arrays
-from .common import python_step, read, staged
+from .common import python_step, read
 
 ORDER = 3
 ALPHA = 0.4
@@ -96,9 +96,14 @@ def _counted(table: DataFrame, parts: int, order: int) -> DataFrame:
     return python_step(table.select("block", "packed"), rows, ARRAYS)
 
 
-def _small(n: np.ndarray) -> np.ndarray:
-    """Counts in the narrowest type that holds them."""
-    return n.astype(np.min_scalar_type(int(n.max()) if len(n) else 0))
+def _small(n: np.ndarray) -> tuple:
+    """Counts byte by byte: the upper bytes compress away."""
+    return len(n), np.ascontiguousarray(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _counts(packed: tuple) -> np.ndarray:
+    n, raw = packed
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.uint32).ravel()
 
 
 def _table(rows: list) -> tuple[np.ndarray, np.ndarray, list]:
@@ -107,7 +112,7 @@ def _table(rows: list) -> tuple[np.ndarray, np.ndarray, list]:
     for _, packed in rows:
         h, n = unpack(packed)
         hashes.append(unpack_sorted(h))
-        counts.append(n.astype(np.int32))
+        counts.append(_counts(n))
     every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
     every = every[order]
@@ -141,7 +146,7 @@ def _scores(found: DataFrame, parts: int, order: int, alpha: float, total: int)
                 begin = int(known[0]) if len(known) else 0
                 cut = begin + np.searchsorted(own[begin:] >> np.uint64(48), np.arange(parts + 1))
                 for r in returned or ():
-                    corpus[cut[r["part"]]:cut[r["part"] + 1]] = unpack(r["array"])
+                    corpus[cut[r["part"]]:cut[r["part"] + 1]] = _counts(unpack(r["array"]))
                 # occurrences in the document itself
                 pair = inverse.astype(np.int64) * len(texts) + np.tile(doc, order)
                 _, again, n = np.unique(pair, return_inverse=True, return_counts=True)
@@ -177,8 +182,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes
     """doc_id, n_words, n_unseen (words that no other document has), score (mean log of the words' scores)."""
     table = blocks(docs, "lm", block_bytes)
     parts = parts_for(table, 4.0, PART_BYTES)
-    back = staged(by_part(_counted(table, parts, order), parts, _returned, ARRAYS), "lm-returned")
-    found = with_arrays(table, back)
+    found = with_arrays(table, by_part(_counted(table, parts, order), parts, _returned, ARRAYS))
     words = _words(table)
     return _scores(found, parts, order, alpha, words)
 

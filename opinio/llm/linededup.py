@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join.
 
 A line is stripped of ASCII blanks; lines of at least ``min_chars`` code
-points take part, shorter ones always stay. Two lines are linked if their
+points take part, shorter ones stay (but see ``covered``). Two lines are linked if their
 edit distance is at most ``max_edits``; linked lines form classes (connected
 components), and of each class only the first occurrence, by doc_id and then
 position, stays in the documents. Equal lines are one line from the start.
@@ -417,6 +417,44 @@ def repeated(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, ma
         F.collect_set("pos").alias("gone"), F.collect_set(F.when(near, F.col("pos"))).alias("near"))
 
 
+def short_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, key, n_long (lines of the document that take part), and h, h2 of each of its shorter lines that is not blank."""
+
+    def rows(batches: Iterator):
+        import pyarrow as pa
+        import xxhash
+        for b in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_column(b, "text")):
+                long = {raw for _, raw, _ in _lines(t, min_chars)}
+                n = sum(1 for _ in _lines(t, min_chars))
+                for raw in {x.strip() for x in (t or b"").split(b"\n")} - long - {b""}:
+                    for c, v in zip(cols, (i, key, n, xxhash.xxh64_intdigest(raw), xxhash.xxh64_intdigest(raw, 1))):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32())
+            yield pa.record_batch([*(pa.array(c, t) for c, t in zip(cols, kinds)),
+                                   *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[3:])],
+                                  names=["doc_id", "key", "n_long", "h", "h2"])
+
+    d = docs.select("doc_id", row_key().alias("key"), "text")
+    return python_step(d, rows, "doc_id long, key long, n_long int, h long, h2 long")
+
+
+def covered(docs: DataFrame, gone: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """c_id, c_key of the documents that lost all lines that take part and whose shorter lines all occur in earlier documents.
+
+    The document with a line's first occurrence is never among them, so no line vanishes.
+    """
+    short = short_lines(docs, min_chars)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = short.groupBy(F.col("h").alias("f"), F.col("h2").alias("f2")).agg(F.min(order).alias("first"))
+    g = gone.select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), F.size("gone").alias("n_gone"))
+    rest = short.join(g, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("key") == F.col("g_key")) & (F.col("n_long") == F.col("n_gone")))
+    rest = rest.join(first, (F.col("h") == F.col("f")) & (F.col("h2") == F.col("f2")))
+    return rest.groupBy(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key")).agg(
+        F.bool_and(F.col("first") < order).alias("all")).where("all").drop("all")
+
+
 def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
     g = gone.select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "gone", "near")
     return docs.withColumn("g_row", row_key()).join(
@@ -433,10 +471,14 @@ def without(text: bytes | None, gone) -> bytes | None:
 def deduplicated(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` (all columns, ``n_chars`` brought up to date) without repeated lines.
 
-    A document of which only blanks are left is dropped; documents that had
-    no text before stay as they are.
+    A document of which only blanks are left is dropped, and so is one of
+    which only lines below ``min_chars`` are left that all occur in earlier
+    documents (the rest of a copy); documents that had no text before stay as
+    they are.
     """
-    d = _joined(docs, staged(repeated(docs, k, min_chars), "line-repeated"))
+    gone = staged(repeated(docs, k, min_chars), "line-repeated")
+    copies = staged(covered(docs, gone, min_chars), "line-covered")
+    d = _joined(docs, gone).join(copies, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("g_row") == F.col("c_key")), "left_anti")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     d = d.withColumn("g_text", text).where(F.col("gone").isNull() | F.col("g_text").rlike(r"[^\x20\x09-\x0D]"))

@@ -45,6 +45,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in whole.collect()} == seen["source_mixing"]
 
 
+def test_copies_with_short_lines(spark):
+    docs = [r for r in planted()[0] if r[0] < 150]
+    whole = docs[7][1].split("\n")
+    docs[7] = (*docs[7][:1], "\n".join([whole[0], "intro", *whole[1:], "}"]), *docs[7][2:])
+    docs[2] = (*docs[2][:1], docs[2][1] + "\n}", *docs[2][2:])
+    docs += [(300, docs[7][1], "xx", "s1", 0),  # an exact copy with a line of 5 characters
+             (300, docs[7][1], "xx", "s1", 0), (None, docs[7][1], "xx", "s1", 0),
+             (301, docs[7][1] + "\nown", "xx", "s1", 0),  # a short line that occurs nowhere else
+             (302, "intro\n}", "xx", "s1", 0), (303, docs[7][1] + "\nown", "xx", "s1", 0)]
+    out = P.line_dedup(spark, spark.createDataFrame(docs, DOC), "").collect()
+    left = {r["doc_id"]: r["text"] for r in out}
+    assert set(left) == set(range(150)) | {301, 302}
+    assert left[301] == "intro\n}\nown" and left[302] == "intro\n}" and left[7] == docs[7][1]
+
+
 def test_empty_tables(spark, tmp_path):
     sf = str(tmp_path)
     for name, schema in (("documents", DOC), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):

@@ -13,6 +13,15 @@ one fails, the reader searches for the next gzip member or version line,
 tries the checks there, and goes on until they hold; the bytes in between
 become one gap row with the reason of the first failure.
 
+A gzip member may hold many records and be of any size; it is unpacked in
+pieces. Where a record in it fails, the search for the next version line goes
+on in the unpacked bytes; such a gap has the member's place in the file, and
+its reason names the unpacked bytes. A member that is cut short, or whose
+CRC or coding is wrong, gives the records that are good by themselves: those
+before a cut, and otherwise those whose block digest holds, if it has more
+than one (of a single one, no digest covers the header). A gap row with the
+reason covers the place of such a member.
+
 Cases: a null payload is empty; payloads below ``MIN_REVISIT`` bytes and
 pages that repeat the smallest page_id of their payload are responses; a
 null page_id comes last and refers to the smallest id; a null url is left
@@ -22,6 +31,7 @@ table writes nothing and reads back as no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -38,14 +48,17 @@ from .common import python_step, read, staged
 MIN_REVISIT = 100
 #: A task starts another file beyond this size.
 FILE_BYTES = 64 << 20
-#: A record that claims or unpacks to more is taken as damaged.
+#: A record that claims more is taken as damaged.
 MAX_RECORD = 1 << 30
 READ_BYTES = 256 << 10
+#: A member that unpacks to more is unpacked twice: to check it, and for its records.
+KEPT_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, bytes long, records long"
 ROWS = ("file string, start long, stop long, kind string, reason string, page_id long, url string, record_type string, "
         "refers_to long, payload_bytes long, payload_digest string, payload binary")
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n")
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 
 
@@ -119,6 +132,13 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, compresse
 class Damaged(Exception):
     """A check failed."""
 
+    #: How far the file was read.
+    end = 0
+
+
+class Cut(Damaged):
+    """The file ends within a member: what was unpacked is right."""
+
 
 def _parsed(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """Headers, block and end of the record at ``at``, all lengths and digests checked."""
@@ -155,35 +175,155 @@ def _payload(block: bytes) -> bytes:
     return block[stop + 4:] if stop >= 0 else b""
 
 
-def _member(f, at: int, size: int) -> tuple[list, int]:
-    """The records of the gzip member at ``at`` and where it ends."""
-    z, parts, total, pos = zlib.decompressobj(31), [], 0, at
-    try:
-        while not z.eof:
-            f.seek(pos)
-            raw = f.read(READ_BYTES)
-            if not raw:
-                raise Damaged("member not ended")
-            while raw and not z.eof:
+def _proven(head: dict, block: bytes) -> bool:
+    """Whether the record has a block digest that holds."""
+    kind, _, digest = head.get("warc-block-digest", "").partition(":")
+    if kind not in ("sha1", "sha256"):
+        return False
+    held = hashlib.new(kind, block)
+    return digest.lower() == held.hexdigest() or digest.upper().rstrip("=") == base64.b32encode(held.digest()).decode().rstrip("=")
+
+
+def _unpacked(f, at: int) -> Iterator[tuple[bytes, int]]:
+    """The bytes of the gzip member at ``at`` in pieces, with how far the file is read; all bytes before a failure come first."""
+    z, pos = zlib.decompressobj(31), at
+    while not z.eof:
+        f.seek(pos)
+        raw = f.read(READ_BYTES)
+        pos += len(raw)
+        if not raw:
+            while part := z.decompress(b"", 16 * READ_BYTES):
+                yield part, pos
+            raise Cut("member not ended")
+        while raw and not z.eof:
+            before = z.copy()
+            try:
                 part = z.decompress(raw, 16 * READ_BYTES)
-                raw, total = z.unconsumed_tail, total + len(part)
-                parts.append(part)
-                if total > MAX_RECORD:
-                    raise Damaged("member too long")
-            pos = min(size, pos + READ_BYTES)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {str(e)[:60]}") from None
-    data, found, i = b"".join(parts), [], 0
-    while i < len(data):
-        head, block, i = _parsed(data, i)
-        found.append((head, block))
-    if not found:
-        raise Damaged("empty member")
-    return found, pos - len(z.unused_data)
-
-
-def _plain(f, at: int, size: int) -> tuple[list, int]:
-    """The record without compression at ``at`` and where it ends."""
+            except zlib.error as e:
+                parts, i = [], 0
+                try:  # zlib keeps back what it unpacked in a call that fails
+                    for i in range(len(raw)):
+                        parts.append(before.decompress(raw[i:i + 1]))
+                except zlib.error:
+                    pass
+                yield b"".join(parts), pos - len(raw) + i
+                raise Damaged(f"gzip: {str(e)[:60]}") from None
+            raw = z.unconsumed_tail
+            yield part, pos - len(raw) - len(z.unused_data)
+
+
+def _records(parts: Iterator[bytes]) -> Iterator[tuple]:
+    """(start, stop, header, block, None) per good record of unpacked bytes, (start, stop, None, None, reason) per gap.
+
+    At most one record, of MAX_RECORD at most, is held at a time.
+    """
+    data, off, at, gap, ended = bytearray(), 0, 0, None, False  # data[0] is byte off, at counts in data
+
+    def more(n: int) -> bool:
+        """Have n bytes from ``at`` on, if there are as many."""
+        nonlocal ended
+        while len(data) - at < n and not ended:
+            part = next(parts, None)
+            ended = part is None
+            data.extend(part or b"")
+        return len(data) - at >= n
+
+    while more(1):
+        try:
+            stop = -1
+            if more(5) and data.startswith(b"WARC/", at):
+                size = 1 << 10
+                while (stop := data.find(b"\r\n\r\n", at)) < 0 and size < READ_BYTES and more(size + 1):
+                    size *= 4
+                m = _LENGTH.search(data, at, stop + 2) if stop >= 0 else None
+                if not m:
+                    raise Damaged("header not ended" if stop < 0 else "bad length")
+                need = stop + 8 - at + int(m[1])
+                if need > MAX_RECORD or not more(need):
+                    raise Damaged("wrong length")
+                if data[at + need - 4:at + need] != b"\r\n\r\n":
+                    raise Damaged("wrong length")
+                head, block, n = _parsed(bytes(memoryview(data)[at:at + need]))
+            else:
+                raise Damaged("no version line")
+        except Damaged as e:
+            gap = gap or (off + at, str(e))
+            at += 1
+            while True:
+                m = _VERSION.search(data, at)
+                if m or ended:
+                    at = m.start() if m else len(data)
+                    break
+                at = max(at, len(data) - 32)  # a version line may be cut by the end of the piece
+                if at > READ_BYTES:
+                    del data[:at]
+                    off, at = off + at, 0
+                more(len(data) - at + 1)
+            continue
+        if gap:
+            yield gap[0], off + at, None, None, gap[1]
+            gap = None
+        yield off + at, off + at + n, head, block, None
+        at += n
+        if at > READ_BYTES or at == len(data):
+            del data[:at]
+            off, at = off + at, 0
+    if gap:
+        yield gap[0], off + at, None, None, gap[1]
+
+
+def _member(f, at: int, marks: set) -> Iterator[tuple]:
+    """What ``salvage`` gives for the gzip member at ``at``; raises Damaged if it is damaged or holds no record.
+
+    A damaged member's good records come before that, their marks go to ``marks``.
+    """
+    kept, size, end, bad = [], 0, at, None
+    try:
+        for part, end in _unpacked(f, at):
+            size += len(part)
+            if size <= KEPT_BYTES:
+                kept.append(part)
+            else:
+                kept.clear()
+    except Damaged as e:
+        bad = e
+
+    def again():
+        try:
+            for part, _ in _unpacked(f, at):
+                yield part
+        except Damaged:
+            pass
+
+    whole = bad is None or isinstance(bad, Cut)
+    good, gap = 0, None
+    for start, stop, head, block, reason in _records(iter(kept) if size <= KEPT_BYTES else again()):
+        if head is not None and not whole and (not _proven(head, block) or (start == 0 and stop == size and "check" in str(bad))):
+            head, reason = None, f"not proven by a digest, {bad}"
+        if head is None:
+            gap = gap and (gap[0], stop, gap[2]) or (start, stop, reason)
+            continue
+        if gap:
+            yield at, end, None, None, f"{gap[2]} (unpacked bytes {gap[0]} to {gap[1]})"
+            gap = None
+        if bad:
+            marks.add(_mark(head, block))
+        good += 1
+        yield at, end, head, block, None
+    if bad or not good:
+        bad = bad or Damaged(gap[2] if gap else "empty member")
+        bad.end = end
+        raise bad
+    if gap:
+        yield at, end, None, None, f"{gap[2]} (unpacked bytes {gap[0]} to {gap[1]})"
+
+
+def _mark(head: dict, block: bytes) -> bytes:
+    return hashlib.sha256(repr(sorted(head.items())).encode() + block).digest()
+
+
+def _plain(f, at: int, size: int) -> list:
+    """What ``salvage`` gives for the record without compression at ``at``."""
     f.seek(at)
     data = f.read(READ_BYTES)
     m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", data)
@@ -196,7 +336,7 @@ def _plain(f, at: int, size: int) -> tuple[list, int]:
     if need > len(data):
         data += f.read(need - len(data))
     head, block, end = _parsed(data[:need])
-    return [(head, block)], at + end
+    return [(at, at + end, head, block, None)]
 
 
 def _next(f, at: int, size: int) -> int:
@@ -212,27 +352,37 @@ def _next(f, at: int, size: int) -> int:
 
 
 def salvage(f, size: int) -> Iterator[tuple]:
-    """(start, stop, header, block, None) per good record, (start, stop, None, None, reason) per gap, in file order."""
+    """(start, stop, header, block, None) per good record, (start, stop, None, None, reason) per gap, in file order.
+
+    Records have the place of their gzip member, as have gaps inside it.
+    """
     at, gap = 0, None
+    seen, past = set(), 0  # what damaged members gave, as their bytes up to past are searched once more
     while at < size:
         f.seek(at)
         magic = f.read(5)
+        marks: set = set()
         try:
             if magic[:3] == b"\x1f\x8b\x08":
-                found, end = _member(f, at, size)
+                found = _member(f, at, marks)
             elif magic == b"WARC/":
-                found, end = _plain(f, at, size)
+                found = iter(_plain(f, at, size))
             else:
                 raise Damaged("no member or version line")
+            for row in found:
+                end = row[1]
+                if at < past and row[2] is not None and _mark(row[2], row[3]) in seen:
+                    continue
+                if gap:
+                    yield gap[0], at, None, None, gap[1]
+                    gap = None
+                yield row
         except Damaged as e:
+            if marks:
+                seen, past = marks | (seen if at < past else set()), max(past, e.end)
             gap = gap or (at, str(e))
             at = _next(f, at + 1, size)
             continue
-        if gap:
-            yield gap[0], at, None, None, gap[1]
-            gap = None
-        for head, block in found:
-            yield at, end, head, block, None
         at = end
     if gap:
         yield gap[0], size, None, None, gap[1]

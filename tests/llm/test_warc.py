@@ -1,6 +1,7 @@
 import hashlib
 import io
 import random
+import re
 import tempfile
 import zlib
 
@@ -57,6 +58,75 @@ def test_damage_anywhere_never_loses_other_records():
         assert ids >= set(range(5)) - {hurt}
 
 
+def pages(got):
+    return [warc._page_of(r[2]["warc-record-id"]) for r in got if r[2]]
+
+
+def noise(rng, n):
+    return bytes(rng.randrange(256) for _ in range(n))
+
+
+def test_member_of_several_records():
+    rng = random.Random(3)
+    parts = [rec(i, b"payload %d " % i * 30 + noise(rng, 3000)) for i in range(40)]
+    at = [sum(map(len, parts[:i])) for i in range(41)]
+    inside = bytearray(b"".join(parts))
+    inside[at[7] + 600] ^= 1  # a wrong digest inside an undamaged member
+    inside[at[20]] = 0  # no version line
+    got = salvaged(gz(bytes(inside)) + gz(rec(99)))
+    assert pages(got) == [i for i in range(40) if i not in (7, 20)] + [99]
+    assert [r[4] for r in got if r[4]] == [f"wrong block digest (unpacked bytes {at[7]} to {at[8]})",
+                                           f"no version line (unpacked bytes {at[20]} to {at[21]})"]
+    whole = gz(b"".join(parts))
+    cut = len(whole) * 3 // 5
+    got = salvaged(whole[:cut])
+    n = len(pages(got))
+    assert 20 <= n < 26 and pages(got) == list(range(n)) and got[-1][:2] == (0, cut) and got[-1][4] == "member not ended"
+    crc = bytearray(whole)
+    crc[-6] ^= 1
+    got = salvaged(bytes(crc) + gz(rec(99)))
+    assert pages(got) == [*range(40), 99] and [r[:2] for r in got if r[4]] == [(0, len(whole))]
+    single = bytearray(gz(rec(1)))
+    single[-6] ^= 1
+    assert pages(salvaged(bytes(single) + gz(rec(2)))) == [2]  # which byte is wrong is not known
+    bare = re.sub(rb"WARC-[A-Za-z]+-Digest: [^\r]*\r\n", b"", rec(50))
+    hurt = bytearray(gz(parts[0] + bare + parts[1]))
+    hurt[-6] ^= 1
+    assert pages(salvaged(bytes(hurt))) == [0, 1]
+    assert pages(salvaged(gz(parts[0] + bare + parts[1]))) == [0, 50, 1]
+
+
+def test_damage_in_a_member_of_several_records():
+    rng = random.Random(4)
+    text = [rec(i, b" ".join(b"%d" % rng.randrange(10 ** 6) for _ in range(300))) for i in range(30)]
+    raw = [rec(i, noise(rng, 9000)) for i in range(30)]  # kept in stored blocks: its version lines stand in the file
+    for parts in (text, raw):
+        whole = gz(b"".join(parts))
+        for _ in range(40):
+            k = rng.randrange(20, len(whole))
+            b = bytearray(whole)
+            b[k] ^= 1 << rng.randrange(8)
+            got = salvaged(bytes(b) + gz(rec(99)))
+            ids = pages(got)
+            assert len(set(ids)) == len(ids) and 99 in ids and any(r[4] for r in got)
+            before = int(30 * k / len(whole)) - 10  # zlib codes some records together
+            assert set(range(before)) <= set(ids)
+
+
+def test_large_members(monkeypatch):
+    rng = random.Random(5)
+    parts = [rec(i, noise(rng, 20000) * 3) for i in range(30)]
+    monkeypatch.setattr(warc, "MAX_RECORD", 100_000)  # holds for a record, not for their sum
+    monkeypatch.setattr(warc, "READ_BYTES", 4096)
+    for kept in (4 << 20, 50_000):
+        monkeypatch.setattr(warc, "KEPT_BYTES", kept, raising=False)
+        got = salvaged(gz(b"".join(parts)))
+        assert pages(got) == list(range(30)) and not any(r[4] for r in got)
+    parts[4] = rec(4, noise(rng, 120_000))
+    got = salvaged(gz(b"".join(parts)))
+    assert pages(got) == [i for i in range(30) if i != 4] and sum(bool(r[4]) for r in got) == 1
+
+
 def test_round_trip(spark):
     big = "é" * 200
     rows = [(1, "u", big, "k"), (2, "a b\r\n", big, "k"), (3, None, None, "k"), (4, "u", "", "k"), (None, "u", big, "k"),

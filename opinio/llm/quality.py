@@ -42,6 +42,8 @@ FEATURES = ("symbol_ratio", "upper_ratio", "repeat_ratio", "dup_line_ratio", "ba
 GRID = tuple(round(1.0 - 0.01 * i, 2) for i in range(1, 100))
 ALPHA = 0.02
 DELTA = 0.05
+#: Strata up to which their cutoffs are broadcast.
+BROADCAST_ROWS = 100_000
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 MEASURES = f"{BASE}, base_failed boolean, " + ", ".join(f"{f} double" for f in FEATURES)
 
@@ -139,13 +141,16 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return hist.groupBy("stratum", "feature").applyInPandas(choose, "stratum string, feature string, cutoff double, good long")
 
 
+def _small(per: DataFrame) -> DataFrame:
+    """``per`` (strata, a few numbers each) to be broadcast up to BROADCAST_ROWS; beyond, Spark chooses the join."""
+    return F.broadcast(per) if per.count() <= BROADCAST_ROWS else per
+
+
 def verdicts(features: DataFrame, table: DataFrame) -> DataFrame:
     """``features`` with ``rules_failed`` (names, comma-joined) and ``kept``."""
     per = table.groupBy(F.col("stratum").alias("c_stratum")).agg(
         *[F.max(F.when(F.col("feature") == f, F.col("cutoff"))).alias(f"cut_{f}") for f in FEATURES])
-    per = staged(per, "quality-cutoffs")
-    if per.count() <= 100_000:  # strata, a few numbers each; else Spark chooses the join
-        per = F.broadcast(per)
+    per = _small(staged(per, "quality-cutoffs"))
     failed = F.concat_ws(",", *[F.when(is_above(F.col(f), F.col(f"cut_{f}")), F.lit(f)) for f in FEATURES])
     return features.join(per, F.col("stratum") == F.col("c_stratum"), "left").withColumn("rules_failed", failed) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("rules_failed") == ""))
@@ -165,30 +170,26 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: flo
 
 def filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA,
              delta: float = DELTA) -> DataFrame:
-    """``docs`` (all columns) without the documents that a base rule or a certified cutoff rejects."""
-    from .common import row_key
-    features = measured(docs, stratum)
-    table = staged(cutoffs(staged(features, "quality-features"), labels, alpha, delta), "quality-table")
-    rows = table.collect() if table.count() <= 100_000 else None
-    if rows is None:  # very many strata: join the verdicts back to the rows
-        v = verdicts(measured(docs.withColumn("stratum_", F.col(stratum)), stratum), table)
-        keep = v.where("kept").select(F.col("doc_id").alias("k_id"), "stratum").distinct()
-        return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    strict = {}
-    for r in rows:
-        strict.setdefault(r["stratum"], []).append((6 + FEATURES.index(r["feature"]), round((1.0 - r["cutoff"]) * 100 - 1)))
-    at, of = docs.columns.index("text"), docs.columns.index(stratum)
-
-    def keep(text, group) -> bool:
+    """``docs`` (all columns) without the documents that a base rule or a certified cutoff rejects; each row is judged by itself."""
+    table = cutoffs(staged(measured(docs, stratum), "quality-features"), labels, alpha, delta)
+    cell = [F.max(F.when(F.col("feature") == f, F.round((F.lit(1.0) - F.col("cutoff")) * 100 - 1).cast("int"))) for f in FEATURES]
+    per = table.groupBy(F.col("stratum").alias("q_stratum")).agg(F.array(*cell).alias("q_cells"))
+    per = _small(staged(per, "quality-cutoffs"))
+    own = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit(""))
+    d = docs.join(per, own == F.col("q_stratum"), "left").drop("q_stratum")
+    names = docs.columns
+
+    def keep(text, cells) -> bool:
         m = measures(text)
-        return not m[5] and not any(math.floor((1.0 - m[i]) * 100 + 1e-9) <= c for i, c in strict.get(group or "", ()))
+        return not m[5] and not any(c is not None and math.floor((1.0 - x) * 100 + 1e-9) <= c for x, c in zip(m[6:], cells or ()))
 
     def kept(batches: Iterator):
         import pyarrow as pa
         for b in batches:
-            yield b.filter(pa.array(list(map(keep, byte_column(b, b.schema.names[at]), b.column(of).to_pylist())), pa.bool_()))
+            good = list(map(keep, byte_column(b, "text"), b.column(len(names)).to_pylist()))
+            yield b.select(names).filter(pa.array(good, pa.bool_()))
 
-    return python_step(docs, kept, docs.schema)
+    return python_step(d, kept, docs.schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -86,3 +86,21 @@ def test_without_labels_or_rows(spark):
     got = Q.judged(spark.createDataFrame(docs, DOC), none).collect()
     assert all(r["kept"] != r["base_failed"] for r in got)
     assert Q.judged(spark.createDataFrame([], DOC), none).collect() == []
+
+
+def test_filter_in_one_form(spark, monkeypatch):
+    good = " ".join(f"w{i}" for i in range(60))
+    bad = good + " !" * 30
+    docs = [(i, good if i % 2 else bad, 7, i) for i in range(600)]
+    # one doc_id, a kept and a rejected row
+    docs += [(1000, "x" + good, 7, 0), (1000, "x" + bad, 7, 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang int, n_chars long")  # a stratum that is not a string
+    lab = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    want = sorted((r["doc_id"], r["kept"]) for r in Q.judged(d, lab).collect())
+    assert want == sorted([(i, bool(i % 2)) for i in range(600)] + [(1000, True), (1000, False)])
+    for rows in (100_000, 0):
+        monkeypatch.setattr(Q, "BROADCAST_ROWS", rows, raising=False)
+        out = Q.filtered(d, lab)
+        assert out.schema == d.schema
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert sorted(got) == sorted([(i, t) for i, t, _, _ in docs if "!" not in t])

@@ -2,7 +2,7 @@
 
 The benchmark's windows (``n`` consecutive normalised words; an item of fewer
 words is one window) become a table of distinct grams. While it has at most
-``max_grams`` rows it is broadcast as a hash set and every training text is
+``max_grams`` rows of ``MAX_BYTES`` it is broadcast as a hash set and every training text is
 scanned in one pass without a shuffle: rolling window hashes probe the set
 and each hit is verified word by word. Beyond that bound the same windows
 are joined by a shuffle on the gram itself; both ways give the same rows.
@@ -29,8 +29,9 @@ from .common import byte_column, chunked, narrow, python_step, read, row_key, st
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 N = 10
-#: Distinct benchmark windows (about 150 bytes each) up to which they are broadcast.
+#: Distinct benchmark windows (about 150 bytes each), and bytes of theirs and of the items they name, up to which they are broadcast.
 MAX_GRAMS = 500_000
+MAX_BYTES = 75 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -117,8 +118,15 @@ def _digest(items: list) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
+def _fits(table: DataFrame, max_grams: int) -> bool:
+    """Whether the grams may be broadcast: their number and bytes are within the bounds."""
+    size = F.octet_length("gram") + F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 8)
+    n, total = table.agg(F.count("*"), F.sum(size)).first()
+    return n <= max_grams and (total or 0) <= MAX_BYTES
+
+
 def _hash_set(table: DataFrame):
-    """The grams as a broadcast, after their number was checked against the bound."""
+    """The grams as a broadcast, after their number and bytes were checked against the bounds."""
     rows = table.select("gram", "size", "items").collect()
     return table.sparkSession.sparkContext.broadcast([(r.gram, r.size, list(r["items"])) for r in rows])
 
@@ -138,7 +146,7 @@ def _of(shared) -> HashSet:
 def scan(docs: DataFrame, bench: DataFrame, n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
     """One row per document with the columns of RESULT."""
     table = staged(grams(bench, n), "bench-grams")
-    if table.count() > max_grams:
+    if not _fits(table, max_grams):
         return scan_by_join(docs, table)
     shared = _hash_set(table)
 
@@ -156,8 +164,8 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = N, max_grams: int = MAX_GRA
     return python_step(narrow(docs, "doc_id", "text"), rows, RESULT)
 
 
-def scan_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """The same rows for a benchmark of any size: windows are joined to the grams by a shuffle."""
+def hits_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """w_id, w_key, at (the first word), and the gram's columns, per window of a text that is a gram: joined by a shuffle."""
     sizes = [r["size"] for r in table.select("size").distinct().collect()]  # at most n of them
 
     def windows(batches: Iterator):
@@ -175,7 +183,13 @@ def scan_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
 
     d = narrow(docs, "doc_id", "text").withColumn("key", row_key())
     w = python_step(d.select("doc_id", "key", "text").distinct(), windows, "w_id long, w_key long, at long, w_gram string")
-    hits = staged(w.join(table, F.col("w_gram") == F.col("gram")), "bench-hits")
+    return staged(w.join(table, F.col("w_gram") == F.col("gram")), "bench-hits")
+
+
+def scan_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """The same rows as ``scan`` for a benchmark of any size."""
+    hits = hits_by_join(docs, table)
+    d = narrow(docs, "doc_id", "text").withColumn("key", row_key())
     covered = hits.select("w_id", "w_key", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("word")) \
         .distinct().groupBy("w_id", "w_key").agg(F.count("*").alias("n_hit"))
     items = hits.select("w_id", "w_key", F.explode("items").alias("item")).groupBy("w_id", "w_key") \
@@ -195,34 +209,64 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = N, remove: str = "
                   max_grams: int = MAX_GRAMS) -> DataFrame:
     """``docs`` without its contaminated documents, or (``remove="spans"``) with the hit spans cut out of the texts.
 
-    All columns are kept. A benchmark beyond ``max_grams`` windows is
-    scanned for in slices of that many, one after the other.
+    All columns are kept. A benchmark beyond ``max_grams`` windows (or
+    MAX_BYTES) is joined by a shuffle; both ways give the same rows.
     """
     table = staged(grams(bench, n), "bench-grams")
-    slices = max(1, -(-table.count() // max_grams))
-    part = F.pmod(F.xxhash64("gram"), F.lit(slices))
-    shared = [_hash_set(table.where(part == i)) for i in range(slices)]
     at = docs.columns.index("text")
 
+    def without(b, texts, cut):
+        import pyarrow as pa
+        clean = [_without(t, c) if c else t for t, c in zip(texts, cut)]
+        col = pa.array([None if t is None else t.decode() for t in clean], b.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([*b.columns[:at], col, *b.columns[at + 1:]], schema=b.schema)
+
+    if not _fits(table, max_grams):
+        hits = hits_by_join(docs, table)
+        d = docs.withColumn("g_row", row_key())
+        on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("g_row") == F.col("w_key"))
+        if remove == "documents":
+            return d.join(hits.select("w_id", "w_key").distinct(), on, "left_anti").drop("g_row")
+        per = hits.groupBy("w_id", "w_key").agg(F.collect_set(F.struct("at", "size")).alias("g_hits"))  # at most the text's windows
+
+        def joined(batches: Iterator):
+            for b in batches:
+                texts = byte_column(b, "text")
+                cut = [_spans(t, h) if h else [] for t, h in zip(texts, b.column(len(names)).to_pylist())]
+                yield without(b.select(names), texts, cut)
+
+        names, schema = docs.columns, docs.schema
+        return python_step(d.join(per, on, "left").drop("g_row", "w_id", "w_key"), joined, schema)
+    shared = _hash_set(table)
+
     def rows(batches: Iterator):
         import pyarrow as pa
         for b in batches:
             texts = byte_column(b, "text")
-            cut: list[list] = [[] for _ in texts]
-            for s in shared:
-                for i, j in chunked(texts):
-                    for k, r in enumerate(_of(s).hits(texts[i:j]), i):
-                        cut[k] += r[3]
+            cut = [r[3] for i, j in chunked(texts) for r in _of(shared).hits(texts[i:j])]
             if remove == "documents":
                 yield b.filter(pa.array([not c for c in cut], pa.bool_()))
             else:
-                clean = [_without(t, c) if c else t for t, c in zip(texts, cut)]
-                col = pa.array([None if t is None else t.decode() for t in clean], b.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], col, *b.columns[at + 1:]], schema=b.schema)
+                yield without(b, texts, cut)
 
     return python_step(docs, rows, docs.schema)
 
 
+def _spans(text: bytes, hits: list) -> list:
+    """The byte spans of the runs of words that the hits (first word, number of words) cover."""
+    word = [m.span() for m in WORDS.finditer(text.lower())]
+    out, upto = [], -1
+    for h in sorted(hits, key=lambda h: h["at"]):
+        first, stop = h["at"], h["at"] + h["size"]
+        if out and first <= upto:
+            upto = max(upto, stop)
+            out[-1] = out[-1][0], word[upto - 1][1]
+        else:
+            upto = stop
+            out.append((word[first][0], word[upto - 1][1]))
+    return out
+
+
 def _without(text: bytes, cut: list) -> bytes:
     keep, at = [], 0
     for s, e in sorted(cut):

@@ -75,6 +75,21 @@ def test_removal(spark):
         assert len(words(r["text"])) == w[0] - w[1]
 
 
+def test_removal_beyond_the_bounds(spark, monkeypatch):
+    docs, bench = case(4)
+    d = spark.createDataFrame([(*r, "x") for r in docs + docs[:2]], "doc_id long, text string, gram string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    clean = {remove: sorted(map(str, D.decontaminate(d, b, remove=remove).collect())) for remove in ("documents", "spans")}
+    taken = []
+    monkeypatch.setattr(D, "_hash_set", lambda table: taken.append(1))
+    for grams, size in ((5, 75 << 20), (D.MAX_GRAMS, 100)):  # by number and by bytes
+        monkeypatch.setattr(D, "MAX_BYTES", size, raising=False)
+        for remove, rows in clean.items():
+            out = D.decontaminate(d, b, remove=remove, max_grams=grams)
+            assert out.schema == d.schema and sorted(map(str, out.collect())) == rows
+    assert not taken  # nothing came to the driver
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.scan(d, b).collect() == []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import ship_package
-from . import contentsort, convrepair, decontamination, langid, linededup, lmscore, mixing, pii, quality, simhash, suffixdedup, warc
+from . import contentsort, convrepair, decontamination, langid, linededup, lmscore, mixing, pii, quality, simhash, suffixdedup, veccode, warc
 
 _OPS = {
     "op1_lmscore": (lmscore.op1_lmscore, lmscore.ORACLE_SQL),
@@ -16,6 +16,7 @@ _OPS = {
     "op8_suffixdedup": (suffixdedup.op8_suffixdedup, None),
     "op9_mixing": (mixing.op9_mixing, mixing.ORACLE_SQL),
     "op10_simhash": (simhash.op10_simhash, None),
+    "op11_vectorcodes": (veccode.op11_vectorcodes, veccode.ORACLE_SQL),
     "op12_convrepair": (convrepair.op12_convrepair, convrepair.ORACLE_SQL),
     "op13_exactdedup": (contentsort.op13_exactdedup, contentsort.ORACLE_SQL),
 }

@@ -22,10 +22,17 @@ before a cut, and otherwise those whose block digest holds, if it has more
 than one (of a single one, no digest covers the header). A gap row with the
 reason covers the place of such a member.
 
+A header line must have a token as its name and UTF-8 without control
+characters as its value; WARC-Type, WARC-Record-ID and WARC-Date must be there
+and of their form, as must WARC-Refers-To if it is there. Headers are read to
+their end, up to ``MAX_HEADER`` bytes; a valid record of more than
+``MAX_RECORD`` bytes is quarantined as a gap with that reason.
+
 Cases: a null payload is empty; payloads below ``MIN_REVISIT`` bytes and
 pages that repeat the smallest page_id of their payload are responses; a
 null page_id comes last and refers to the smallest id; a null url is left
-out of the record; control characters in urls are percent-encoded; an empty
+out of the record; control characters in urls are percent-encoded; a url of
+more than ``MAX_URL`` bytes is named by its digest and length; an empty
 table writes nothing and reads back as no rows; other columns are ignored.
 """
 
@@ -50,6 +57,9 @@ MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 #: A record that claims more is taken as damaged.
 MAX_RECORD = 1 << 30
+#: A header that is not ended by then is taken as damaged; longer urls are not written.
+MAX_HEADER = 64 << 20
+MAX_URL = 16 << 20
 READ_BYTES = 256 << 10
 #: A member that unpacks to more is unpacked twice: to check it, and for its records.
 KEPT_BYTES = 4 << 20
@@ -60,6 +70,13 @@ ROWS = ("file string, start long, stop long, kind string, reason string, page_id
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
 _LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n")
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+_TOKEN = r"[!#$%&'*+.^_`|~0-9A-Za-z-]+"
+_ID = r"<[A-Za-z][A-Za-z0-9+.-]*:[^<>\s]+>"
+_NAME = re.compile(_TOKEN.encode())
+_CONTROL = re.compile(r"[\x00-\x08\x0a-\x1f\x7f]")
+#: Fields with a form of their own, the first three of them required.
+_FORMS = {"warc-type": _TOKEN, "warc-record-id": _ID,
+          "warc-date": r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d{1,9})?)?Z)?)?)?", "warc-refers-to": _ID}
 
 
 def _record_id(page_id) -> str:
@@ -78,6 +95,8 @@ def record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: b
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id)}",
             f"WARC-Date: {date}"]
+    if url is not None and len(url.encode()) > MAX_URL:
+        url = f"urn:sha256:{hashlib.sha256(url.encode()).hexdigest()}:{len(url.encode())}"
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
@@ -147,12 +166,7 @@ def _parsed(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Damaged("header not ended")
-    head = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        k, colon, v = line.partition(b":")
-        if not colon:
-            raise Damaged("bad header line")
-        head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+    head = _fields(data[at:stop])
     length = head.get("content-length", "")
     if not re.fullmatch(r"\d{1,18}", length):
         raise Damaged("bad length")
@@ -168,6 +182,26 @@ def _parsed(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     return head, block, end
 
 
+def _fields(header: bytes) -> dict:
+    """The fields below the version line, names in lower case; folded lines are put together."""
+    head = {}
+    for line in re.sub(rb"\r\n[ \t]+", b" ", header).split(b"\r\n")[1:]:
+        k, colon, v = line.partition(b":")
+        try:
+            value = v.decode().strip(" \t")
+        except UnicodeDecodeError:
+            raise Damaged("bad header value") from None
+        if not colon or not _NAME.fullmatch(k):
+            raise Damaged("bad header line")
+        if _CONTROL.search(value):
+            raise Damaged("bad header value")
+        head[k.lower().decode()] = value
+    for i, (name, form) in enumerate(_FORMS.items()):
+        if not re.fullmatch(form, head.get(name, "")) and (i < 3 or name in head):
+            raise Damaged("bad " + name)
+    return head
+
+
 def _payload(block: bytes) -> bytes:
     if not block.startswith(b"HTTP/"):
         return block
@@ -208,8 +242,8 @@ def _unpacked(f, at: int) -> Iterator[tuple[bytes, int]]:
                     pass
                 yield b"".join(parts), pos - len(raw) + i
                 raise Damaged(f"gzip: {str(e)[:60]}") from None
-            raw = z.unconsumed_tail
-            yield part, pos - len(raw) - len(z.unused_data)
+            raw = z.unused_data if z.eof else z.unconsumed_tail  # at the end, the tail may hold the same bytes
+            yield part, pos - len(raw)
 
 
 def _records(parts: Iterator[bytes]) -> Iterator[tuple]:
@@ -232,9 +266,10 @@ def _records(parts: Iterator[bytes]) -> Iterator[tuple]:
         try:
             stop = -1
             if more(5) and data.startswith(b"WARC/", at):
-                size = 1 << 10
-                while (stop := data.find(b"\r\n\r\n", at)) < 0 and size < READ_BYTES and more(size + 1):
-                    size *= 4
+                size, some = 1 << 10, True
+                while stop < 0 and some and size <= MAX_HEADER:
+                    some = more(size)
+                    stop, size = data.find(b"\r\n\r\n", at), size * 4
                 m = _LENGTH.search(data, at, stop + 2) if stop >= 0 else None
                 if not m:
                     raise Damaged("header not ended" if stop < 0 else "bad length")
@@ -326,10 +361,11 @@ def _plain(f, at: int, size: int) -> list:
     """What ``salvage`` gives for the record without compression at ``at``."""
     f.seek(at)
     data = f.read(READ_BYTES)
-    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", data)
-    stop = data.find(b"\r\n\r\n")
-    if stop < 0 or not m or m.start() > stop:
-        raise Damaged("header not ended")
+    while (stop := data.find(b"\r\n\r\n")) < 0 and len(data) < min(MAX_HEADER, size - at):
+        data += f.read(3 * len(data))  # four times as much each time, so little is looked through twice
+    m = _LENGTH.search(data, 0, stop + 2) if stop >= 0 else None
+    if not m:
+        raise Damaged("header not ended" if stop < 0 else "bad length")
     need = stop + 8 + int(m[1])
     if need > min(MAX_RECORD, size - at):
         raise Damaged("wrong length")
@@ -437,7 +473,11 @@ def read_archives(files: DataFrame, payloads: bool = False, tasks: int | None =
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     folder = f"{scratch_path(spark, 'llm')}/warc-{uuid.uuid4().hex[:12]}"
-    rows = read_archives(write(read(spark, sf_dir, "pages"), folder))
+    manifest = write(read(spark, sf_dir, "pages"), folder)
+    rows = staged(read_archives(manifest), "warc-records")
+    written, found = manifest.agg(F.sum("records")).first()[0] or 0, rows.where("kind = 'record'").count()
+    if written != found:
+        raise RuntimeError(f"{written} records written, {found} read back")
     return rows.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -127,6 +127,46 @@ def test_large_members(monkeypatch):
     assert pages(got) == [i for i in range(30) if i != 4] and sum(bool(r[4]) for r in got) == 1
 
 
+def test_any_damaged_header_byte_is_noticed():
+    parts = [rec(i, b"payload %d" % i) for i in range(3)]
+    parts[1] = warc.record(1, "http://h/é", b"", "0" * 64, refers_to=0, revisit=True)
+    whole, at = b"".join(parts), len(parts[0])
+    head = parts[1].index(b"\r\n\r\n") + 4
+    for k in range(head):
+        b = bytearray(whole)
+        b[at + k] ^= 0xFF
+        got = salvaged(bytes(b))
+        assert pages(got) == [0, 2] and [r[:2] for r in got if r[4]] == [(at, at + len(parts[1]))], (k, parts[1][k:k + 20])
+
+
+def test_header_forms():
+    def swapped(a, b):
+        return salvaged(rec(0) + re.sub(a, b, rec(1)) + rec(2))
+
+    for a, b in ((rb"WARC-Type: response\r\n", b""), (rb"WARC-Type: response", b"WARC-Type: re sponse"),
+                 (rb"WARC-Record-ID: [^\r]*\r\n", b""), (rb"<urn", b"urn"), (rb"WARC-Date: [^\r]*", b"WARC-Date: today"),
+                 (rb"WARC-Date", b"WARC Date"), (rb"http://h/1", b"http://h/\xff"), (rb"http://h/1", b"http://h/\x01")):
+        got = swapped(a, b)
+        assert pages(got) == [0, 2] and sum(bool(r[4]) for r in got) == 1, a
+    assert pages(swapped(rb"http://h/1", b"http://h/\r\n 1")) == [0, 1, 2]  # a folded line
+    assert pages(swapped(rb"00:00:00Z", b"00:00:00.123Z")) == [0, 1, 2]
+
+
+def test_long_headers(spark, monkeypatch):
+    long = "http://h/" + "x" * 5_000_000
+    df = spark.createDataFrame([(1, "u", "a", "k"), (2, long, "b", "k"), (3, long[:300_000], "c", "k"), (4, None, "d", "k")], SCHEMA)
+    folder = tempfile.mkdtemp(prefix="warc-test-")
+    for limit in (warc.MAX_URL, 1000):
+        monkeypatch.setattr(warc, "MAX_URL", limit)
+        data = warc.record(2, long, b"x", "0")
+        assert (len(data) > 5_000_000) == (limit > 1000)
+    monkeypatch.undo()
+    for compressed in (True, False):
+        back = warc.read_archives(warc.write(df, f"{folder}/{compressed}", compressed=compressed)).collect()
+        assert sorted((r["page_id"], r["kind"], len(r["url"] or "")) for r in back) == [
+            (1, "record", 1), (2, "record", len(long)), (3, "record", 300_000), (4, "record", 0)]
+
+
 def test_round_trip(spark):
     big = "é" * 200
     rows = [(1, "u", big, "k"), (2, "a b\r\n", big, "k"), (3, None, None, "k"), (4, "u", "", "k"), (None, "u", big, "k"),

@@ -14,13 +14,17 @@ falsely rejects more than its ``alpha``. A rule whose mildest cutoff cannot
 be shown to be safe rejects nothing there.
 
 Texts are read whole, in one pass; what is shuffled is one narrow row per
-labelled document, and the cutoffs come from histograms over the grid.
+labelled document, and the cutoffs come from histograms over the grid. A
+document counts once in the holdout however often its row is repeated (of
+rows with one doc_id and different texts, the one with the least measures);
+documents of different doc_ids count each, also if their texts are alike.
 
 Cases: null and blank texts have no words, hence fail the base rules; a null
-stratum is one of its own; labels that are null, conflict (a document
+stratum is one of its own, apart from the empty one; labels that are null, conflict (a document
 labelled good and bad) or name no document are left out; repeated labels
 count once; repeated documents are each judged alike; without labels no rule
-rejects; columns besides the named ones are never looked at.
+rejects; columns besides the named ones are never looked at, and travel
+inside one struct where whole rows are returned.
 """
 
 from __future__ import annotations
@@ -93,15 +97,45 @@ def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
             yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds)), b.column(1)],
                                   names=[*names, "stratum"])
 
-    d = docs.select("doc_id", F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), "text")
+    d = docs.select("doc_id", F.col(f"`{stratum}`").cast("string").alias("stratum"), "text")
     return python_step(d, rows, f"{MEASURES}, stratum string")
 
 
+def _stirling(n: int) -> float:
+    """ln n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _deviance(x: int, mean: float) -> float:
+    """x ln(x / mean) + mean - x, without cancellation where x is near the mean."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    out, power, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        power *= v * v
+        more = out + power / (2 * j + 1)
+        if more == out:
+            return out
+        out, j = more, j + 1
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial (n, p): each term exact to rounding."""
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-           for i in range(k + 1)]
-    return min(1.0, math.fsum(map(math.exp, log)))
+    """P(X <= k) for X binomial (n, p): the term of k by its saddle point, the others from it, down to negligible ones."""
+    if k >= n:
+        return 1.0
+    if k == 0:
+        return math.exp(n * math.log1p(-p))
+    log = _stirling(n) - _stirling(k) - _stirling(n - k) - _deviance(k, n * p) - _deviance(n - k, n * (1 - p))
+    total = part = 1.0
+    for i in range(k, 0, -1):  # terms rise up to about n p: at most so many are not negligible beside the last
+        part *= i * (1 - p) / ((n - i + 1) * p)
+        total += part
+        if part < 1e-18 * total and i < n * p:
+            break
+    return min(1.0, total * math.exp(log) * math.sqrt(n / (2 * math.pi * k * (n - k))))
 
 
 def safe_cutoff(good: list, n_good: int, bad: list, n_bad: int, alpha: float, level: float) -> float | None:
@@ -120,6 +154,7 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     agreed = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").alias("l_id")).agg(
         F.min("quality").alias("good"), F.max("quality").alias("high")).where("good = high")
     held = features.where("NOT base_failed").join(agreed, F.col("doc_id") == F.col("l_id"))
+    held = held.groupBy("doc_id", "good").agg(F.min(F.struct(*FEATURES, "stratum")).alias("m")).select("good", "m.*")
     # a document above GRID[i] is above every stricter cutoff: one histogram a stratum and rule, GRID's size at most
     cell = [F.struct(F.lit(f).alias("feature"),
                      F.least(F.lit(len(GRID)), F.greatest(F.lit(0), F.floor((F.lit(1.0) - F.col(f)) * 100 + 1e-9)))
@@ -152,7 +187,7 @@ def verdicts(features: DataFrame, table: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("feature") == f, F.col("cutoff"))).alias(f"cut_{f}") for f in FEATURES])
     per = _small(staged(per, "quality-cutoffs"))
     failed = F.concat_ws(",", *[F.when(is_above(F.col(f), F.col(f"cut_{f}")), F.lit(f)) for f in FEATURES])
-    return features.join(per, F.col("stratum") == F.col("c_stratum"), "left").withColumn("rules_failed", failed) \
+    return features.join(per, F.col("stratum").eqNullSafe(F.col("c_stratum")), "left").withColumn("rules_failed", failed) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("rules_failed") == ""))
 
 
@@ -173,11 +208,11 @@ def filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: f
     """``docs`` (all columns) without the documents that a base rule or a certified cutoff rejects; each row is judged by itself."""
     table = cutoffs(staged(measured(docs, stratum), "quality-features"), labels, alpha, delta)
     cell = [F.max(F.when(F.col("feature") == f, F.round((F.lit(1.0) - F.col("cutoff")) * 100 - 1).cast("int"))) for f in FEATURES]
-    per = table.groupBy(F.col("stratum").alias("q_stratum")).agg(F.array(*cell).alias("q_cells"))
+    per = table.groupBy("stratum").agg(F.array(*cell).alias("cells"))
     per = _small(staged(per, "quality-cutoffs"))
-    own = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit(""))
-    d = docs.join(per, own == F.col("q_stratum"), "left").drop("q_stratum")
-    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(row.alias("row"), F.col(f"`{stratum}`").cast("string").alias("own"))
+    d = d.join(per, F.col("own").eqNullSafe(F.col("stratum")), "left").select("row", F.col("row.text").alias("text"), "cells")
 
     def keep(text, cells) -> bool:
         m = measures(text)
@@ -186,10 +221,10 @@ def filtered(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: f
     def kept(batches: Iterator):
         import pyarrow as pa
         for b in batches:
-            good = list(map(keep, byte_column(b, "text"), b.column(len(names)).to_pylist()))
-            yield b.select(names).filter(pa.array(good, pa.bool_()))
+            good = list(map(keep, byte_column(b, "text"), b.column(2).to_pylist()))
+            yield b.select(["row"]).filter(pa.array(good, pa.bool_()))
 
-    return python_step(d, kept, docs.schema)
+    return python_step(d, kept, d.select("row").schema).select("row.*")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_cutoffs_are_certified_and_stop_at_the_first_failure():
     assert Q.safe_cutoff([0] * 99, 1000, [0] * 99, 60, 0.02, 0.01) is None
 
 
-def corpus(n=900, seed=2):
+def corpus(n=1500, seed=2):
     rng = random.Random(seed)
     docs, labels = [], []
     for i in range(n):
@@ -104,3 +104,84 @@ def test_filter_in_one_form(spark, monkeypatch):
         assert out.schema == d.schema
         got = [(r["doc_id"], r["text"]) for r in out.collect()]
         assert sorted(got) == sorted([(i, t) for i, t, _, _ in docs if "!" not in t])
+
+
+def test_binomial_tail_of_large_and_small_holdouts():
+    assert Q.binomial_tail(5, 5, .02) == 1 and math.isclose(Q.binomial_tail(0, 3, .5), .125)
+    for n, k, p in ((7, 3, .02), (4000, 60, .02), (3000, 1500, .5), (100, 99, .02)):
+        q = Fraction(p)
+        exact = float(sum(math.comb(n, i) * q ** i * (1 - q) ** (n - i) for i in range(k + 1)))
+        assert abs(Q.binomial_tail(k, n, p) / exact - 1) < 1e-12
+    assert 0 < Q.binomial_tail(19_990_000, 10 ** 9, .02) < 0.02  # 2.26 standard deviations below the mean
+
+
+def test_a_repeated_row_is_one_of_the_holdout(spark):
+    docs, labels = corpus(40)
+    docs = [d for d in docs for _ in range(10)]  # 400 rows of 40 documents certify nothing
+    table = Q.cutoffs(Q.measured(spark.createDataFrame(docs, DOC)), spark.createDataFrame(labels, LAB))
+    assert table.collect() == []
+
+
+def test_null_stratum_is_apart(spark):
+    rows = [(1, "a " * 60, None, "s", 0), (2, "b " * 60, "", "s", 0)]
+    got = {r["doc_id"]: r["stratum"] for r in Q.measured(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: None, 2: ""}
+
+
+def brute_verdicts(docs, labels):
+    """doc_id -> kept, with whole-number binomial tails and a measure of each rule read off its name."""
+    def ratios(t):
+        n, _, symbols, dup, repeat, failed = brute_base(t)
+        lines = [x for x in t.split("\n") if x.strip(Q.BLANKS)]
+        letters = [c for c in t if c.isalpha()]
+        return failed, [min(1, symbols / n), sum(c.isupper() for c in letters) / max(1, len(letters)), repeat / n,
+                        dup / max(1, len(lines)), min(1, t.count("!") / n)] if n else [0] * 5
+
+    judged = {}
+    for i, q, _ in labels:
+        judged.setdefault(i, set()).add(q)
+    judged = {i: q.pop() for i, q in judged.items() if len(q) == 1 and q <= {0, 1}}
+    m = {i: (lang, *ratios(t or "")) for i, t, lang, *_ in docs}
+    held = {i: m[i] for i in judged if i in m and not m[i][1]}
+    strata = {x[0] for x in held.values()}
+    cut = {}
+    for g in strata:
+        for f in range(5):
+            good, bad = ([x[2][f] for i, x in held.items() if x[0] == g and judged[i] == y] for y in (1, 0))
+            best = 0
+            for c in range(99, 0, -1):  # percent, the mildest first
+                k = sum(100 * v > c + 1e-7 for v in good)
+                tail = sum(math.comb(len(good), i) * 49 ** (len(good) - i) for i in range(k + 1))  # over 50 ** n, alpha 1 / 50
+                if not good or 50 * k >= len(good) or tail * 20 * 5 * len(strata) > 50 ** len(good):
+                    break
+                gain = bad and sum(100 * v > c + 1e-7 for v in bad) / len(bad) - k / len(good)
+                if gain and gain > best:
+                    best, cut[g, f] = gain, c
+    assert len(cut) >= 3
+    return {i: not failed and not any((g, f) in cut and 100 * v > cut[g, f] + 1e-7 for f, v in enumerate(values))
+            for i, (g, failed, values) in m.items()}
+
+
+def test_whole_query_where_cutoffs_are_certified(spark, tmp_path):
+    rng = random.Random(7)
+    docs, labels = [], []
+    for i in range(2600):
+        bad = rng.random() < .2
+        words = [f"w{rng.randrange(9999)}" for _ in range(rng.randrange(52, 70))]
+        for k in range(len(words)):
+            if rng.random() < (.2 if bad else .02):
+                words[k] += "$"
+            if rng.random() < (.3 if bad and i % 3 == 0 else .03):
+                words[k] = words[k].upper() + "!" * (i % 2)
+        if bad and i % 4 == 0:
+            words[20:40] = words[:20]
+        docs.append((i, "\n".join([" ".join(words)] + ["same line"] * (3 if bad and i % 5 == 0 else 0)), ["en", None][i % 2], "s", 0))
+        if rng.random() < .8:
+            labels.append((i, int(not bad), 0))
+    docs += [(9000, None, "en", "s", 0), (9001, "short", "", "s", 0)]
+    labels += labels[:9] + [(3, 0, 0), (3, 1, 0), (None, 1, 0)]
+    spark.createDataFrame(docs, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LAB).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["kept"] for r in Q.op3_quality(spark, str(tmp_path)).collect()}
+    want = brute_verdicts(docs, labels)
+    assert got == want and sum(not k for k in want.values()) > 150

@@ -110,3 +110,45 @@ def stream_state_keys(spark, sf_dir):
 def stream_state_rows(spark, sf_dir):
     """State-store variant: the surviving rows."""
     return _run_state(spark, sf_dir).select("seq", "entity_id", "label")
+
+
+#: Rows a bucket of state, about.
+BUCKET_ROWS = 100_000
+
+
+def _run_keyed(spark, sf_dir):
+    """Where the stream with keyed state has written, and the schema of its input."""
+    from ..streaming import keyed
+    key = ("keyed", id(spark), sf_dir)
+    if key not in _BASES:
+        base = scratch_path(spark, f"stream-keyed-{uuid.uuid4().hex[:8]}")
+        src, files = _source(spark, sf_dir)
+        write_batches(src, f"{base}/in", K, files_per_batch=files)
+        buckets = max(4, src.count() // BUCKET_ROWS)
+        schema = spark.read.parquet(f"{base}/in").schema
+        keyed.keyed_dedupe(spark, f"{base}/in", schema, f"{base}/out", f"{base}/ckpt", buckets=buckets,
+                           partitions=buckets, files_per_batch=files)
+        _BASES[key] = base, schema
+    return _BASES[key]
+
+
+@register("stream_keyed_rows", f"WITH {STREAM_CTES}\nSELECT seq, entity_id, label, text, batch_id FROM first")
+def stream_keyed_rows(spark, sf_dir):
+    """O22 with keyed state (``transformWithState``): the first arrival of each key by order, inside and across batches."""
+    from ..streaming import keyed
+    base, schema = _run_keyed(spark, sf_dir)
+    return keyed.accepted(spark, f"{base}/out", schema).select("seq", "entity_id", "label", "text", "batch_id")
+
+
+@register("stream_keyed_counts", f"""WITH {STREAM_CTES},
+n AS (SELECT batch_id, count(*) AS rows_in FROM batched GROUP BY batch_id),
+m AS (SELECT batch_id, count(*) AS new_rows FROM first GROUP BY batch_id),
+t AS (SELECT sum(rows_in)::BIGINT AS total_in, (SELECT count(*) FROM first) AS total_new FROM n)
+SELECT batch_id, rows_in, coalesce(new_rows, 0) AS new_rows, rows_in - coalesce(new_rows, 0) AS discarded, total_in, total_new
+FROM n LEFT JOIN m USING (batch_id) CROSS JOIN t""")
+def stream_keyed_counts(spark, sf_dir):
+    """Per batch rows in, new and discarded, beside the totals that the state has at the end."""
+    from ..streaming import keyed
+    base, _ = _run_keyed(spark, sf_dir)
+    per, total = keyed.batch_counts(spark, f"{base}/out"), keyed.state_totals(spark, f"{base}/out")
+    return per.join(F.broadcast(total))  # one row

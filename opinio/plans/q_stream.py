@@ -152,3 +152,20 @@ def stream_keyed_counts(spark, sf_dir):
     base, _ = _run_keyed(spark, sf_dir)
     per, total = keyed.batch_counts(spark, f"{base}/out"), keyed.state_totals(spark, f"{base}/out")
     return per.join(F.broadcast(total))  # one row
+
+
+@register("stream_bloom_rows", f"WITH {STREAM_CTES}\nSELECT seq, entity_id, label, batch_id FROM first")
+def stream_bloom_rows(spark, sf_dir):
+    """O22 against stored keys with Bloom filters: the surviving rows."""
+    from ..streaming import keystore
+
+    def build():
+        base = scratch_path(spark, f"stream-bloom-{uuid.uuid4().hex[:8]}")
+        src, files = _source(spark, sf_dir)
+        write_batches(src, f"{base}/in", K, files_per_batch=files)
+        schema = spark.read.parquet(f"{base}/in").schema
+        keystore.bloom_dedupe(spark, f"{base}/in", schema, f"{base}/store", f"{base}/ckpt",
+                              parts=max(4, src.count() // BUCKET_ROWS), files_per_batch=files)
+        return spark.read.parquet(f"{base}/store/rows")
+    return stage(spark, sf_dir, "stream_bloom_rows", build).select(
+        "seq", "entity_id", "label", F.col("batch_id").cast("long").alias("batch_id"))

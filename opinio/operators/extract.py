@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import collapse_ws, norm_key, ustrip
 from ..session import ship_package, staged
+from . import boxscan
 from .dedupe import keep_first, with_review_key
 from .htmlboxes import anchors, outline, review_boxes
 
@@ -124,14 +125,35 @@ def explode_boxes(pages: DataFrame, site: str | None = None) -> DataFrame:
     for an entity's main page (URL ``…/anime/<id>``) the canonical slug
     (O12) when ``site`` is given.
     """
+    ship_package(pages.sparkSession)
+    return page_facts(pages, site).mapInPandas(_boxes_fn, BOX_SCHEMA)
+
+
+def page_facts(pages: DataFrame, site: str | None = None) -> DataFrame:
+    """(page_id, blocked, main_entity, slug, html): what is known of a page without its boxes."""
     html = F.coalesce(F.col("html"), F.lit(""))
     me = entity_from_url("url", MAIN_PAGE_URL)
     slug = (F.when(me.isNotNull(), canonical_slug(html, me, site)) if site
             else F.lit(None).cast("string"))
-    src = pages.select("page_id", html.rlike(BLOCK_RE).alias("blocked"),
-                       me.alias("main_entity"), slug.alias("slug"), "html")
+    return pages.select("page_id", html.rlike(BLOCK_RE).alias("blocked"),
+                        me.alias("main_entity"), slug.alias("slug"), "html")
+
+
+def explode_boxes_mixed(pages: DataFrame, site: str | None = None) -> DataFrame:
+    """Tidy pages by expressions alone, the others by the walk; the same rows as ``explode_boxes``.
+
+    The test of a page is written beside it, so each page is tested once
+    and only untidy pages ever reach a Python worker.
+    """
+    facts = staged(page_facts(pages, site).withColumn("tidy", boxscan.tidy(F.coalesce("html", F.lit("")))), "page-facts")
     ship_package(pages.sparkSession)
-    return src.mapInPandas(_boxes_fn, BOX_SCHEMA)
+    walked = facts.where("NOT tidy").drop("tidy").mapInPandas(_boxes_fn, BOX_SCHEMA)
+    return boxscan.scanned(facts.where("tidy").drop("tidy")).unionByName(walked)
+
+
+def explode_boxes_native(pages: DataFrame, site: str | None = None) -> DataFrame:
+    """O17 by expressions alone, for pages known to be tidy (``boxscan.tidy``)."""
+    return boxscan.scanned(page_facts(pages, site))
 
 
 def entity_bases(entities: DataFrame, boxes: DataFrame, site: str) -> DataFrame:

@@ -81,6 +81,15 @@ def extracted_reviews(spark, sf_dir):
                                          "marker", "label")
 
 
+@register("native_boxes", f"WITH {PAGE_CTES}\nSELECT * FROM recs")
+def native_boxes(spark, sf_dir):
+    """The records from boxes found by expressions: no page of this dump needs the Python walk."""
+    pages = FX.review_pages(spark, sf_dir)
+    bx = stage(spark, sf_dir, "native_boxes", lambda: X.explode_boxes_native(pages, FX.SITE))
+    return X.extract_reviews(FX.crawl_entities(spark, sf_dir), pages, FX.SITE, FX.PAGES_PER_ENTITY, boxes=bx).select(
+        "entity_id", "page", "box_pos", "text", "marker", "label")
+
+
 @register("extracted_negatives", f"""WITH {PAGE_CTES}
 SELECT entity_id, page, box_pos, text, marker, label FROM (
   SELECT *, row_number() OVER (PARTITION BY entity_id, {S.norm('text')}

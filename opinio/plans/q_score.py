@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -81,3 +83,49 @@ def window_model_scores(spark, sf_dir):
                              id_col="seq")
     chunk = win.select("seq", scorer(F.col("input_ids")).alias("score"))
     return TK.document_scores(chunk, id_col="seq").withColumn("score", F.round("score", 9))
+
+
+TRAIN_FEATURES = 1 << 16
+#: Training rows a mini-batch, about.
+BATCH_ROWS = 50_000
+
+
+def trained(spark, sf_dir):
+    """The folder of a run trained by epochs on the train split."""
+    from ..operators import train as TR
+    from ..session import scratch_path
+    key = (id(spark), sf_dir)
+    if key not in _RUNS:
+        s = splits(spark, sf_dir)
+        train = s.where("split = 'train'")
+        out = scratch_path(spark, f"train-{uuid.uuid4().hex[:8]}")
+        TR.train_epochs(train, s.where("split = 'val'"), out, num_features=TRAIN_FEATURES,
+                        buckets=max(4, train.count() // BATCH_ROWS), epochs=(2, 4))
+        _RUNS[key] = out
+    return _RUNS[key]
+
+
+_RUNS: dict = {}
+
+
+@register("training_epochs")
+def training_epochs(spark, sf_dir):
+    """O84 by epochs, its log rolled up (O86) beside validation accuracy and
+    what the rule of the best epoch (O87) makes of it. SQL cannot express
+    the fit; tests/test_train.py holds it against a numpy run."""
+    from ..operators import runs as R
+    from ..operators import train as TR
+    out = trained(spark, sf_dir)
+    states = TR.epoch_states(spark, out).select("epoch", "phase", F.col("accuracy").alias("val_accuracy"))
+    epochs = R.epoch_rollup(TR.batch_log(spark, out)).join(states, "epoch")
+    rule = R.best_and_stop(epochs.select("run_id", "epoch", F.col("val_accuracy").alias("accuracy")), frozen_epochs=2)
+    return epochs.join(rule.select("run_id", "best_epoch", "stop_epoch"), "run_id")
+
+
+@register("trained_test_metrics")
+def trained_test_metrics(spark, sf_dir):
+    """The best epoch's checkpoint scored on the test split."""
+    from ..operators import train as TR
+    out = trained(spark, sf_dir)
+    test = splits(spark, sf_dir).where("split = 'test'").select("seq", "text", "label")
+    return EV.evaluate(TR.scored(test, TR.best_model(spark, out, TRAIN_FEATURES)).select("label", "score"))

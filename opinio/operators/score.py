@@ -11,9 +11,13 @@ predictor built once per Python worker).
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -88,32 +92,81 @@ def select_best(train: DataFrame, val: DataFrame, grid: Sequence[dict],
 
 
 SWEEP = ("run_id string, num_features int, reg_param double, elastic_net double, test_accuracy double, test_loss double, "
-         "test_roc_auc double, test_f1_weighted double, test_f1_macro double")
+         "test_roc_auc double, test_f1_weighted double, test_f1_macro double, status string, reason string")
+
+
+class SweepAborted(RuntimeError):
+    """A run failed under ``on_error="abort"``; ``results`` has a row a run, as ``run_sweep`` gives them."""
+
+    def __init__(self, reason: str, results: DataFrame):
+        super().__init__(reason)
+        self.results = results
 
 
 def run_sweep(train: DataFrame, test: DataFrame, plan: DataFrame, on_error: str = "skip",
-              dry_run: bool = False) -> DataFrame:
+              dry_run: bool = False, at_once: int = 4) -> DataFrame:
     """Fit every run of ``plan`` (see ``runs.fit_plan``) and report its
-    test metrics. A run that fails is left out (``on_error="skip"``) or
-    stops the sweep ("abort"); ``dry_run`` fits nothing and leaves the
-    metrics null. The grid is a few rows; every fit is a distributed job.
+    test metrics, a row a run with ``status`` ("ok", "failed", "cancelled",
+    "planned") and, if it failed, the reason.
+
+    Up to ``at_once`` runs are fitted side by side; all their jobs carry one
+    tag. A failed run leaves its row and the others go on
+    (``on_error="skip"``), or the jobs of the tag are cancelled, runs not
+    begun stay so, and ``SweepAborted`` is raised ("abort"). ``dry_run`` fits
+    nothing. Features are fitted and written once per ``num_features``. The
+    grid is a few rows; every fit is a distributed job.
     """
-    rows = []
-    for r in plan.orderBy("grid_idx").collect():
-        own = (r["run_id"], r["num_features"], r["reg_param"], r["elastic_net"])
-        if dry_run:
-            rows.append((*own, None, None, None, None, None))
-            continue
+    if on_error not in ("skip", "abort"):
+        raise ValueError("on_error is 'skip' or 'abort'")
+    spark = train.sparkSession
+    sc = spark.sparkContext
+    tag, stop, made, lock = f"sweep-{uuid.uuid4().hex[:12]}", threading.Event(), {}, threading.Lock()
+    runs = plan.orderBy("grid_idx").select("run_id", "num_features", "reg_param", "elastic_net").collect()
+    held = test.select("label", "text")
+
+    def features(n):
+        """The feature model and written training features of ``n`` features: one run makes them, the others wait."""
+        with lock:
+            mine = n not in made
+            one = made.setdefault(n, Future())
+        if mine:
+            try:
+                f = feature_pipeline(n).fit(train)
+                one.set_result((f, staged(f.transform(_with_y(train, "label")).select("_features", "_y"), "fit-features")))
+            except Exception as e:
+                one.set_exception(e)
+        return one.result()
+
+    def fit(run):
+        none = (None,) * 5
+        if dry_run or stop.is_set():
+            return (*run, *none, "planned" if dry_run else "cancelled", None)
+        sc.addJobTag(tag)
         try:
-            m = fit_classifier(train, num_features=own[1], reg_param=own[2], elastic_net=own[3])
-            e = evaluate(staged(score_with(m, test.select("label", "text")).select("label", "score"), "sweep-scores")).first()
-        except Exception:
+            f, data = features(run["num_features"])
+            m = PipelineModel([*f.stages, regression(reg_param=run["reg_param"], elastic_net=run["elastic_net"]).fit(data)])
+            e = evaluate(staged(score_with(m, held).select("label", "score"), "sweep-scores")).first()
+        except Exception as e:
+            reason = f"{type(e).__name__}: {e}".splitlines()[0][:500]
+            if stop.is_set():
+                return (*run, *none, "cancelled", reason)
             if on_error == "abort":
-                raise
-            continue
+                stop.set()
+                sc.cancelJobsWithTag(tag)
+            return (*run, *none, "failed", reason)
+        finally:
+            sc.removeJobTag(tag)
         auc = None if e["roc_auc"] != e["roc_auc"] else e["roc_auc"]
-        rows.append((*own, e["accuracy"], e["loss"], auc, e["f1_weighted"], e["f1_macro"]))
-    return leaderboard(train.sparkSession.createDataFrame(rows, SWEEP))
+        return (*run, e["accuracy"], e["loss"], auc, e["f1_weighted"], e["f1_macro"], "ok", None)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        # each thread is a Spark thread of its own, so that tags do not mix
+        rows = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(fit), r) for r in runs]]
+    results = leaderboard(spark.createDataFrame(rows, SWEEP))
+    failed = next((r for r in rows if r[-2] == "failed"), None)
+    if failed and on_error == "abort":
+        raise SweepAborted(f"run {failed[0]}: {failed[-1]}", results)
+    return results
 
 
 def batch_scorer(make_predict_fn: Callable, batch_size: int = 16,

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, key_hash, norm_key
+from ..session import staged
 
 
 def with_review_key(df: DataFrame, text_col: str = "text",
@@ -39,25 +40,30 @@ def keep_first(df: DataFrame, keys: Sequence[str],
     """Keep the first row (smallest ``order``) of each ``keys`` group.
 
     ``order`` is one column or several (a file ordinal, an id, page and
-    position), unique within a group. A null comes last in it: such a row
-    loses to any row that has a place. Rows tied for the first place stay.
+    position). A null comes last in it: such a row loses to any row that has
+    a place. Of rows tied for the first place one stays: that of the least
+    hash of its columns, and of equal rows any one.
+
+    The input is evaluated once: it is written with a number a row, and the
+    branches below read narrow columns of what was written.
     """
     cols = [order] if isinstance(order, str) else list(order)
-
-    def place():
-        return F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(c) for c in cols])
-
-    plain = len(cols) == 1 and not df.schema[cols[0]].nullable
-    narrow = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                       (F.col(cols[0]) if plain else place()).alias("_o"))
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    number = F.hash(*plain).cast("decimal(10,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.monotonically_increasing_id()
+    d = staged(df.withColumn("_tie", number.cast("decimal(38,0)")), "keep-first")
+    # one column: its minimum skips nulls, as wanted
+    place = F.col(cols[0]) if len(cols) == 1 else F.struct(
+        *[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(c) for c in cols])
     ks = [f"_k{i}" for i in range(len(keys))]
+    narrow = d.select(*[F.col(k).alias(n) for k, n in zip(keys, ks)], place.alias("_o"), "_tie")
     groups = narrow.groupBy(*[F.col(k).alias(f"_g{k}") for k in ks]).agg(
         F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in ks])
-    losers = narrow.join(groups, same).where("_o <> _first").select(*ks, "_o")
-    d = df.withColumn("_place", F.col(cols[0]) if plain else place())
-    gone = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]) & (F.col("_place") == F.col("_o"))
-    return d.join(losers, on=gone, how="left_anti").select(*df.columns)
+    again = narrow.join(groups, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in ks])).select(
+        *ks, "_tie", F.col("_o").eqNullSafe(F.col("_first")).alias("_is_first"))
+    stays = again.where("_is_first").groupBy(*[F.col(k).alias(f"_s{k}") for k in ks]).agg(F.min("_tie").alias("_keep"))
+    losers = again.join(stays, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in ks])).where(
+        "_tie <> _keep").select(F.col("_tie").alias("_gone"))
+    return d.join(losers, F.col("_tie") == F.col("_gone"), "left_anti").select(*df.columns)
 
 
 def keep_first_by_text(df: DataFrame, keys: Sequence[str] = ("entity_id",),

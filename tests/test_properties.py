@@ -29,6 +29,21 @@ def test_keep_first_brute_force(spark, rows, parts):
     assert sorted(r["seq"] for r in again.collect()) == got
 
 
+def test_keep_first_leaves_one_of_tied_rows(spark):
+    rows = [(None, "a", "x", 1), (None, "a", "y", 1), (3, "b", "x", 1), (3, "b", "y", 1), (3, "b", "y", 1), (4, "b", "z", 1),
+            (None, "c", "x", 1), (7, "c", "y", 1), (None, None, "x", 1), (None, None, "x", 1)]
+    df = spark.createDataFrame(rows, "seq long, k string, v string, n int")
+    seen = set()
+    for parts in (1, 3, 7):
+        got = keep_first(df.repartition(parts), ["k"], "seq").collect()
+        assert sorted(str(r["k"]) for r in got) == ["None", "a", "b", "c"]
+        assert {r["k"]: r["seq"] for r in got} == {"a": None, "b": 3, "c": 7, None: None}
+        seen.add(tuple(sorted((str(r["k"]), r["v"]) for r in got)))
+        two = keep_first(df.repartition(parts), ["k"], ["n", "seq"]).collect()
+        assert sorted(str(r["seq"]) for r in two) == ["3", "7", "None", "None"]
+    assert len(seen) == 1  # the same rows however they are dealt
+
+
 @SETTINGS
 @given(labels=st.lists(st.integers(0, 1), min_size=2, max_size=150),
        seed=st.integers(0, 1000))

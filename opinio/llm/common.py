@@ -32,6 +32,17 @@ def narrow(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def boxed(docs: DataFrame, *cols: str) -> DataFrame:
+    """``row`` (all columns in one struct), the named columns and ``key`` (``row_key``): names of other columns never clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), *[F.col(f"`{c}`") for c in cols], row_key().alias("key"))
+
+
+def unboxed(df: DataFrame, docs: DataFrame, **fresh: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``row``, those in ``fresh`` replaced."""
+    return df.select(*[(fresh[c].cast(docs.schema[c].dataType) if c in fresh else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def row_key(text: str = "text") -> Column:
     """Identity of a row besides its doc_id, so that repeated or null ids never multiply in joins."""
     return F.xxhash64(F.col(text), F.isnull(text))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import byte_column, chunked, narrow, python_step, read, row_key, staged
+from .common import boxed, byte_column, chunked, narrow, python_step, read, row_key, staged, unboxed
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 N = 10
@@ -223,10 +223,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = N, remove: str = "
 
     if not _fits(table, max_grams):
         hits = hits_by_join(docs, table)
-        d = docs.withColumn("g_row", row_key())
-        on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("g_row") == F.col("w_key"))
+        d = boxed(docs, "doc_id")
+        on = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))
         if remove == "documents":
-            return d.join(hits.select("w_id", "w_key").distinct(), on, "left_anti").drop("g_row")
+            return unboxed(d.join(hits.select("w_id", "w_key").distinct(), on, "left_anti"), docs)
         per = hits.groupBy("w_id", "w_key").agg(F.collect_set(F.struct("at", "size")).alias("g_hits"))  # at most the text's windows
 
         def joined(batches: Iterator):
@@ -235,8 +235,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = N, remove: str = "
                 cut = [_spans(t, h) if h else [] for t, h in zip(texts, b.column(len(names)).to_pylist())]
                 yield without(b.select(names), texts, cut)
 
-        names, schema = docs.columns, docs.schema
-        return python_step(d.join(per, on, "left").drop("g_row", "w_id", "w_key"), joined, schema)
+        names, schema, last = docs.columns, docs.schema, "hits"
+        while last.lower() in {c.lower() for c in names}:
+            last += "_"
+        return python_step(d.join(per, on, "left").select("row.*", F.col("g_hits").alias(last)), joined, schema)
     shared = _hash_set(table)
 
     def rows(batches: Iterator):

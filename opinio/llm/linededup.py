@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, python_step, read, row_key, staged
+from .common import boxed, byte_column, python_step, read, row_key, staged, unboxed
 from .components import components
 
 MAX_EDITS = 2
@@ -457,8 +457,7 @@ def covered(docs: DataFrame, gone: DataFrame, min_chars: int = MIN_CHARS) -> Dat
 
 def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
     g = gone.select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "gone", "near")
-    return docs.withColumn("g_row", row_key()).join(
-        g, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("g_row") == F.col("g_key")), "left")
+    return boxed(docs, "doc_id").join(g, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("key") == F.col("g_key")), "left")
 
 
 def without(text: bytes | None, gone) -> bytes | None:
@@ -478,13 +477,14 @@ def deduplicated(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS
     """
     gone = staged(repeated(docs, k, min_chars), "line-repeated")
     copies = staged(covered(docs, gone, min_chars), "line-covered")
-    d = _joined(docs, gone).join(copies, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("g_row") == F.col("c_key")), "left_anti")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    d = d.withColumn("g_text", text).where(F.col("gone").isNull() | F.col("g_text").rlike(r"[^\x20\x09-\x0D]"))
-    fresh = {"text": F.col("g_text"), "n_chars": F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(
-        F.length("g_text").cast("long")) if "n_chars" in docs.columns else None}
-    return d.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns])
+    d = _joined(docs, gone).join(copies, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")), "left_anti")
+    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    d = d.withColumn("left", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept))
+    d = d.where(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    fresh = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast("long"))
+    return unboxed(d, docs, **fresh)
 
 
 def digest(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -502,7 +502,7 @@ def digest(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> D
                                   names=["doc_id", "n_lines", "n_removed", "n_near", "kept_sha256"])
 
     d = docs.select("doc_id", "text")
-    return python_step(_joined(d, staged(repeated(d, k, min_chars), "line-repeated")).select("doc_id", "text", "gone", "near"), rows,
+    return python_step(_joined(d, staged(repeated(d, k, min_chars), "line-repeated")).select("doc_id", F.col("row.text").alias("text"), "gone", "near"), rows,
                        "doc_id long, n_lines long, n_removed long, n_near long, kept_sha256 string")
 
 

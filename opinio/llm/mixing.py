@@ -26,7 +26,8 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, read, row_key, staged
+from ..session import small
+from .common import boxed, narrow, read, row_key, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of the shuffle order of a source: 16 ** SLICE_DIGITS.
@@ -121,17 +122,19 @@ def mixed(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
     A row is read ``ceil(mix_taken / mix_size)`` times, the last time its
     first words only if ``mix_taken`` is no multiple of ``mix_size``.
     Repeated rows (same doc_id, source and text) are one row that is as
-    often in the result as in ``docs``, each taking the group's average.
+    often in the result as in ``docs``, each taking the group's average. A
+    column of ``docs`` with the name of a result is returned as ``input_<name>``.
     """
-    d = docs.withColumn("mix_row", row_key())
+    results = ("mix_size", "mix_target", "mix_taken", "mix_position")
     share = mix(docs, weights, max_epochs, by_row=True).select(
         F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("row").alias("m_row"),
         F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"),
         F.col("position").alias("mix_position"))
     share = share.groupBy("m_id", "m_source", "m_row", "mix_size", "mix_target").agg(
         F.ceil(F.avg("mix_taken")).alias("mix_taken"), F.min("mix_position").alias("mix_position")).where("mix_taken > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("mix_row") == F.col("m_row"))
-    return d.join(share, same).select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_target", "mix_taken", "mix_position")
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("key") == F.col("m_row"))
+    own = [F.col(f"row.`{c}`").alias(f"input_{c}" if c.lower() in results else c) for c in docs.columns]
+    return boxed(docs, "doc_id", "source").join(share, same).select(*own, *results)
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, by_row: bool = False) -> DataFrame:
@@ -153,7 +156,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, by_row: bool =
     # a group of alike rows shares its words: whole words first to the first rows
     share = F.floor(F.col("taken") / F.col("copies")) + F.when(F.col("nth") <= F.col("taken") % F.col("copies"), 1).otherwise(0)
     t = targets.withColumnRenamed("source", "t_source").drop("goal", "budget")
-    return rows.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("t_source"))).select(
+    t = staged(t, "mix-shares")
+    return rows.join(small(t), F.col("source").eqNullSafe(F.col("t_source"))).select(
         "doc_id", "size", "source_size", "target",
         F.coalesce(share, F.lit(0)).cast("long").alias("taken"), "position", *(["source", "row"] if by_row else []))
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, python_step, read, row_key, staged
+from .common import boxed, byte_column, python_step, read, row_key, staged, unboxed
 from .components import components
 
 SHINGLE = 3
@@ -256,9 +256,9 @@ def one_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("n"))
     keep = staged(first.select(F.col("first.doc_id").alias("k_id"), F.col("first.key").alias("k_key")), "simhash-keep")
-    kept = docs.withColumn("k_row", row_key()).join(
-        keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_row") == F.col("k_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "k_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = boxed(docs, "doc_id").join(
+        keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key")), "left_semi")
+    return unboxed(kept.dropDuplicates(["doc_id", "key"]), docs)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

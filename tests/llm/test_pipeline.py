@@ -71,3 +71,32 @@ def test_registered():
     import __spark_entry__ as E
     names = E.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_columns_named_like_helpers(spark, tmp_path, monkeypatch):
+    """Values of other columns are unchanged in all stages, whatever they are called."""
+    from pyspark.sql import functions as F
+
+    from opinio.llm import decontamination
+    names = ["gone", "near", "g_row", "g_text", "g_id", "g_key", "c_id", "c_key", "left", "row", "key", "k_row", "k_id", "m_id", "m_row",
+             "mix_row", "mix_size", "q_cells", "q_stratum", "cells", "own", "stratum", "w_id", "w_key", "g_hits", "hits", "size"]
+    docs, bench = planted()
+    sf = str(tmp_path)
+    d = spark.createDataFrame(docs, DOC).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 150, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+
+    def same(out, columns):
+        got = out.collect()
+        assert len(got) > 100 and all(r[c] == f"{c.removeprefix('input_')}{r['doc_id']}" for r in got for c in columns)
+
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, d, sf)
+        assert out.columns == d.columns
+        same(out, names)
+    whole = P.STAGES[-1][1](spark, d, sf)
+    assert "input_mix_size" in whole.columns and len(set(whole.columns)) == len(whole.columns)
+    same(whole, [n for n in names if n != "mix_size"] + ["input_mix_size"])
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for remove in ("documents", "spans"):  # a benchmark beyond its bound
+        same(decontamination.decontaminate(d, items, remove=remove, max_grams=0), names)

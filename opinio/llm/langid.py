@@ -7,8 +7,8 @@ code-switched text is labelled word by word; a document's language is the
 label with the largest sum of marginals, and that label's share is its score.
 
 Training: the lexicon counts words by language over all training documents
-(a grouped count; the words above a count threshold chosen so that at most
-``lexicon_words`` are left go into the model). The field itself is fitted by
+(a grouped count; each label's words above a count threshold go into the
+model, chosen so that they are at most its share of ``lexicon_words``). The field itself is fitted by
 Adam on a bounded sample: ``docs_per_label`` documents per label by a hash
 of their text, ``SEGMENTS`` segments of ``SEGMENT_WORDS`` words each, from
 all over the text; segments of different languages are put together, so the
@@ -20,7 +20,7 @@ fixed by the parameters), texts are read whole.
 Cases: null texts and texts without a letter are ``und`` with score 0; so is
 everything if there is no labelled training text; rows with a null lang
 are predicted, but not learned from; repeated rows are predicted alike;
-labels beyond the ``max_labels`` most frequent are not learned; columns
+every label is learned, however rare; columns
 besides the named ones are never looked at.
 """
 
@@ -38,17 +38,24 @@ from pyspark.sql import functions as F
 
 from .common import chunked, python_step, read, staged
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits (fractions, superscripts, letter numbers).
+_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x32400)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 HASH_SIZE = 1 << 16
 LEXICON_WORDS = 50_000
 DOCS_PER_LABEL = 400
-MAX_LABELS = 64
 SEGMENTS, SEGMENT_WORDS = 4, 32
 #: Longer words (run-together junk) are left out of the training sample.
 MAX_SAMPLE_WORD = 64
 EPOCHS, BATCH, RATE, DECAY = 5, 64, 0.05, 1e-4
-#: Word scores that a worker keeps.
-CACHE_WORDS = 300_000
+#: Words whose scores a worker keeps, and scores in all.
+CACHE_WORDS, CACHE_SCORES = 300_000, 1 << 24
+
+
+def words_of(text: str | None) -> list:
+    """The words (runs of letters), in lower case one by one, so that each is still one word."""
+    found = WORD.findall(text) if text else []
+    return " ".join(found).lower().split(" ") if found else []
 
 
 def held_out():
@@ -204,7 +211,7 @@ def _train_rows(docs: DataFrame) -> DataFrame:
 
 
 def lexicon_of(train: DataFrame, labels: list, words: int = LEXICON_WORDS) -> dict:
-    """word -> counts by label: the most frequent words over all training documents, ``words`` at most."""
+    """word -> counts by label, over all training documents: the most frequent words of each label, ``words`` in all at most."""
 
     def counts(batches: Iterator):
         import pyarrow as pa
@@ -214,7 +221,7 @@ def lexicon_of(train: DataFrame, labels: list, words: int = LEXICON_WORDS) -> di
             found = [Counter() for _ in labels]
             for t, g in zip(texts, langs):
                 if g in index:
-                    found[index[g]].update(WORD.findall(t.lower()))
+                    found[index[g]].update(words_of(t))
             for i, c in enumerate(found):
                 yield pa.record_batch([pa.array(list(c), pa.string()), pa.array([i] * len(c), pa.int32()),
                                        pa.array(list(c.values()), pa.int64())], names=["word", "label", "n"])
@@ -223,17 +230,24 @@ def lexicon_of(train: DataFrame, labels: list, words: int = LEXICON_WORDS) -> di
         F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("label") == i, F.col("n"))), F.lit(0)).alias(f"c{i}")
                                      for i in range(len(labels))])
     per = staged(per.where("total > 1"), "lang-words")
-    # the smallest threshold (on a log scale) that leaves at most so many words
-    level = F.floor(F.log2("total") * 16)
-    hist = per.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.col("level").desc()).collect()
-    kept, least = 0, None
-    for r in hist:
-        if kept + r["n"] > words:
-            break
-        kept, least = kept + r["n"], r["level"]
-    if least is None:
-        return {}
-    rows = per.where(level >= least).collect()
+    # an equal share for each label: of its words, those above a threshold on a log scale that leaves at most so many
+    share = max(1, words // max(1, len(labels)))
+    level = F.floor(F.log2("n") * 16)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("label"), F.col(f"c{i}").alias("n")) for i in range(len(labels))]))
+    hist = per.select(each.alias("x")).select("x.*").where("n > 0").groupBy("label", level.alias("level")).agg(F.count("*").alias("n"))
+    kept, least = [0] * len(labels), [None] * len(labels)
+    full = [False] * len(labels)
+    for r in hist.orderBy("label", F.col("level").desc()).collect():  # labels x some hundred levels
+        i = r["label"]
+        full[i] = full[i] or kept[i] + r["n"] > share
+        if not full[i]:
+            kept[i], least[i] = kept[i] + r["n"], r["level"]
+    rows = []
+    for i in range(len(labels)):
+        if least[i] is not None:
+            rows += per.where((F.col(f"c{i}") > 0) & (F.floor(F.log2(F.greatest(F.lit(1), F.col(f"c{i}"))) * 16) >= least[i])).collect()
+        elif full[i]:  # its most frequent words are more than its share and alike in number
+            rows += per.where(f"c{i} > 0").orderBy(F.desc(f"c{i}"), "word").limit(share).collect()
     return {r["word"]: [r[f"c{i}"] for i in range(len(labels))] for r in rows if len(r["word"]) <= MAX_SAMPLE_WORD}
 
 
@@ -248,7 +262,7 @@ def sample(train: DataFrame, sizes: dict, docs_per_label: int = DOCS_PER_LABEL)
         for b in batches:
             out = []
             for t, g, x in zip(*(c.to_pylist() for c in b.columns)):
-                words = [w for w in WORD.findall(t.lower()) if len(w) <= MAX_SAMPLE_WORD]
+                words = [w for w in words_of(t) if len(w) <= MAX_SAMPLE_WORD]
                 if words:
                     n = min(SEGMENTS, max(1, len(words) // SEGMENT_WORDS))
                     room = max(0, len(words) - SEGMENT_WORDS)
@@ -275,10 +289,10 @@ def sequences(sampled: list, labels: list, seed: int = 11) -> list:
     return parts[:half] + [a + b for a, b in zip(parts[half::2], parts[half + 1::2])]
 
 
-def train(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL, lexicon_words: int = LEXICON_WORDS,
-          max_labels: int = MAX_LABELS) -> Field:
+def train(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL, lexicon_words: int = LEXICON_WORDS) -> Field:
+    """Fit a field for every label of the training rows."""
     rows = _train_rows(docs)
-    top = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_labels).collect()
+    top = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     sizes = {r["lang"]: r["n"] for r in top}
     labels = sorted(sizes)
     field = Field(labels, lexicon_of(rows, labels, lexicon_words) if labels else {})
@@ -293,7 +307,8 @@ class Tagger:
     def __init__(self, field: Field):
         self.field = field
         self.index: dict = {}
-        self.scores = np.empty((CACHE_WORDS + 1, len(field.labels)), np.float32)
+        self.most = min(CACHE_WORDS, CACHE_SCORES // max(1, len(field.labels)))
+        self.scores = np.empty((self.most + 1, len(field.labels)), np.float32)
 
     def ids(self, words: list) -> list:
         index = self.index
@@ -309,11 +324,11 @@ class Tagger:
 
     def words(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of all words of the texts (str or None), and the texts' numbers of words."""
-        if len(self.index) > CACHE_WORDS:
-            self.index, self.scores = {}, np.empty((CACHE_WORDS + 1, len(self.field.labels)), np.float32)
+        if len(self.index) > self.most:
+            self.index, self.scores = {}, np.empty((self.most + 1, len(self.field.labels)), np.float32)
         lengths, words = [], []
         for t in texts:
-            found = WORD.findall(t.lower()) if t else ()
+            found = words_of(t)
             lengths.append(len(found))
             words += found
         ids = self.ids(words)
@@ -379,7 +394,7 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 best = tagger.words([t])[0].argmax(axis=1) if field.labels else []
-                words = WORD.findall(t) if t else []
+                words = WORD.findall(t) if t else []  # one for one those of words_of
                 yield pa.record_batch([pa.array([i], pa.int64()), pa.array([words[:len(best)]], pa.list_(pa.string())),
                                        pa.array([[field.labels[k] for k in best]], pa.list_(pa.string()))], names=["doc_id", "words", "labels"])
 

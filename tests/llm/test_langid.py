@@ -74,3 +74,34 @@ def test_held_out_accuracy(spark):
     langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = G.op4_langid(spark, sf).join(langs, "doc_id").where("held_out AND lang IS NOT NULL").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+def test_letters_by_category():
+    assert G.words_of("½ ² Ⅷ ١ 12 _") == [] and G.words_of(None) == [] and G.words_of("") == []
+    assert G.words_of("Aé1b½c ΟΔΟΣ 東京") == ["aé", "b", "c", "οδος", "東京"]
+    for t in ("İstanbul Şehir", "a İ b", "ẞ ﬁ"):
+        assert len(G.words_of(t)) == len(G.WORD.findall(t))
+
+
+def test_numerals_are_undetermined_and_labels_stay_aligned(spark):
+    docs = spark.createDataFrame(docs_of(), SCHEMA)
+    field = G.train(docs)
+    odd = spark.createDataFrame([(1, "½ ² Ⅷ", None), (2, "İstanbul x", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in G.predict(odd, field).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] in field.labels
+    words = {r["doc_id"]: (r["words"], r["labels"]) for r in G.label_words(odd, field).collect()}
+    assert words[2][0] == ["İstanbul", "x"] and len(words[2][1]) == 2 and words[1] == ([], [])
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 70) * 3} {chr(0x4E00 + i % 70) * 2} {'abcdefg'[i % 7] * 4}", f"l{i % 70:02d}") for i in range(700)]
+    field = G.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs_per_label=10)
+    assert len(field.labels) == 70
+
+
+def test_lexicon_has_a_share_for_each_label(spark):
+    """A large language does not crowd out a small one."""
+    rows = [("big", f"b{'xyz'[i % 3]}{'abcdefghij'[i % 10]} " * 50) for i in range(60)] + [("small", "sa sb sc")] * 3
+    train = spark.createDataFrame([(t, g) for g, t in rows], "text string, lang string")
+    lexicon = G.lexicon_of(train, ["big", "small"], 8)
+    assert {"sa", "sb", "sc"} <= set(lexicon) and len(lexicon) <= 8 and any(w.startswith("b") for w in lexicon)

@@ -38,9 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import chunked, python_step, read, staged
 
-#: Word characters that are neither letters nor decimal digits (fractions, superscripts, letter numbers).
-_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x32400)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: Runs of word characters without decimal digits; numerals among them (fractions, superscripts) are taken out after.
+WORD = re.compile(r"[^\W\d_]+")
 HASH_SIZE = 1 << 16
 LEXICON_WORDS = 50_000
 DOCS_PER_LABEL = 400
@@ -52,9 +51,17 @@ EPOCHS, BATCH, RATE, DECAY = 5, 64, 0.05, 1e-4
 CACHE_WORDS, CACHE_SCORES = 300_000, 1 << 24
 
 
-def words_of(text: str | None) -> list:
-    """The words (runs of letters), in lower case one by one, so that each is still one word."""
+def letter_runs(text: str | None) -> list:
+    """The words of a text: its runs of letters."""
     found = WORD.findall(text) if text else []
+    if found and not "".join(found).isalpha():
+        found = [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split(" ") if x]
+    return found
+
+
+def words_of(text: str | None) -> list:
+    """The words in lower case, one by one, so that each is still one word."""
+    found = letter_runs(text)
     return " ".join(found).lower().split(" ") if found else []
 
 
@@ -394,7 +401,7 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 best = tagger.words([t])[0].argmax(axis=1) if field.labels else []
-                words = WORD.findall(t) if t else []  # one for one those of words_of
+                words = letter_runs(t)  # one for one those of words_of
                 yield pa.record_batch([pa.array([i], pa.int64()), pa.array([words[:len(best)]], pa.list_(pa.string())),
                                        pa.array([[field.labels[k] for k in best]], pa.list_(pa.string()))], names=["doc_id", "words", "labels"])
 

@@ -80,7 +80,7 @@ def test_letters_by_category():
     assert G.words_of("½ ² Ⅷ ١ 12 _") == [] and G.words_of(None) == [] and G.words_of("") == []
     assert G.words_of("Aé1b½c ΟΔΟΣ 東京") == ["aé", "b", "c", "οδος", "東京"]
     for t in ("İstanbul Şehir", "a İ b", "ẞ ﬁ"):
-        assert len(G.words_of(t)) == len(G.WORD.findall(t))
+        assert len(G.words_of(t)) == len(G.letter_runs(t))
 
 
 def test_numerals_are_undetermined_and_labels_stay_aligned(spark):

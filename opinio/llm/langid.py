@@ -61,6 +61,10 @@ def letter_runs(text: str | None) -> list:
 
 def words_of(text: str | None) -> list:
     """The words in lower case, one by one, so that each is still one word."""
+    low = (text or "").lower()
+    found = WORD.findall(low)
+    if low.isascii() or len(low) == len(text) and "".join(found).isalpha():
+        return found  # lowering has kept every character in its place
     found = letter_runs(text)
     return " ".join(found).lower().split(" ") if found else []
 

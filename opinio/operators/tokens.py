@@ -135,8 +135,9 @@ def window_starts(n: Column, window: int, stride: int) -> Column:
 
 
 def sliding_windows(ids_df: DataFrame, max_len: int = 320, stride: int = 64,
-                    id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """O72 + O73: one row per (document, chunk) with framed ids and mask.
+                    id_col: str = "doc_id", ids_col: str = "ids", pad: bool = True) -> DataFrame:
+    """O72 + O73: one row per (document, chunk) with framed ids and mask;
+    without ``pad`` as long as the chunk is (O64).
 
     window = max_len - 2, step = max(1, window - stride) (stride is the
     overlap). ``window <= 0`` degrades to one truncated chunk.
@@ -149,7 +150,7 @@ def sliding_windows(ids_df: DataFrame, max_len: int = 320, stride: int = 64,
         starts = window_starts(F.size(ids), w, stride)
         chunks = F.transform(starts, lambda s: F.slice(ids, s + 1, w))
     ex = ids_df.select(id_col, F.posexplode(chunks).alias("chunk", "chunk_ids"))
-    fids, mask = frame(F.col("chunk_ids"), max_len, True)
+    fids, mask = frame(F.col("chunk_ids"), max_len, pad)
     return ex.select(id_col, "chunk", "chunk_ids", fids.alias("input_ids"),
                      mask.alias("attention_mask"))
 

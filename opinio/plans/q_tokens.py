@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import batches as BA
 from ..operators import corpus as CO
 from ..operators import tokens as TK
 from ..sources.fixtures import reviews_raw
@@ -16,6 +17,8 @@ MAX_LEN = 320
 STRIDE = 64
 MLM_LEN = 256
 SEED = 42
+BATCH = 16
+SPAN = 32
 
 
 def docs(spark, sf_dir):
@@ -176,3 +179,44 @@ def mlm_masking(spark, sf_dir):
     """Examples from windows of the whole text, side by side (no overlap): every word gets its chance."""
     w = TK.sliding_windows(ids(spark, sf_dir), MLM_LEN, 0)
     return TK.mlm_mask(w, VOCAB, 0.15, SEED, 0)
+
+
+_BATCH_CTES = f"""{_win_ctes(MLM_LEN - 2, MLM_LEN - 2)},
+enc AS (SELECT doc_id, chunk, list_concat([2], chunk_ids, [3]) AS input_ids, len(chunk_ids) + 2 AS length FROM win),
+mlm AS (SELECT doc_id, chunk, length, (length - 1) // {SPAN} AS span,
+  list_transform(input_ids, lambda x, i: CASE WHEN {_CHOSEN} THEN {_REPL} ELSE x END) AS masked_ids,
+  list_transform(input_ids, lambda x, i: CASE WHEN {_CHOSEN} THEN x ELSE -100 END) AS labels FROM enc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY
+  md5(concat_ws('|', '{SEED}', '0', CAST(doc_id AS VARCHAR), CAST(chunk AS VARCHAR))), doc_id, chunk) - 1 AS place FROM mlm),
+dealt AS (SELECT *, place // {BATCH} AS batch, CAST(place % {BATCH} AS INTEGER) AS slot,
+  max(length) OVER (PARTITION BY span, place // {BATCH}) AS width FROM placed),
+steps AS (SELECT span, batch, row_number() OVER (ORDER BY
+  md5(concat_ws('|', '{SEED}', '0', CAST(span AS VARCHAR), CAST(batch AS VARCHAR))), span, batch) - 1 AS step
+  FROM (SELECT DISTINCT span, batch FROM dealt)),
+batched AS (SELECT step, slot, CAST(width AS INTEGER) AS width, CAST(length AS INTEGER) AS length, doc_id, chunk,
+  list_resize(masked_ids, width, 0) AS masked_ids, list_resize(labels, width, -100) AS labels,
+  list_resize(list_transform(masked_ids, lambda x: 1), width, 0) AS attention_mask
+  FROM dealt JOIN steps USING (span, batch))"""
+
+
+def batched(spark, sf_dir):
+    def build():
+        w = TK.sliding_windows(ids(spark, sf_dir), MLM_LEN, 0, pad=False)
+        masked = TK.mlm_mask(w, VOCAB, 0.15, SEED, 0)
+        return BA.padded_batches(masked, ["doc_id", "chunk"], {"masked_ids": TK.PAD_ID, "labels": -100}, BATCH, SPAN, SEED, 0)
+    return stage(spark, sf_dir, "mlm_batches", build)
+
+
+@register("mlm_batches", f"WITH {_BATCH_CTES}\nSELECT * FROM batched")
+def mlm_batches(spark, sf_dir):
+    """The masked examples of whole texts in batches of about equal length, padded to the longest of each."""
+    return batched(spark, sf_dir)
+
+
+@register("mlm_padding", f"""WITH {_BATCH_CTES},
+r AS (SELECT count(*) AS n_rows, count(DISTINCT step) AS n_batches, CAST(sum(length) AS BIGINT) AS n_tokens,
+  CAST(sum(width) AS BIGINT) AS n_cells FROM batched)
+SELECT *, 1 - n_tokens / n_cells AS padding_share, 1 - n_tokens / (n_rows * {MLM_LEN}) AS padding_share_fixed FROM r""")
+def mlm_padding(spark, sf_dir):
+    """Padding in these batches, and in the same examples at a fixed length."""
+    return BA.padding_report(batched(spark, sf_dir), MLM_LEN)

@@ -47,10 +47,19 @@ def keep_first(df: DataFrame, keys: Sequence[str],
     The input is evaluated once: it is written with a number a row, and the
     branches below read narrow columns of what was written.
     """
-    cols = [order] if isinstance(order, str) else list(order)
+    return first_rows(numbered(df), keys, order).select(*df.columns)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written with ``_tie``: a number a row, by the hash of its columns first."""
     plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     number = F.hash(*plain).cast("decimal(10,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.monotonically_increasing_id()
-    d = staged(df.withColumn("_tie", number.cast("decimal(38,0)")), "keep-first")
+    return staged(df.withColumn("_tie", number.cast("decimal(38,0)")), "keep-first")
+
+
+def first_rows(d: DataFrame, keys: Sequence[str], order: str | Sequence[str] = "seq") -> DataFrame:
+    """``keep_first`` of a table that ``numbered`` wrote."""
+    cols = [order] if isinstance(order, str) else list(order)
     # one column: its minimum skips nulls, as wanted
     place = F.col(cols[0]) if len(cols) == 1 else F.struct(
         *[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(c) for c in cols])
@@ -63,7 +72,7 @@ def keep_first(df: DataFrame, keys: Sequence[str],
     stays = again.where("_is_first").groupBy(*[F.col(k).alias(f"_s{k}") for k in ks]).agg(F.min("_tie").alias("_keep"))
     losers = again.join(stays, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in ks])).where(
         "_tie <> _keep").select(F.col("_tie").alias("_gone"))
-    return d.join(losers, F.col("_tie") == F.col("_gone"), "left_anti").select(*df.columns)
+    return d.join(losers, F.col("_tie") == F.col("_gone"), "left_anti")
 
 
 def keep_first_by_text(df: DataFrame, keys: Sequence[str] = ("entity_id",),

@@ -61,6 +61,15 @@ def cleaning_report(spark, sf_dir):
     return C.cleaning_report(reviews_raw(spark, sf_dir), min_chars=25)
 
 
+@register("cleaning_run_report", _REPORT_SQL)
+def cleaning_run_report(spark, sf_dir):
+    """The report of a cleaning run that writes its rows and scans its input once."""
+    import uuid
+
+    from ..session import scratch_path
+    return C.clean_and_report(reviews_raw(spark, sf_dir), scratch_path(spark, f"clean-run-{uuid.uuid4().hex[:8]}"))
+
+
 def _csv_roundtrip(spark, sf_dir):
     import uuid
 

@@ -34,6 +34,17 @@ def test_random_texts(spark, texts):
     compare(spark, texts)
 
 
+def test_iban_ends_at_its_countrys_length(spark):
+    texts = ["iban ES91 2100 0418 4502 0005 1332 BIC ABCD", "iban ES91 2100 0418 4502 0005 1332. BIC", "konto DE89 3704 0044 0532 0130 00 12 EUR",
+             "account BE68 5390 0754 7034 1234 5678", "account NO93 8601 1117 947 2024", "iban ES9121000418450200051332X", "iban ES91 2100 0418 4502 0005 1333 BIC",
+             "bank SE45 5000 0000 0583 9825 7466 SE45 5000 0000 0583 9825 7466 SWIFT"]
+    compare(spark, texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("iban")] for r in pii.digest(df).collect()}
+    assert got == {0: ["iban:5:34"], 1: ["iban:5:34"], 2: ["iban:6:33"], 3: ["iban:8:27"], 4: ["iban:8:26"], 5: [], 6: [],
+                   7: ["iban:5:34", "iban:35:64"]}
+
+
 def test_many_matches_and_redaction(spark):
     t = "x 10.0.0.1 " * 1000
     df = spark.createDataFrame([(1, t)], "doc_id long, text string")

@@ -169,3 +169,37 @@ def stream_bloom_rows(spark, sf_dir):
         return spark.read.parquet(f"{base}/store/rows")
     return stage(spark, sf_dir, "stream_bloom_rows", build).select(
         "seq", "entity_id", "label", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+def _run_restored(spark, sf_dir):
+    """The store of a stream that lost store and checkpoint after three of its batches and went on from its snapshot of two."""
+    from ..streaming import snapshots
+    key = ("restored", id(spark), sf_dir)
+    if key not in _BASES:
+        base = scratch_path(spark, f"stream-restored-{uuid.uuid4().hex[:8]}")
+        src, files = _source(spark, sf_dir)
+        how = {"every": BACKUP_EVERY, "parts": max(4, src.count() // BUCKET_ROWS), "files_per_batch": files}
+        last = F.col("seq") % K == K - 1
+        write_batches(src.where(~last), f"{base}/in", K, files_per_batch=files)
+        schema = spark.read.parquet(f"{base}/in").schema
+        snapshots.snapshotted_dedupe(spark, f"{base}/in", schema, f"{base}/lost", f"{base}/lost-ckpt", f"{base}/backup", **how)
+        snapshots.restore(spark, f"{base}/backup", f"{base}/store", parts=how["parts"])
+        write_batches(src.where(last), f"{base}/in", K, files_per_batch=files)
+        snapshots.snapshotted_dedupe(spark, f"{base}/in", schema, f"{base}/store", f"{base}/ckpt", f"{base}/backup", **how)
+        _BASES[key] = base
+    return f"{_BASES[key]}/store"
+
+
+@register("stream_restored_rows", f"WITH {STREAM_CTES}\nSELECT seq, entity_id, label, text FROM first")
+def stream_restored_rows(spark, sf_dir):
+    """The surviving rows of a stream restarted from its snapshot are those of one that never stopped."""
+    return spark.read.parquet(f"{_run_restored(spark, sf_dir)}/rows").select("seq", "entity_id", "label", "text")
+
+
+@register("stream_restored_totals", f"""WITH {STREAM_CTES}
+SELECT (SELECT count(*) FROM filtered) AS rows_in, count(*) AS new_rows, (SELECT count(*) FROM filtered) - count(*) AS discarded
+FROM first""")
+def stream_restored_totals(spark, sf_dir):
+    """Rows in, new and discarded over the restart; no file counts twice."""
+    from ..streaming import snapshots
+    return snapshots.totals(spark, _run_restored(spark, sf_dir))

@@ -56,8 +56,8 @@ def may_hold(bloom: bytes, entities, digests) -> np.ndarray:
     return ((field[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(1)
 
 
-def _dealt(keys: DataFrame, entity_col: str, parts: int) -> DataFrame:
-    return keys.select(F.col(entity_col).alias("entity"), "key_hash").withColumn(
+def _dealt(keys: DataFrame, entity_col: str, parts: int, *more: str) -> DataFrame:
+    return keys.select(F.col(entity_col).alias("entity"), "key_hash", *more).withColumn(
         "part", F.pmod(F.xxhash64("entity", "key_hash"), F.lit(parts)).cast("int"))
 
 
@@ -91,6 +91,20 @@ def stored_keys(spark: SparkSession, store: str, schema, folders: DataFrame, bat
         *[f"{store}/keys/batch_id={r['batch_id']}/part={r['part']}" for r in some])
 
 
+def index(rows: DataFrame, store: str, entity_col: str, parts: int) -> None:
+    """Write the keys of stored rows and a filter beside each folder of them."""
+    mine = _dealt(rows, entity_col, parts, "batch_id")
+
+    def filters(k):
+        import pandas as pd
+        return pd.DataFrame({"bloom": [bloom_of(k["entity"], k["key_hash"])], "part": [k["part"].iloc[0]],
+                             "batch_id": [k["batch_id"].iloc[0]]})
+
+    _overwrite(mine.repartition("batch_id", "part"), f"{store}/keys", "batch_id", "part")
+    _overwrite(mine.groupBy("batch_id", "part").applyInPandas(filters, "bloom binary, part int, batch_id long"),
+               f"{store}/blooms", "batch_id", "part")
+
+
 def accept(batch: DataFrame, batch_id: int, store: str, entity_col: str = "entity_id", text_col: str = "text",
            order_col: str = "seq", parts: int = PARTS) -> DataFrame:
     """Enter a batch into the store; returns its accepted rows (with key_hash and batch_id)."""
@@ -107,15 +121,7 @@ def accept(batch: DataFrame, batch_id: int, store: str, entity_col: str = "entit
     at = F.lit(batch_id).cast("long")
     _overwrite(new.withColumn("batch_id", at), f"{store}/rows", "batch_id")
     rows = spark.read.schema(new.withColumn("batch_id", at).schema).parquet(f"{store}/rows").where(F.col("batch_id") == batch_id)
-    mine = _dealt(rows, entity_col, parts)
-
-    def filters(k):
-        import pandas as pd
-        return pd.DataFrame({"bloom": [bloom_of(k["entity"], k["key_hash"])], "part": [k["part"].iloc[0]]})
-
-    _overwrite(mine.repartition("part").withColumn("batch_id", at), f"{store}/keys", "batch_id", "part")
-    _overwrite(mine.groupBy("part").applyInPandas(filters, "bloom binary, part int").withColumn("batch_id", at),
-               f"{store}/blooms", "batch_id", "part")
+    index(rows, store, entity_col, parts)
     return rows
 
 

@@ -11,6 +11,7 @@ predictor built once per Python worker).
 
 from __future__ import annotations
 
+import math
 import threading
 import uuid
 from collections.abc import Callable, Sequence
@@ -19,7 +20,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scores import hard_pred
-from ..session import staged
+from ..session import scratch_path, staged
 from .evaluate import evaluate
 from .runs import leaderboard
 from .tokens import TOKEN_RE
@@ -45,6 +46,36 @@ def regression(reg_param: float = 0.0, elastic_net: float = 0.0, max_iter: int =
                               elasticNetParam=float(elastic_net), maxIter=int(max_iter))
 
 
+def tree_depth(partitions: int) -> int:
+    """The depth at which ``treeAggregate`` leaves the fewest partial sums to the driver.
+
+    A partial sum of the fit is as wide as its features, and every step
+    sends those left to the driver; at depth 2 their number grows with the
+    partitions.
+    """
+    def left(depth):
+        n, scale = partitions, max(math.ceil(partitions ** (1 / depth)), 2)
+        while n > scale + math.ceil(n / scale):
+            n //= scale
+        return n
+    return min(range(2, 9), key=left)
+
+
+def fitted(data: DataFrame, **params) -> LogisticRegressionModel:
+    """``regression`` fitted to (_features, _y), written and read back.
+
+    A model fresh from its fit carries a training summary, and that holds
+    the session, which does not serialise any more once a query was observed
+    (O39): no task could score with it. The model read back has none.
+    """
+    r = regression(**params)
+    if isinstance(r, LogisticRegression):
+        r = r.setAggregationDepth(tree_depth(data.rdd.getNumPartitions()))
+    path = scratch_path(data.sparkSession, f"model-{uuid.uuid4().hex[:12]}")
+    r.fit(data).write().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def _with_y(df: DataFrame, label_col: str) -> DataFrame:
     return df.withColumn("_y", F.col(label_col).cast("double"))
 
@@ -53,7 +84,7 @@ def fit_classifier(train: DataFrame, text_col: str = "text", label_col: str = "l
                    num_features: int = 1 << 18, **params) -> PipelineModel:
     features = feature_pipeline(num_features, text_col).fit(train)
     data = staged(features.transform(_with_y(train, label_col)).select("_features", "_y"), "fit-features")
-    return PipelineModel([*features.stages, regression(**params).fit(data)])
+    return PipelineModel([*features.stages, fitted(data, **params)])
 
 
 def score_with(model: PipelineModel, df: DataFrame, score_col: str = "score") -> DataFrame:
@@ -80,7 +111,7 @@ def select_best(train: DataFrame, val: DataFrame, grid: Sequence[dict],
             f = feature_pipeline(n, text_col).fit(train)
             made[n] = f, staged(f.transform(_with_y(train, label_col)).select("_features", "_y"), "fit-features")
         f, data = made[n]
-        m = PipelineModel([*f.stages, regression(**own).fit(data)])
+        m = PipelineModel([*f.stages, fitted(data, **own)])
         s = score_with(m, val)
         acc = s.agg(F.avg((F.col(label_col) == hard_pred("score", threshold))
                           .cast("double")).alias("a")).first()["a"] or 0.0
@@ -144,7 +175,7 @@ def run_sweep(train: DataFrame, test: DataFrame, plan: DataFrame, on_error: str
         sc.addJobTag(tag)
         try:
             f, data = features(run["num_features"])
-            m = PipelineModel([*f.stages, regression(reg_param=run["reg_param"], elastic_net=run["elastic_net"]).fit(data)])
+            m = PipelineModel([*f.stages, fitted(data, reg_param=run["reg_param"], elastic_net=run["elastic_net"])])
             e = evaluate(staged(score_with(m, held).select("label", "score"), "sweep-scores")).first()
         except Exception as e:
             reason = f"{type(e).__name__}: {e}".splitlines()[0][:500]

@@ -16,8 +16,8 @@ from .catalog import register, stage
 
 K = 4
 BACKUP_EVERY = 2
-#: A batch is spread over files of so many rows.
-FILE_ROWS = 50_000
+#: A batch is spread over files of so many rows, about: a file is one task's work.
+FILE_ROWS = 10_000
 
 _BASES: dict = {}
 
@@ -25,7 +25,7 @@ _BASES: dict = {}
 def _source(spark, sf_dir):
     """The filtered reviews and the files per batch, which grow with them."""
     src = C.filter_reviews(reviews_raw(spark, sf_dir), min_chars=25)
-    return src, max(1, src.count() // (K * FILE_ROWS))
+    return src, max(1, -(-src.count() // (K * FILE_ROWS)))
 
 
 def _run(spark, sf_dir):

@@ -70,6 +70,10 @@ def cleaning_run_report(spark, sf_dir):
     return C.clean_and_report(reviews_raw(spark, sf_dir), scratch_path(spark, f"clean-run-{uuid.uuid4().hex[:8]}"))
 
 
+#: Rows of a CSV file, about: a multi-line file is read by one task.
+CSV_ROWS = 10_000
+
+
 def _csv_roundtrip(spark, sf_dir):
     import uuid
 
@@ -81,7 +85,7 @@ def _csv_roundtrip(spark, sf_dir):
         p = scratch_path(spark, f"csv-{uuid.uuid4().hex[:8]}")
         raw = reviews_raw(spark, sf_dir)
         # part files in the order of seq, so that the order of the files is known
-        write_reviews_csv(raw.repartitionByRange(4, "seq").sortWithinPartitions("seq"), p)
+        write_reviews_csv(raw.repartitionByRange(max(4, -(-raw.count() // CSV_ROWS)), "seq").sortWithinPartitions("seq"), p)
         return read_reviews_csv(spark, p, ["entity_id", "text", "label"], ordinal="file_order")
     return stage(spark, sf_dir, "csv_roundtrip", build)
 

@@ -4,7 +4,7 @@ HTTP fetching is not built: the input is a table of fetched pages
 ``(page_id, url, html)``. URL planning, first-hit selection, page status
 and stop-at-gap are joins, aggregations and a window over the small
 (entity, page) table; only the HTML box walk runs in Python
-(``mapInPandas``, one page at a time), the marker cascade and text clean-up
+(``mapInArrow``, one page at a time), the marker cascade and text clean-up
 are native expressions on its output.
 """
 
@@ -101,17 +101,25 @@ BOX_SCHEMA = T.StructType([
 ])
 
 
+#: Pages that a Python worker has as Python objects at a time.
+PAGES_AT_ONCE = 64
+
+
 def _boxes_fn(batches):
-    for pdf in batches:
-        rows = []
-        for pid, blocked, me, slug, html in zip(pdf["page_id"], pdf["blocked"],
-                                                pdf["main_entity"], pdf["slug"], pdf["html"]):
-            bx = review_boxes(html or "")
-            if not bx:
-                rows.append((pid, blocked, me, slug, None, None, None, None))
-            for pos, tags, head, body in bx:
-                rows.append((pid, blocked, me, slug, pos, tags, head, body))
-        yield pd.DataFrame(rows, columns=[f.name for f in BOX_SCHEMA.fields])
+    import pyarrow as pa
+    names = ["page_id", "blocked", "main_entity", "slug", "html"]
+    kinds = [pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string()]
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+            some = batch.slice(at, PAGES_AT_ONCE)
+            rows = []
+            for pid, blocked, me, slug, html in zip(*[some.column(n).to_pylist() for n in names]):
+                bx = review_boxes(html or "")
+                if not bx:
+                    rows.append((pid, blocked, me, slug, None, None, None, None))
+                for pos, tags, head, body in bx:
+                    rows.append((pid, blocked, me, slug, pos, tags, head, body))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=BOX_SCHEMA.names)
 
 
 MAIN_PAGE_URL = r"/anime/(\d+)/?$"
@@ -126,7 +134,7 @@ def explode_boxes(pages: DataFrame, site: str | None = None) -> DataFrame:
     (O12) when ``site`` is given.
     """
     ship_package(pages.sparkSession)
-    return page_facts(pages, site).mapInPandas(_boxes_fn, BOX_SCHEMA)
+    return page_facts(pages, site).mapInArrow(_boxes_fn, BOX_SCHEMA)
 
 
 def page_facts(pages: DataFrame, site: str | None = None) -> DataFrame:
@@ -147,7 +155,7 @@ def explode_boxes_mixed(pages: DataFrame, site: str | None = None) -> DataFrame:
     """
     facts = staged(page_facts(pages, site).withColumn("tidy", boxscan.tidy(F.coalesce("html", F.lit("")))), "page-facts")
     ship_package(pages.sparkSession)
-    walked = facts.where("NOT tidy").drop("tidy").mapInPandas(_boxes_fn, BOX_SCHEMA)
+    walked = facts.where("NOT tidy").drop("tidy").mapInArrow(_boxes_fn, BOX_SCHEMA)
     return boxscan.scanned(facts.where("tidy").drop("tidy")).unionByName(walked)
 
 

@@ -4,8 +4,9 @@ Keep-first is an aggregation, not a window: ``min(order)`` per key has a
 map-side partial step, so a key holding a third of all rows collapses to one
 row per map task before the shuffle. Only the groups of more than one row go
 on: their later rows are the losers, removed by an anti join on the (unique)
-order. Losers are narrow and few, so the join is usually turned into a
-broadcast at run time and the texts stay where they are.
+number of a row. The losers are counted first: the numbers of few are
+broadcast and the texts stay where they are, those of many are hashed, so
+that the texts are shuffled once but never sorted.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, key_hash, norm_key
-from ..session import staged
+from ..session import BROADCAST_ROWS, staged
 
 
 def with_review_key(df: DataFrame, text_col: str = "text",
@@ -57,8 +58,8 @@ def numbered(df: DataFrame) -> DataFrame:
     return staged(df.withColumn("_tie", number.cast("decimal(38,0)")), "keep-first")
 
 
-def first_rows(d: DataFrame, keys: Sequence[str], order: str | Sequence[str] = "seq") -> DataFrame:
-    """``keep_first`` of a table that ``numbered`` wrote."""
+def first_rows(d: DataFrame, keys: Sequence[str], order: str | Sequence[str] = "seq", also: DataFrame | None = None) -> DataFrame:
+    """``keep_first`` of a table that ``numbered`` wrote; the rows whose ``_tie`` is in ``also`` go too."""
     cols = [order] if isinstance(order, str) else list(order)
     # one column: its minimum skips nulls, as wanted
     place = F.col(cols[0]) if len(cols) == 1 else F.struct(
@@ -67,11 +68,16 @@ def first_rows(d: DataFrame, keys: Sequence[str], order: str | Sequence[str] = "
     narrow = d.select(*[F.col(k).alias(n) for k, n in zip(keys, ks)], place.alias("_o"), "_tie")
     groups = narrow.groupBy(*[F.col(k).alias(f"_g{k}") for k in ks]).agg(
         F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = groups.agg(F.sum(F.col("_n") - 1)).first()[0] or 0
     again = narrow.join(groups, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in ks])).select(
         *ks, "_tie", F.col("_o").eqNullSafe(F.col("_first")).alias("_is_first"))
     stays = again.where("_is_first").groupBy(*[F.col(k).alias(f"_s{k}") for k in ks]).agg(F.min("_tie").alias("_keep"))
     losers = again.join(stays, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in ks])).where(
         "_tie <> _keep").select(F.col("_tie").alias("_gone"))
+    if also is not None:
+        also = staged(also.select(F.col("_tie").alias("_gone")), "keep-first-also")
+        losers, gone = losers.unionByName(also), gone + also.count()
+    losers = F.broadcast(losers) if gone <= BROADCAST_ROWS else losers.hint("shuffle_hash")
     return d.join(losers, F.col("_tie") == F.col("_gone"), "left_anti")
 
 

@@ -43,8 +43,8 @@ def padded_batches(df: DataFrame, id_cols: Sequence[str], pads: Mapping[str, int
     n = F.size(f"row.{first}")
     rows = staged(rows.withColumn("span", F.expr(f"(greatest(size(row.`{first}`), 1) - 1) div {int(bucket)}"))
                       .withColumn("length", n), "batch-rows")
-    keyed = with_rank(rows.withColumn("id", F.struct(*[F.col(f"row.{c}") for c in [*id_cols, *pads]])),
-                      ["span"], F.col("digest"), "id", "place").drop("id")
+    # ordered by fields of the row: a column of their own would send every sequence twice
+    keyed = with_rank(rows, ["span"], F.col("digest"), [F.col(f"row.{c}") for c in [*id_cols, *pads]], "place")
     keyed = keyed.select("span", "length", "row", F.expr(f"place div {int(size)}").alias("batch"),
                          (F.col("place") % int(size)).cast("int").alias("slot"))
     width = F.max("length").over(Window.partitionBy("span", "batch"))

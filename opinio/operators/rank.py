@@ -47,15 +47,15 @@ def bucket_offsets(df_b: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 
 def with_rank(df: DataFrame, strata: Sequence[str], h: Column,
-              id_col: str, rank_col: str = "rank") -> DataFrame:
-    """Exact 0-based rank of every row within its stratum by (h, id)."""
+              id_col: str | Sequence[Column], rank_col: str = "rank") -> DataFrame:
+    """Exact 0-based rank of every row within its stratum by (h, id); the id is a column or several expressions."""
     if not strata:
         return with_rank(df.withColumn("_s", F.lit(0)), ["_s"], h, id_col,
                          rank_col).drop("_s")
     d = _bucketed(df, h)
     offs = small(staged(bucket_offsets(d, strata).drop("_n"), "rank-offsets"))
     d = d.join(offs, on=[*strata, "_b"])
-    w = Window.partitionBy(*strata, "_b").orderBy("_h", id_col)
+    w = Window.partitionBy(*strata, "_b").orderBy("_h", *([id_col] if isinstance(id_col, str) else id_col))
     return (d.withColumn(rank_col, F.row_number().over(w) - 1 + F.col("_off"))
              .drop("_h", "_b", "_off"))
 
